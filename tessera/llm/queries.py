@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, toxicity
+from . import embeddings, fingerprints, jaccard, mixing, packing, quality, toxicity, urlfilter
 from .session import held_out
 
 
@@ -37,10 +37,35 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.quality(docs, labels, toxicity.learning_rows()), 0.3)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_mixing": op10_mixing,
 }
 
 #: SQL of the queries that SQL can express.
