@@ -23,13 +23,14 @@ from .sampling import Sample, labelled_sample
 from .session import held_out, text_or_empty
 from .textscan import NON_WORD, mix, scan
 
-WORD_BITS, PAIR_BITS, CHECK_BITS = 21, 20, 16
+WORD_BITS, PAIR_BITS, CHECK_BITS = 19, 19, 16
+_CHECK = (1 << CHECK_BITS) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slots(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slot, slot of the word before (or -1 at a text's start), bigram slot with its check bits."""
-    word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    """Codes (table slot and check bits) of each word, the word before it (or -1 at a text's start) and both together."""
+    word = (hashes >> np.uint64(64 - WORD_BITS - CHECK_BITS)).astype(np.int64)
     before = np.full(len(word), -1, dtype=np.int64)
     pair = np.zeros(len(word), dtype=np.int64)
     if len(word) > 1:
@@ -39,75 +40,90 @@ def _slots(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return word, before, pair
 
 
+class Table:
+    """Columns by code in a hash table of fixed size; where two codes meet in a slot, the later one stays."""
+
+    def __init__(self, bits: int, code: np.ndarray, columns: np.ndarray, missing: float):
+        slot = code >> CHECK_BITS
+        self.columns = np.full((len(columns), 1 << bits), missing, dtype=np.float32)
+        self.columns[:, slot] = columns
+        self.check = np.zeros(1 << bits, dtype=np.uint16)
+        self.check[slot] = code & _CHECK
+        self.missing = np.float32(missing)
+
+    def get(self, code: np.ndarray, usable: np.ndarray | None = None) -> list[np.ndarray]:
+        slot = np.maximum(code, 0) >> CHECK_BITS
+        found = self.check[slot] == (code & _CHECK)
+        if usable is not None:
+            found &= usable
+        return [np.where(found, c[slot], self.missing) for c in self.columns]
+
+
 @dataclass
 class KneserNeyPair:
-    """Tables of both classes (first axis: 0 ordinary, 1 toxic) and the curve from differences to probabilities."""
+    """Tables of words, contexts and bigrams; columns are the classes, 0 ordinary and 1 toxic."""
 
-    unigram: np.ndarray
-    backoff: np.ndarray
-    pair: np.ndarray
-    check: np.ndarray
+    unigram: Table
+    backoff: Table
+    pair: Table
     curve: np.ndarray | None = None
 
     @staticmethod
     def fit(word, before, pair, token_class, strength: float) -> KneserNeyPair:
-        """From the slots of all training words and the class of the text each stands in.
+        """From the codes of all training words and the class of the text each stands in.
 
         Discounts are large: a class keeps of a count only what exceeds half as much again as
         both classes' counts let expect of it, and strength times the sampling error. The rest
         of its mass goes to the distribution that both share.
         """
-        v = 1 << WORD_BITS
         inner = before >= 0
         longer = np.zeros(len(word), dtype=np.uint64)  # a word with the two before it, or as many as its text has
         longer[1:] = np.where(inner[1:] & inner[:-1], pair[:-1], -1).astype(np.uint64)
         longer = mix(longer * _STEP + np.where(inner, pair, word).astype(np.uint64))
-        keys, at, pair_id = np.unique(pair[inner], return_index=True, return_inverse=True)
-        first_word, second_word = before[inner][at], word[inner][at]
+        words, word_id = np.unique(word, return_inverse=True)
+        pairs_code, at, pair_id = np.unique(pair[inner], return_index=True, return_inverse=True)
+        first, second = word_id[np.flatnonzero(inner)[at] - 1], word_id[inner][at]
         place = np.cumsum(inner) - 1
-        counts, pairs = np.zeros((2, v)), np.zeros((2, len(keys)))
+        v = len(words)
+        counts, pairs = np.zeros((2, v)), np.zeros((2, len(pairs_code)))
         for c in (0, 1):
-            mine = token_class == c
             # occurrences in distinct contexts of two words, so what is copied counts once
-            pick = np.flatnonzero(mine)
+            pick = np.flatnonzero(token_class == c)
             pick = pick[np.unique(longer[pick], return_index=True)[1]]
-            counts[c] = np.bincount(word[pick], minlength=v)
+            counts[c] = np.bincount(word_id[pick], minlength=v)
             pick = pick[inner[pick]]
-            pairs[c] = np.bincount(pair_id[place[pick]], minlength=len(keys))
-        follows = np.bincount(second_word, minlength=v).astype(np.float64)
-        shared = (follows + 0.5) / (follows.sum() + 0.5 * v)
+            pairs[c] = np.bincount(pair_id[place[pick]], minlength=len(pairs_code))
+        follows = np.bincount(second, minlength=v) + 0.5
+        unseen = 0.5 / (2 * follows.sum())
+        shared = follows / (2 * follows.sum())
         left = _left(counts, strength)
         # one weight of the shared distribution for both classes: words it alone explains tell nothing
         weight = 1 - min(1 - 1e-6, left.sum() / max(counts.sum(), 1))
         unigram = (1 - weight) * left / np.maximum(left.sum(axis=1, keepdims=True), 1) + weight * shared
         left = _left(pairs, strength)
-        by_context = np.stack([np.bincount(first_word, weights=x, minlength=v) for x in left])
+        by_context = np.stack([np.bincount(first, weights=x, minlength=v) for x in left])
         both = pairs.sum(axis=0)
-        seen = np.bincount(first_word, weights=both, minlength=v)
+        seen = np.maximum(np.bincount(first, weights=both, minlength=v), 1)
         # a context speaks for the classes only where both have something left of it
-        own = np.where(by_context.min(axis=0) > 0, by_context.sum(axis=0) / np.maximum(seen, 1), 0.0)
+        own = np.where(by_context.min(axis=0) > 0, by_context.sum(axis=0) / seen, 0.0)
         pooled = np.maximum(both - 0.75, 0)
-        common = np.bincount(first_word, weights=pooled, minlength=v) / np.maximum(seen, 1)
-        kept = own[first_word] * left / np.maximum(by_context[:, first_word], 1e-9)
-        kept += (1 - own[first_word]) * pooled / np.maximum(seen[first_word], 1)
-        # only bigrams that keep a count take a slot; where two meet, the more frequent one stays
-        use = np.argsort(both, kind="stable")
-        use = use[kept[:, use].any(axis=0)]
-        high = np.zeros((2, 1 << PAIR_BITS), dtype=np.float32)
-        check = np.zeros(1 << PAIR_BITS, dtype=np.uint16)
-        slot = keys[use] >> CHECK_BITS
-        high[:, slot] = kept[:, use]
-        check[slot] = keys[use] & ((1 << CHECK_BITS) - 1)
-        backoff = (1 - own) * (1 - common)
-        return KneserNeyPair(unigram.astype(np.float32), backoff.astype(np.float32), high, check)
+        common = np.bincount(first, weights=pooled, minlength=v) / seen
+        kept = own[first] * left / np.maximum(by_context[:, first], 1e-9) + (1 - own[first]) * pooled / seen[first]
+        frequent = np.argsort(counts.sum(axis=0), kind="stable")
+        usual = np.argsort(both, kind="stable")
+        usual = usual[both[usual] > 1]
+        return KneserNeyPair(
+            Table(WORD_BITS, words[frequent], unigram[:, frequent], weight * unseen),
+            Table(WORD_BITS, words[frequent], ((1 - own) * (1 - common))[None, frequent], 1.0),
+            Table(PAIR_BITS, pairs_code[usual], kept[:, usual], 0.0),
+        )
 
     def difference(self, word, before, pair, doc, n) -> tuple[np.ndarray, np.ndarray]:
         """Toxic minus ordinary log-likelihood per word, and the number of words, of each of n texts; 0 without words."""
-        slot = pair >> CHECK_BITS
-        found = (self.check[slot] == pair & ((1 << CHECK_BITS) - 1)) & (before >= 0)
-        back = np.where(before >= 0, self.backoff[np.maximum(before, 0)], np.float32(1))
-        p = [self.pair[c][slot] * found + back * self.unigram[c][word] for c in (0, 1)]
-        sums = np.bincount(doc, weights=np.log(p[1] / p[0]), minlength=n)
+        back = self.backoff.get(before, before >= 0)[0]
+        high, low = self.pair.get(pair, before >= 0), self.unigram.get(word)
+        ordinary, toxic = (h + back * u for h, u in zip(high, low))
+        sums = np.bincount(doc, weights=np.log(toxic / ordinary), minlength=n)
         words = np.bincount(doc, minlength=n)
         return sums / np.maximum(words, 1), words
 
@@ -198,7 +214,7 @@ def score_toxicity(docs: DataFrame, model: KneserNeyPair | None, prior: float =
     )
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 1500) -> DataFrame:
     """Fit on the labelled rows of docs that `allowed` admits, then score all docs."""
     allowed = F.lit(True) if allowed is None else allowed
     sample = labelled_sample(docs, labels, "toxic", allowed, per_class)
@@ -216,7 +232,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[KneserNeyPair | None, float]:
-    sample = labelled_sample(docs, labels, "toxic", learning_rows())
+    sample = labelled_sample(docs, labels, "toxic", learning_rows(), 1500)
     return fit_toxicity(sample), sample.share
 
 
