@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality, toxicity
+from tessera.llm import jaccard, mixing, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,28 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.drop_low_quality(docs, _table(spark, sf_dir, "labels"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that links of five-word Jaccard similarity 0.8 join stays."""
+    return jaccard.keep_one_of_each(docs, threshold=0.8, width=5)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's target takes them, in the order of training."""
+    return mixing.mix_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining row, cut into sequences of power-of-two lengths."""
     return packing.pack_documents(docs, packing.public_byte_bpe(), 1024, 0)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", drop_low_quality), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Trained models and tokenizers decide rows, so SQL can't express the run; tests hold it against brute force.
 ORACLE_SQL = None

@@ -32,16 +32,18 @@ class TokenizerFiles:
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
         self.json_path, self.ranks_path, self.pattern = json_path, ranks_path, pattern
 
-    def encoder(self):
-        return _encoder(self.json_path, self.ranks_path, self.pattern)
+    def encoder(self, special_as_text: bool = False):
+        """A function from a text to its ids; special tokens' strings in a text are ids of their own unless special_as_text."""
+        return _encoder(self.json_path, self.ranks_path, self.pattern, special_as_text)
 
 
 @lru_cache(maxsize=4)
-def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
+def _encoder(json_path: str, ranks_path: str | None, pattern: str | None, special_as_text: bool):
     """A function from a text to its ids (uint32), built once in a worker."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path)
+    slow.encode_special_tokens = special_as_text
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def by_tokenizers(text: str) -> np.ndarray:
@@ -58,7 +60,7 @@ def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if not special_as_text and any(s in text for s in special):
             return by_tokenizers(text)
         return fast.encode_to_numpy(text, disallowed_special=())
 

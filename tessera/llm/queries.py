@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, jaccard, mixing, packing, quality, toxicity, urlfilter
+from . import embeddings, fingerprints, jaccard, lmscore, mixing, packing, quality, tokencount, toxicity, urlfilter
 from .session import held_out
 
 
@@ -41,6 +41,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as flat token files, counted by their end identifiers (the vocabulary's end-of-text)."""
+    stream = tokencount.token_stream(table(spark, sf_dir, "documents"), packing.public_byte_bpe(), end_id=50256)
+    return tokencount.count_tokens(stream, end_id=50256).select("doc_id", "file", "ordinal", "start", "tokens", "closed")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.language_model_scores(docs, held_out(F.col("doc_id"), 7, 2))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -62,6 +73,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_token_counts": op5_token_counts,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
