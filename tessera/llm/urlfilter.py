@@ -86,6 +86,7 @@ def with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     hosts = urls.select("host").where("host <> ''").distinct().select("host", F.explode(suffixes).alias("suffix"))
     chosen = hosts.join(split, "suffix").groupBy(F.col("host").alias("_host")).agg(F.collect_list("r").alias("_rules"))
+    chosen = cut(chosen)  # the join below then has two plain shuffles (or a small side), so a common host can be split
     fit = F.filter("_rules", lambda r: F.startswith(F.col("path"), r["prefix"]))
     best = F.array_max(fit)
     return (
