@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from . import align_queries, graph_queries, relational_queries, search_queries, text_queries
+
+_PARTS = (search_queries, graph_queries, relational_queries, align_queries, text_queries)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "stats"
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
+FLAGSHIP = "hybrid_search"
