@@ -83,8 +83,10 @@ def fingerprint_edits(docs: DataFrame, k: int = SIZE, width: int = WIDTH) -> Dat
     Texts are shuffled once, by doc_id; each sends at most a quarter of its neighbour's length
     and its sketch to the document before it.
     """
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    ids = base.where("doc_id is not null").groupBy("doc_id").agg(
+    every = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    # the same filtered rows on both sides of the texts' joins, so that one shuffle serves both
+    base = every.where("doc_id is not null")
+    ids = base.groupBy("doc_id").agg(
         F.floor(F.max(F.length("text")) / 4).cast("int").alias("need"), F.count("*").alias("rows")
     )
     placed = with_position(ids, "doc_id")
@@ -104,7 +106,8 @@ def fingerprint_edits(docs: DataFrame, k: int = SIZE, width: int = WIDTH) -> Dat
         F.substring(F.col("text"), F.lit(1), F.col("need")).alias("_begin"),
         bottom_k(F.col("text"), k, width).alias("_next"),
     )
-    joined = base.join(sent, F.col("doc_id") == F.col("_to"), "left")
+    joined = base.join(sent, F.col("doc_id") == F.col("_to"), "left").drop("_to")
+    joined = joined.unionByName(every.where("doc_id is null"), allowMissingColumns=True)
     size = F.length("text")
     cut_at = F.floor(size / 4).cast("int")
     edited = F.concat(
