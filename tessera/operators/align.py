@@ -83,20 +83,26 @@ def pages_in_windows(windows: DataFrame, pages: DataFrame, book: str, page: str,
     return a.join(b, hit).select(book, page, "stop", F.col("_page").alias("member"))
 
 
+def inner_word(text: Column) -> Column:
+    """The longest word of a text that isn't its first or last, so that any text which holds it has the word whole; null where there is none."""
+    words = F.split(text, " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def containment_join(texts: DataFrame, probes: DataFrame, size: int = 80, skip: int = 20, least_bytes: int = 20) -> DataFrame:
     """(text_id, probe_id) where the text holds the probe's fragment: `size` characters after the first `skip`.
 
     texts: (grp, id, text); probes: (grp, id, text). Candidates meet in their group by the
-    fragment's first word of all in the text, so no pair without a common word is compared.
+    longest word inside the fragment, so only texts with that word are compared.
     """
     p = probes.select("grp", F.col("id").alias("probe_id"), F.substring("text", skip + 1, size).alias("fragment"))
     p = p.where(F.octet_length("fragment") >= least_bytes)
-    # the second word of a fragment is whole in any text that holds it
-    p = p.withColumn("_w", F.get(F.split("fragment", " "), F.lit(1)))
+    p = p.withColumn("_w", inner_word(F.col("fragment")))
     words = texts.select("grp", "id", F.explode(F.array_distinct(F.split("text", " "))).alias("_w"))
-    keyed = p.where("_w is not null and size(split(fragment, ' ')) > 2")
+    keyed = p.where("_w is not null")
     candidates = words.join(keyed, ["grp", "_w"]).select("grp", "id", "probe_id", "fragment")
-    short = p.where("_w is null or size(split(fragment, ' ')) <= 2").select("grp", "probe_id", "fragment").join(texts.select("grp", "id"), "grp").select("grp", "id", "probe_id", "fragment")
+    short = p.where("_w is null").select("grp", "probe_id", "fragment").join(texts.select("grp", "id"), "grp").select("grp", "id", "probe_id", "fragment")
     both = candidates.unionAll(short)
     return both.join(texts, ["grp", "id"]).where(F.contains("text", "fragment")).select(F.col("id").alias("text_id"), "probe_id").distinct()
 
