@@ -120,7 +120,7 @@ def plan_mix(
 
     def use(k: int) -> Column:
         start = begin + F.lit(k) * F.col("_source_size")
-        words = F.least(F.greatest(F.floor("_target") - start, F.lit(0)), F.col("_size"))
+        words = F.least(F.greatest(F.floor(F.round("_target", 6)) - start, F.lit(0)), F.col("_size"))
         share = (start + words / 2) / F.greatest(F.col("_target"), F.lit(1.0))
         position = F.lit(None).cast("double")
         for turn, knots in enumerate(schedules):
