@@ -83,8 +83,11 @@ def fingerprint_edits(docs: DataFrame, k: int = SIZE, width: int = WIDTH) -> Dat
     Texts are shuffled once, by doc_id; each sends at most a quarter of its neighbour's length
     and its sketch to the document before it.
     """
-    every = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    # the same filtered rows on both sides of the texts' joins, so that one shuffle serves both
+    # the same filtered rows on both sides of the texts' joins, so that one shuffle serves both; an alias of
+    # an unchanged column would make the two sides' plans differ
+    plain = docs.schema["doc_id"].dataType.simpleString() == "bigint"
+    doc_id = docs["doc_id"] if plain else docs["doc_id"].cast("long").alias("doc_id")
+    every = docs.select(doc_id, text_or_empty(docs).alias("text"))
     base = every.where("doc_id is not null")
     ids = base.groupBy("doc_id").agg(
         F.floor(F.max(F.length("text")) / 4).cast("int").alias("need"), F.count("*").alias("rows")
