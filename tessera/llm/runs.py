@@ -48,17 +48,20 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
 
 def local_components(linked: np.ndarray) -> np.ndarray:
     """The least index reachable from each row of a symmetric boolean matrix."""
-    n = len(linked)
-    label = np.arange(n)
-    if not n:
+    label = np.arange(len(linked))
+    some = np.flatnonzero(linked.sum(axis=1) > linked.diagonal())  # rows with a link to another
+    if not len(some):
         return label
-    linked = linked | np.eye(n, dtype=bool)
+    linked = linked[np.ix_(some, some)] | np.eye(len(some), dtype=bool)
+    own = np.arange(len(some))
     while True:
-        new = np.where(linked, label[None, :], n).min(axis=1)
+        new = np.where(linked, own[None, :], len(some)).min(axis=1)
         new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
+        if (new == own).all():
+            break
+        own = new
+    label[some] = some[own]
+    return label
 
 
 def tiled(members: DataFrame, group: str, size: Column, row_id: str, chunk: int) -> DataFrame:
