@@ -155,8 +155,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = plan_mix(docs, **options).withColumn("_use", F.explode("_uses"))
     part = F.col("_use.words") < F.col("_size")
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*" + WORD + "){"), F.col("_use.words").cast("string"), F.lit("}"))
-    cut_text = F.when(part, F.regexp_substr("text", pattern)).otherwise(F.col("text"))
+    # pieces of one word with the white space before it; a repeated group would recurse in the regex engine
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    beginning = F.array_join(F.slice(pieces, F.lit(1), F.col("_use.words").cast("int")), "")
+    cut_text = F.when(part, beginning).otherwise(F.col("text"))
     plan = plan.withColumn("text", cut_text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -212,6 +212,19 @@ def test_mixed_documents(spark):
     assert words == {k: v for k, v in want.items() if v}
 
 
+def test_long_document_taken_in_part(spark):
+    long = "  a\n" + "bb \tc " * 30_000
+    rows = [(1, long, "a", 0, "p", 1), (2, "x " * 90_000, "b", 0, "p", 1), (3, "x " * 90_000, "c", 0, "p", 1)]
+    plan = {r["doc_id"]: r for r in mixing.mix_digest(docs_frame(spark, rows)).collect()}
+    texts = {}
+    for r in mixing.mix_documents(docs_frame(spark, rows)).collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    sources = dict((r[0], r[1]) for r in rows)
+    for i, found in texts.items():
+        assert all(sources[i].startswith(t) for t in found)
+        assert sum(len(SPLIT.findall(t)) for t in found) == plan[i]["taken"]
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_digest(docs_frame(spark, [])).collect() == []
     only = mixing.mix_digest(docs_frame(spark, [(1, "", "a", 0, "", 0), (2, None, None, 0, "", 0)])).collect()
