@@ -16,8 +16,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # materialised, so that the join has two plain shuffles and AQE can split a hub's partition
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -31,7 +30,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Works on any orderable type. Loops, repeated edges and nulls are ignored; no edges give no
     rows. Each round is two grouped minima and joins on edges alone, so a vertex with a third
-    of all edges is summed before it is shuffled and its join side can be split. Rounds grow
+    of all edges is summed before it is shuffled; its edges do meet in one task of the join. Rounds grow
     with the logarithm of the longest path; each is checkpointed in the shared folder.
     """
     edges = cut(
