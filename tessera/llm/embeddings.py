@@ -2,12 +2,16 @@
 
 Each pass orders the vectors lexicographically by concatenated random hyperplane bits and
 compares every vector with a bounded window of those before it. Verified links of all passes
-are united to components. Windows are bounded and dense groups are not, so links inside
-a component are then counted exactly, tile by tile, without listing pairs.
+are united to components. Windows miss links where many vectors crowd, so bucket passes follow:
+vectors of equal leading bits are compared without a bound, and the number of passes follows from
+the number of bits and the target recall. Bits are chosen by the measured sizes of buckets, so
+crowding costs time and not links. Links inside a component are then counted exactly, tile by
+tile, without listing pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,12 @@ from .session import cut
 
 _BITS = 62
 
+#: Numbers of leading bits that bucket passes may use, and passes that measure the buckets' sizes.
+_DEPTHS, _PROBES = range(0, 41, 2), 2
+
+#: Cost of a row in a tile and of a row's key, in compared pairs.
+_ROW_COST, _KEY_COST = 1000, 100
+
 
 def _unit(column: pa.Array) -> list[bytes | None]:
     """Unit vectors as bytes of doubles; None for null, zero or non-finite ones."""
@@ -112,6 +122,88 @@ def candidate_links(units: DataFrame, threshold: float, passes: int, window: int
     return spread_out.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def passes_for(depth: int, threshold: float, recall: float) -> int:
+    """Passes of buckets of `depth` equal bits that find a link at the threshold with probability `recall`."""
+    kept = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** depth
+    return 1 if kept >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-kept))
+
+
+def bucket_keys(rows: DataFrame, depth: int, passes: int, seed: int) -> DataFrame:
+    """length, pass, key (of `depth` bits), vec_id and component of rows (vec_id, unit, component), once per pass."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pa.compute.binary_length(b.column("unit")).to_numpy(zero_copy_only=False)
+            for length in np.unique(size):
+                part = b.filter(pa.array(size == length))
+                x = _matrix(part.column("unit"))
+                for p in range(passes):
+                    planes = np.random.default_rng([seed, int(length), p]).standard_normal((x.shape[1], depth))
+                    key = (x @ planes >= 0).astype(np.int64) @ (np.int64(1) << np.arange(depth - 1, -1, -1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(x), length, dtype=np.int32)), pa.array(np.full(len(x), p, dtype=np.int32)),
+                            pa.array(key), part.column("vec_id"), part.column("component"),
+                        ],
+                        names=["length", "pass", "key", "vec_id", "component"],
+                    )
+
+    keyed = rows.select("vec_id", "unit", "component")
+    return keyed.mapInArrow(spread, "length int, pass int, key bigint, vec_id bigint, component bigint")
+
+
+def _open_buckets(keys: DataFrame, *by: str) -> DataFrame:
+    """Sizes of the buckets that hold more than one component."""
+    sizes = keys.groupBy(*by).agg(F.count("*").alias("size"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+    return sizes.where("_least <> _most").drop("_least", "_most")
+
+
+def cheapest_depth(rows: DataFrame, threshold: float, recall: float, chunk: int, seed: int) -> int:
+    """The number of bits whose passes cost least, by the sizes of buckets that a few passes measure."""
+    keys = bucket_keys(rows, _DEPTHS[-1], _PROBES, seed).withColumn("depth", F.explode(F.array(*map(F.lit, _DEPTHS))))
+    keys = keys.withColumn("key", F.expr(f"shiftright(key, {_DEPTHS[-1]} - depth)"))
+    size = F.col("size").cast("double")
+    measured = _open_buckets(keys, "length", "pass", "depth", "key").groupBy("depth").agg(
+        F.sum(size * F.ceil(size / chunk) * _ROW_COST + size * size).alias("cost")
+    )
+    cost, n = {r["depth"]: r["cost"] / _PROBES for r in measured.collect()}, rows.count()
+    return min(_DEPTHS, key=lambda d: passes_for(d, threshold, recall) * (cost.get(d, 0.0) + n * _KEY_COST))
+
+
+def bucket_links(rows: DataFrame, threshold: float, depth: int, passes: int, chunk: int, seed: int) -> DataFrame:
+    """Edges (a, b) between components of rows (vec_id, unit, component) that links in the passes' buckets join."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in complete_groups(batches, ["length", "pass", "key", "_lo", "_hi"]):
+            ids, component = table["vec_id"].to_numpy(), table["component"].to_numpy()
+            side, diagonal = table["_side"].to_numpy(), table["_lo"].to_numpy() == table["_hi"].to_numpy()
+            a, b = [ids[:0]], [ids[:0]]
+            for lo, hi in zip(at[:-1], at[1:]):
+                own, c = ids[lo:hi], component[lo:hi]
+                if (c == c[0]).all():
+                    continue
+                x = _matrix(table["unit"].slice(lo, hi - lo))
+                if diagonal[lo]:
+                    linked = x @ x.T >= threshold
+                else:
+                    left, right = np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1)
+                    linked = np.zeros((hi - lo, hi - lo), dtype=bool)
+                    linked[np.ix_(left, right)] = x[left] @ x[right].T >= threshold
+                    linked |= linked.T
+                label = local_components(linked)
+                moved = c != c[label]
+                a.append(own[moved])
+                b.append(own[label[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    bucket = ("length", "pass", "key")
+    keys = bucket_keys(rows, depth, passes, seed).drop("component")
+    sizes = _open_buckets(bucket_keys(rows, depth, passes, seed), *bucket)
+    tiles = tiled(keys.join(sizes, [*bucket]), "key", F.col("size"), "vec_id", chunk)
+    tiles = tiles.join(rows.select("vec_id", "unit", "component"), "vec_id")
+    return by_group(tiles, *bucket, "_lo", "_hi").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def count_links(members: DataFrame, threshold: float, chunk: int) -> DataFrame:
     """(vec_id, n) from members (vec_id, unit, weight, component, size): the weight of those linked to each, in its component."""
 
@@ -135,8 +227,9 @@ def count_links(members: DataFrame, threshold: float, chunk: int) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.95, passes: int = 24, window: int = 256, chunk: int = 1024, seed: int = 1
-) -> DataFrame:
+    vectors: DataFrame, threshold: float = 0.95, passes: int = 24, window: int = 256, chunk: int = 1024, seed: int = 1,
+    recall: float = 0.9999,
+) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
@@ -144,15 +237,21 @@ def near_duplicates(
     and counted with its size. Where a vec_id repeats, its least vector stands for all its
     rows. A null vec_id has no links and component null, and is kept. No rows give no rows.
 
-    A pass finds a link whose ends are within the window in its order; the default number of
-    passes finds all but a few in ten thousand of the pairs at the threshold among 10**5
-    vectors, and links need only join components to be counted.
+    Sorted passes connect what their windows bring together. Bucket passes among different
+    components then find each link with probability `recall` or more, whatever the number of rows
+    and however they crowd, and links need only join components to be counted.
     """
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     single = cut(unit_vectors(vectors).groupBy("vec_id").agg(F.min("unit").alias("unit")))
     classes = cut(single.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
     edges = candidate_links(classes.select("vec_id", "unit"), threshold, passes, window, seed)
     component = cut(connected_components(edges).select(F.col("vertex").alias("vec_id"), "component"))
+    rows = cut(classes.join(component, "vec_id", "left").select("vec_id", "unit", F.coalesce("component", "vec_id").alias("component")))
+    depth = cheapest_depth(rows, threshold, recall, chunk, seed)
+    joined = cut(bucket_links(rows, threshold, depth, passes_for(depth, threshold, recall), chunk, seed))
+    if not joined.isEmpty():
+        edges = component.select(F.col("vec_id").alias("a"), F.col("component").alias("b")).unionAll(joined)
+        component = cut(connected_components(edges).select(F.col("vertex").alias("vec_id"), "component"))
     sizes = component.groupBy("component").agg(F.count("*").alias("size"))
     members = classes.join(component.join(sizes, "component"), "vec_id")
     links = count_links(members.select("vec_id", "unit", "weight", "component", "size"), threshold, chunk)

@@ -214,6 +214,40 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(vectors.limit(0)).collect() == []
 
 
+def crowd(n, pairs, seed):
+    """Unit vectors of mutual cosine 0.9 about one direction, some of them with a partner at cosine 0.951."""
+    rng = np.random.default_rng(seed)
+    centre = np.zeros(300)
+    centre[0] = 1
+    x = rng.standard_normal((n, 300))
+    x[:, 0] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((pairs, 300))
+    y[:, 0] = 0
+    y -= (y * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.51 * x[:pairs] + np.sqrt(1 - 0.51**2) * y
+    return np.sqrt(0.9) * centre + np.sqrt(0.1) * np.concatenate([x, y])
+
+
+def test_embeddings_of_a_crowd_are_all_linked(spark):
+    x = crowd(2500, 300, 1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(vectors, window=32).collect()}
+    linked = x @ x.T >= 0.95
+    assert linked[np.arange(300), np.arange(2500, 2800)].all() and linked.sum() == 2800 + 600
+    assert got == {i: (int(linked[i].sum()) - 1, int(np.flatnonzero(linked[i]).min())) for i in range(len(x))}
+
+
+def test_bucket_passes_reach_their_recall(spark):
+    x = crowd(1500, 300, 2)
+    rows = spark.createDataFrame([(i, bytearray(v.tobytes()), i) for i, v in enumerate(x)], "vec_id long, unit binary, component long")
+    passes = embeddings.passes_for(8, 0.95, 0.9999)
+    assert passes == 17
+    got = {tuple(sorted(r)) for r in embeddings.bucket_links(rows, 0.95, 8, passes, 100, 1).collect()}
+    assert got == {(i, 1500 + i) for i in range(300)}
+
+
 @pytest.mark.parametrize("order,block_bytes", [(1, 300), (2, 400), (3, 1 << 20)])
 def test_language_model_equals_brute_force(spark, order, block_bytes):
     rng = random.Random(order)
