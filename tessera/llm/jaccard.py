@@ -4,7 +4,8 @@ Texts are sets of word shingles, embedded as minhash signatures whose entries ar
 shared tokens. A run starts with all sets in one bucket and splits buckets recursively: the
 path of a bucket chooses 1/threshold signature positions on average, and a set moves on to
 one child for each, named by its token there. Buckets that are small, or that a split hardly
-divides, are compared by brute force. Independent runs repeat until the target recall.
+divides, are compared by brute force. Independent runs repeat until the target recall: how many
+a set needs follows from the depth that its own paths reached.
 
 What runs propose is verified on the full shingle sets, tile by tile inside each group of
 proposed links; verified links are counted for each text and never listed pair by pair.
@@ -25,8 +26,26 @@ from .runs import by_group, complete_groups, local_components, tiled
 from .session import cut, text_or_empty
 from .textscan import SPACES, mix, scan, shingles
 
-#: Least share of one run's finds among linked pairs that the number of runs assumes.
-RUN_RECALL = 0.45
+#: Runs that all sets take part in; sets whose paths go deep take part in further ones.
+RUNS = 8
+
+
+def runs_needed(depth: int, threshold: float, recall: float, tokens: int) -> int:
+    """Runs that find a pair at the threshold with probability `recall` when its buckets stop after `depth` steps.
+
+    A pair agrees in a share of its `tokens` positions that chance decides once for all runs. Of
+    that share's powers, a step keeps a pair that follows one or two children.
+    """
+    k = np.arange(tokens + 1)
+    weight = np.array([math.comb(tokens, int(i)) for i in k]) * threshold**k * (1 - threshold) ** (tokens - k)
+    together, extra = np.ones(tokens + 1), 1 / threshold - 1
+    for _ in range(depth):
+        x = k / tokens * together
+        together = (1 - extra) * x + extra * (1 - (1 - x) ** 2)
+    runs, apart = 1, 1 - together
+    while weight @ apart**runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _minhashes(values: np.ndarray, at: np.ndarray, tokens: int) -> np.ndarray:
@@ -81,9 +100,9 @@ def _sets(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chosen_paths(
-    classes: DataFrame, runs: int, threshold: float, tokens: int, small: int, dense: float, most_levels: int
-) -> DataFrame:
-    """(path, size, id) of the buckets to compare, from classes (id, sig)."""
+    classes: DataFrame, runs: range, threshold: float, tokens: int, small: int, dense: float, most_levels: int, deep: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """(path, size, id) of the buckets to compare, from classes (id, sig), and (id, depth) of the sets that took `deep` steps or more, if any."""
     extra = 1 / threshold - 1
     sig = classes.select("id", "sig")
 
@@ -100,9 +119,9 @@ def chosen_paths(
         sizes = keys.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         return keys.join(sizes, "path")
 
-    start = sig.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    start = sig.withColumn("run", F.explode(F.sequence(F.lit(runs[0]), F.lit(runs[-1]))))
     keys = children(start.select("id", "sig", F.xxhash64("run").alias("path"), F.lit(None).cast("long").alias("size")))
-    done = None
+    done = deeper = None
     for level in range(most_levels):
         buckets = cut(counted(keys))
         stop = (F.col("size") <= small) | F.coalesce(F.col("size") > dense * F.col("parent"), F.lit(False))
@@ -113,8 +132,41 @@ def chosen_paths(
         rest = buckets.where(~stop).select("id", "path", "size")
         if rest.isEmpty():
             break
+        if level + 2 >= deep:
+            went = rest.select("id", F.lit(level + 2).alias("depth"))
+            deeper = went if deeper is None else deeper.unionAll(went)
         keys = children(rest.join(sig, "id"))
-    return done
+    return done, deeper and deeper.groupBy("id").agg(F.max("depth").alias("depth"))
+
+
+def run_until(
+    classes: DataFrame, threshold: float, tokens: int, recall: float, small: int, dense: float, most_levels: int,
+    near: float, chunk: int,
+) -> DataFrame:
+    """Proposed edges (a, b) of as many runs as each of the classes (id, sig) needs.
+
+    A pair's buckets stop where its sets' do, so the deeper of a set's paths bounds the chance of
+    all its links. A link is found once either of its sets has had enough runs.
+    """
+    needed = {d: runs_needed(d, threshold, recall, tokens) for d in range(1, most_levels + 1)}
+    active, done, edges, known = classes, 0, None, None
+    runs = max(RUNS, needed[1])
+    while True:
+        deep = min((d for d, n in needed.items() if n > done + runs), default=most_levels + 1)
+        buckets, depths = chosen_paths(active, range(done + 1, done + runs + 1), threshold, tokens, small, dense, most_levels, deep)
+        found = proposed_links(buckets, active, tokens, near, chunk)
+        edges = found if edges is None else cut(edges).unionAll(found)
+        done += runs
+        if depths is not None:
+            known = depths if known is None else known.unionAll(depths).groupBy("id").agg(F.max("depth").alias("depth"))
+        if known is None:
+            return edges
+        known = cut(known.where(F.col("depth") >= deep))
+        deepest = known.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            return edges
+        active = cut(classes.join(known.select("id"), "id", "left_semi"))
+        runs = min(RUNS, needed[deepest] - done)
 
 
 def proposed_links(buckets: DataFrame, classes: DataFrame, tokens: int, near: float, chunk: int) -> DataFrame:
@@ -219,15 +271,13 @@ def jaccard_join(
     without links. A null doc_id has null ids, no links, and is kept. Rows with one doc_id and
     different texts stand for the text of the least set hash. No rows give no rows.
     """
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - RUN_RECALL)))
     sigs = cut(signatures(docs, width, tokens))
     of_class = sigs.groupBy("h1", "h2", "n").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("sig").alias("sig")
     )
     classes = cut(of_class)
     full = classes.where("n > 0").select("id", "sig")
-    buckets = chosen_paths(full, runs, threshold, tokens, small, dense, most_levels)
-    proposed = connected_components(proposed_links(buckets, full, tokens, near, chunk))
+    proposed = connected_components(run_until(full, threshold, tokens, recall, small, dense, most_levels, near, chunk))
     proposed = cut(proposed.select(F.col("vertex").alias("id"), "component"))
     sizes = proposed.groupBy("component").agg(F.count("*").alias("size"))
     wanted = proposed.join(sizes, "component").join(classes.select("id", "h1", "h2"), "id")

@@ -176,6 +176,31 @@ def test_jaccard_join_equals_brute_force(spark, chunk):
     assert sorted(tuple(r) for r in got) == brute_join(texts)
 
 
+def test_jaccard_runs_follow_depth(spark, monkeypatch):
+    runs, paths = [], jaccard.chosen_paths
+    monkeypatch.setattr(jaccard, "chosen_paths", lambda classes, more, *a: runs.append(more) or paths(classes, more, *a))
+    rng = random.Random(5)
+    passage, texts = [f"p{i}" for i in range(110)], []
+    for i in range(300):
+        own = [f"u{i}x{j}" for j in range(70)]
+        other = own[:20] + [f"v{i}x{j}" for j in range(15)] + own[35:]
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    want = {(2 * i, 2 * i + 1) for i in range(300)}
+    sets = [shingle_set(t) for t in texts]
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in want)
+    rows = as_rows(texts)
+    rng.shuffle(rows)
+    got = jaccard.jaccard_join(frame(spark, rows), small=2, dense=1.0, most_levels=9).where("not kept").collect()
+    found = {(r["component_id"], r["doc_id"]) for r in got}
+    assert found <= want and len(found) >= 0.99 * len(want), len(found)
+    assert list(runs[0]) == list(range(1, 9)) and sum(map(len, runs)) == jaccard.runs_needed(9, 0.8, 0.99, 64)
+
+
+def test_jaccard_runs_needed():
+    needed = [jaccard.runs_needed(d, 0.8, 0.99, 64) for d in (1, 5, 11, 16)]
+    assert needed == sorted(needed) and needed[1] <= 8 < needed[2]
+
+
 def test_jaccard_odd_inputs(spark):
     rows = as_rows(["a b c d e f g", "a b c d e f g"]) + [(None, "a b c d e f g", "s", 1, 0, "c", 2)] * 2 + [(0, "a b c d e f g", "s", 1, 0, "c", 2)]
     got = jaccard.keep_one_of_each(frame(spark, rows))
