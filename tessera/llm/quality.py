@@ -248,8 +248,10 @@ def quality(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, p
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Pipeline stage: rows that score at least the threshold, all their columns kept."""
+    """Pipeline stage: rows that score at least the threshold, all their columns kept. Without a model (a class had no example) every row stays."""
     model, prior = quality_model(docs, labels, learning_rows())
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -227,7 +227,7 @@ def learning_rows() -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pipeline stage: rows whose toxicity stays under the threshold, all their columns kept."""
+    """Pipeline stage: rows whose toxicity stays under the threshold, all their columns kept. Without a model (a class had no example) every row stays."""
     return _filtered(docs, toxicity_model(docs, labels), threshold)
 
 
@@ -237,17 +237,18 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[KneserNeyPair |
 
 
 def _filtered(docs: DataFrame, fitted: tuple[KneserNeyPair | None, float], threshold: float) -> DataFrame:
-    model, prior = fitted
+    model, _ = fitted
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            score = np.full(batch.num_rows, prior)
-            if m is not None:
-                for s in scan(batch.column(at), NON_WORD):
-                    score[s.lo : s.lo + s.n] = m.score(*m.difference(*_slots(s.hashes(), s.doc), s.doc, s.n))
+            score = np.zeros(batch.num_rows)
+            for s in scan(batch.column(at), NON_WORD):
+                score[s.lo : s.lo + s.n] = m.score(*m.difference(*_slots(s.hashes(), s.doc), s.doc, s.n))
             yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)

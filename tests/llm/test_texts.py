@@ -368,6 +368,13 @@ def test_classifiers_on_odd_inputs(spark, score, kind):
     assert score(docs.limit(0), table).collect() == []
 
 
+@pytest.mark.parametrize("stage,kind", [(toxicity.drop_toxic, "toxic"), (quality.drop_low_quality, "quality")])
+def test_filters_without_a_model_keep_every_row(spark, stage, kind):
+    docs, table = labelled(spark, ODD, [i % 2 for i in range(len(ODD))], kind)
+    for labels in (table.limit(0), table.where(f"{kind} = 0"), table.where(f"{kind} = 1")):
+        assert stage(docs, labels).count() == len(ODD)
+
+
 def test_flat_trees_walk_like_nested_ones():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((500, 4)).astype(np.float32)
