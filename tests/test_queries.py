@@ -48,6 +48,19 @@ def test_query(spark, con, name):
     assert table(df.columns, rows) == want
 
 
+def test_quotes_without_an_inner_word(spark, tmp_path):
+    documents = [(1, "some words here"), (2, "other words  here"), (3, "nothing"), (4, None)]
+    benchmark = [(1, "words"), (2, "words here"), (3, "ther"), (4, "absent"), (5, "some words here"), (6, ""), (7, None)]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["quote_verify"]).fetchall()
+    assert dict(want)[1] == dict(want)[2] == 2
+    assert sorted(map(tuple, registry.QUERIES["quote_verify"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_entry_serves_every_query():
     import __spark_entry__
 
