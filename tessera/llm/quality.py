@@ -1,7 +1,7 @@
 """Quality by histogram gradient-boosted trees over statistics of whole texts.
 
 Statistics come from vectorised scans (shares of byte classes, word lengths, repetition of
-words, word triples and lines). Trees are grown on the driver from a bounded labelled sample
+words, word triples and lines). Trees are grown in one task from a bounded labelled sample
 with 64-bin histograms and flattened into arrays; a batch of texts walks all trees level by
 level with numpy gathers. Scoring needs no shuffle.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import Sample, labelled_sample
+from .sampling import Fitted, Sample, fit_sample, labelled_sample
 from .session import text_or_empty
 from .textscan import SPACES, Scan, mix, scan
 from .toxicity import learning_rows
@@ -205,35 +205,27 @@ def fit_trees(
     )
 
 
-def fit_quality(sample: Sample) -> FlatTrees | None:
-    """None where a class has no example."""
-    if not sample.usable:
-        return None
+def fit_quality(sample: Sample) -> FlatTrees:
     return fit_trees(text_statistics(sample.texts), sample.label, sample.weight)
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 4000) -> tuple[FlatTrees | None, float]:
-    sample = labelled_sample(docs, labels, "quality", allowed, per_class)
-    return fit_quality(sample), sample.share
+def quality_model(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 4000) -> Fitted:
+    return fit_sample(*labelled_sample(docs, labels, "quality", allowed, per_class), fit_quality)
 
 
-def _score(texts, model: FlatTrees | None, prior: float) -> np.ndarray:
-    x = text_statistics(texts)
-    return np.full(len(x), prior) if model is None else model.score(x)
-
-
-def score_quality(docs: DataFrame, model: FlatTrees | None, prior: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """doc_id and score of every row: the probability that its text is of good quality.
 
     A null text counts as empty, and an empty text is scored from its statistics like any
     other. Repeated rows score alike, other columns are ignored, an empty table gives no
-    rows. Without a model (a class had no example) every score is the prior.
+    rows. Without a model (a class had no example) every score is the labels' share.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value.load()
         for batch in batches:
-            out = _score(batch.column(1), shared.value, prior)
+            out = np.full(batch.num_rows, shared.value.share) if m is None else m.score(text_statistics(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(
@@ -243,20 +235,24 @@ def score_quality(docs: DataFrame, model: FlatTrees | None, prior: float = 0.5)
 
 def quality(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 4000) -> DataFrame:
     """Fit on the labelled rows of docs that `allowed` admits, then score all docs."""
-    model, prior = quality_model(docs, labels, F.lit(True) if allowed is None else allowed, per_class)
-    return score_quality(docs, model, prior)
+    return score_quality(docs, quality_model(docs, labels, F.lit(True) if allowed is None else allowed, per_class))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Pipeline stage: rows that score at least the threshold, all their columns kept. Without a model (a class had no example) every row stays."""
-    model, prior = quality_model(docs, labels, learning_rows())
-    if model is None:
+    """Pipeline stage: rows that score at least the threshold, all their columns kept.
+
+    A null text counts as empty and is scored as any other; repeated rows stay or go together, a
+    null doc_id is no reason to go; an empty table gives no rows. Without a model (a class had no
+    example) every row stays.
+    """
+    fitted = quality_model(docs, labels, learning_rows())
+    if fitted.model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    shared, at = docs.sparkSession.sparkContext.broadcast(fitted), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value.load()
         for batch in batches:
-            yield batch.filter(pa.array(_score(batch.column(at), shared.value, prior) >= threshold))
+            yield batch.filter(pa.array(m.score(text_statistics(batch.column(at))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,10 +1,13 @@
-"""A bounded sample of labelled rows, for fitting classifiers on the driver."""
+"""A bounded sample of labelled rows, and models fitted to it in one task of the cluster."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +21,32 @@ class Sample:
     texts: object
     label: np.ndarray
     weight: np.ndarray
-    share: float
 
     @property
     def usable(self) -> bool:
         return len(self.label) > 0 and 0 < int(self.label.sum()) < len(self.label)
 
 
+@dataclass
+class Fitted:
+    """A pickled model, or none where a class had no example, and the share of label 1 among all labelled rows."""
+
+    model: bytes | None
+    share: float
+
+    def load(self):
+        return None if self.model is None else pickle.loads(self.model)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int = 4000, max_chars: int = 20_000
-) -> Sample:
-    """At most per_class labelled rows of each class, the first by a hash of the id, each of at most max_chars characters.
+) -> tuple[DataFrame, list[int]]:
+    """(doc_id, label, text) of at most per_class labelled ids of each class, and how many ids of each class there are.
 
-    allowed: a condition on doc_id; rows where it isn't true are not learned from. Rows with
-    a null id or label are no examples; of several labels of one id the largest counts. The
-    ids are chosen on the small labels table, so the broadcast holds 2 * per_class rows at most.
+    The ids are the first by a hash; texts have at most max_chars characters. allowed: a
+    condition on doc_id; rows where it isn't true are not learned from. Rows with a null id or
+    label are no examples; of several labels of one id the largest counts, of several texts the
+    least. The ids are chosen on the small labels table, so the broadcast holds 2 * per_class rows at most.
     """
     wanted = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
@@ -46,13 +60,26 @@ def labelled_sample(
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).where(
         F.length("text") <= max_chars
     )
-    rows = texts.join(F.broadcast(picks[0].unionAll(picks[1])), "doc_id").select("doc_id", "label", "text").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    y = np.asarray(rows["label"].to_numpy(), dtype=np.int64)
-    have = np.maximum(np.bincount(y, minlength=2), 1)
-    true = np.array([totals.get(0, 0), totals.get(1, 0)], dtype=float)
-    share = true[1] / true.sum() if true.sum() else 0.5
-    weight = (true / have)[y] if len(y) else np.zeros(0)
-    if len(y):
-        weight = weight / weight.mean()
-    return Sample(rows["text"], y, weight, float(share))
+    rows = texts.join(F.broadcast(picks[0].unionAll(picks[1])), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    return rows, [totals.get(0, 0), totals.get(1, 0)]
+
+
+def fit_sample(rows: DataFrame, totals: list[int], fit: Callable[[Sample], object | None]) -> Fitted:
+    """A model of the sample, fitted in one task: the driver sees the pickled model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by("doc_id")
+        y = np.asarray(table["label"].to_numpy(), dtype=np.int64)
+        weight = (np.array(totals, dtype=float) / np.maximum(np.bincount(y, minlength=2), 1))[y]
+        sample = Sample(table["text"], y, weight / weight.mean() if len(y) else weight)
+        model = fit(sample) if sample.usable else None
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    every = sum(totals)
+    return Fitted(bytes(found["model"]) if found else None, totals[1] / every if every else 0.5)

@@ -1,7 +1,8 @@
-"""Session helpers: where intermediate results go, and batch sizes for Python stages."""
+"""Session helpers: where intermediate results go."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,12 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured (local tests)."""
+    """The shared folder of the session; a temporary one only where none is configured and everything runs in one process (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
-    current = sc._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return configured or sc._jsc.sc().getCheckpointDir().get()
 
@@ -33,6 +35,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of `scratch`, in whichever store it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
