@@ -20,11 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .components import connected_components
 from .runs import by_group, complete_groups, local_components, tiled
 from .session import cut, text_or_empty
 from .textscan import SPACES, mix, scan, shingles
+from .totals import with_totals
+
+_CLASS_FIELDS = [StructField("_id", LongType()), StructField("h1", LongType()), StructField("h2", LongType()), StructField("n", IntegerType())]
 
 #: Runs that all sets take part in; sets whose paths go deep take part in further ones.
 RUNS = 8
@@ -62,6 +66,15 @@ def _minhashes(values: np.ndarray, at: np.ndarray, tokens: int) -> np.ndarray:
     return out
 
 
+def _set_hashes(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each text's shingles, which tell its set from others."""
+    out = []
+    for v in (values, mix(values)):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)])
+        out.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 def signatures(docs: DataFrame, width: int, tokens: int) -> DataFrame:
     """doc_id, h1, h2 (of the whole shingle set), n (its size) and sig of each row with a doc_id."""
 
@@ -69,16 +82,12 @@ def signatures(docs: DataFrame, width: int, tokens: int) -> DataFrame:
         for b in batches:
             for s in scan(b.column(1), SPACES):
                 values, at = _sets(*shingles(s.hashes(), s.first, width))
-                n = np.diff(at)
-                total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
-                other = np.concatenate([[np.uint64(0)], np.cumsum(mix(values), dtype=np.uint64)])
                 sig = _minhashes(values, at, tokens)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(s.lo, s.n),
-                        pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
-                        pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
-                        pa.array(n.astype(np.int32)),
+                        *map(pa.array, _set_hashes(values, at)),
+                        pa.array(np.diff(at).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * tokens), pa.array(sig.ravel())),
                     ],
                     names=["doc_id", "h1", "h2", "n", "sig"],
@@ -116,8 +125,7 @@ def chosen_paths(
         )
 
     def counted(keys: DataFrame) -> DataFrame:
-        sizes = keys.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        return keys.join(sizes, "path")
+        return with_totals(keys, ["path"], "id", [F.count("*").alias("size")], "size > 1")
 
     start = sig.withColumn("run", F.explode(F.sequence(F.lit(runs[0]), F.lit(runs[-1]))))
     keys = children(start.select("id", "sig", F.xxhash64("run").alias("path"), F.lit(None).cast("long").alias("size")))
@@ -242,56 +250,75 @@ def verified_links(members: DataFrame, threshold: float, chunk: int) -> DataFram
 
 
 def _shingle_bytes(docs: DataFrame, width: int) -> DataFrame:
-    """docs (id, component, size, text) with the text replaced by its shingle set."""
+    """docs (id, component, size, h1, h2, text) with the shingle set for the text, of the rows whose set has these hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in scan(b.column("text"), SPACES):
                 values, at = _sets(*shingles(s.hashes(), s.first, width))
-                sets = pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+                own = b.slice(s.lo, s.n)
+                same = np.ones(s.n, dtype=bool)
+                for name, h in zip(("h1", "h2"), _set_hashes(values, at)):
+                    same &= own.column(name).to_numpy() == h
+                sets = pa.array([values[at[i] : at[i + 1]].tobytes() for i in np.flatnonzero(same)], pa.binary())
+                own = own.filter(pa.array(same))
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(s.lo, s.n) for c in ("id", "component", "size")), sets],
-                    names=["id", "component", "size", "shingles"],
+                    [*(own.column(c) for c in ("id", "component", "size")), sets], names=["id", "component", "size", "shingles"]
                 )
 
     return docs.mapInArrow(run, "id bigint, component bigint, size bigint, shingles binary")
 
 
-def jaccard_join(
+def _joined(
     docs: DataFrame, threshold: float = 0.8, width: int = 5, tokens: int = 64, recall: float = 0.99,
     small: int = 64, dense: float = 0.6, most_levels: int = 24, near: float = 0.6, chunk: int = 512,
-) -> DataFrame:
-    """doc_id, class_id, copies, n_links, component_id, kept of every row of docs (doc_id, text).
+) -> tuple[DataFrame, bool]:
+    """Rows of the join with the hashes of their sets and `first`, whether their class is the one of its
+    component that stays; and whether a doc_id repeats.
 
-    Words are runs without white space, ASCII letters lower-cased; a text of fewer than
-    `width` words has one shingle of all of them. class_id: the least doc_id with the same
-    shingle set; copies: the rows of that class; n_links: other classes with Jaccard
-    similarity of at least the threshold; component_id: the least doc_id reachable by links;
-    kept: doc_id is component_id. Null and empty texts have no shingles: they are one class
-    without links. A null doc_id has null ids, no links, and is kept. Rows with one doc_id and
-    different texts stand for the text of the least set hash. No rows give no rows.
+    A class is known by the hashes of its set and has an id of its own, so that one doc_id with
+    several texts is in several classes.
     """
     sigs = cut(signatures(docs, width, tokens))
+    repeats = not sigs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
     of_class = sigs.groupBy("h1", "h2", "n").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("sig").alias("sig")
+        F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("sig").alias("sig")
     )
-    classes = cut(of_class)
+    classes = cut(of_class.withColumn("id", F.monotonically_increasing_id()))
     full = classes.where("n > 0").select("id", "sig")
     proposed = connected_components(run_until(full, threshold, tokens, recall, small, dense, most_levels, near, chunk))
     proposed = cut(proposed.select(F.col("vertex").alias("id"), "component"))
-    sizes = proposed.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = proposed.join(sizes, "component").join(classes.select("id", "h1", "h2"), "id")
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_or_empty(docs).alias("text"))
-    sets = _shingle_bytes(texts.join(wanted, "id").select("id", "component", "size", "text"), width).dropDuplicates(["id"])
-    links = cut(verified_links(sets, threshold, chunk))
+    sized = with_totals(proposed, ["component"], "id", [F.count("*").alias("size")])
+    wanted = sized.join(classes.select("id", F.col("class_id").alias("_doc"), "h1", "h2"), "id")
+    texts = docs.select(docs["doc_id"].cast("long").alias("_doc"), text_or_empty(docs).alias("text"))
+    sets = _shingle_bytes(texts.join(wanted, "_doc").select("id", "component", "size", "h1", "h2", "text"), width)
+    links = cut(verified_links(sets.dropDuplicates(["id"]) if repeats else sets, threshold, chunk))
     component = connected_components(links.select("a", "b")).select(F.col("vertex").alias("id"), "component")
+    own = F.struct("class_id", "h1", "h2")
+    least = with_totals(
+        component.join(classes.select("id", "class_id", "h1", "h2"), "id").select("id", "component", own.alias("own")),
+        ["component"], "id", [F.min("own").alias("least")],
+    ).select("id", "least")
     degrees = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    per_class = classes.join(component, "id", "left").join(degrees, "id", "left").select(
-        "h1", "h2", "n", F.col("id").alias("class_id"), "copies",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
+    per_class = classes.join(least, "id", "left").join(degrees, "id", "left").select(
+        "h1", "h2", "n", "class_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("least.class_id", "class_id").alias("component_id"), F.coalesce(F.col("least") == own, F.lit(True)).alias("first"),
     )
-    known = sigs.select("doc_id", "h1", "h2", "n").join(per_class, ["h1", "h2", "n"])
+    return sigs.select("doc_id", "h1", "h2", "n").join(per_class, ["h1", "h2", "n"]), repeats
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, copies, n_links, component_id, kept of every row of docs (doc_id, text).
+
+    Words are runs without white space, ASCII letters lower-cased; a text of fewer than
+    `width` words has one shingle of all of them. class_id: the least doc_id with the same
+    shingle set; copies: the rows of that class; n_links: other classes with Jaccard
+    similarity of at least the threshold; component_id: the least doc_id reachable by links;
+    kept: doc_id is component_id. Null and empty texts have no shingles: they are one class
+    without links. A null doc_id has null ids, no links, and is kept. Where a doc_id repeats, each
+    of its rows is in the class of its own text. No rows give no rows.
+    """
+    known, _ = _joined(docs, **options)
     known = known.select("doc_id", "class_id", "copies", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     nameless = docs.where("doc_id is null").select(
         F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1).cast("long"), F.lit(0).cast("long"),
@@ -301,10 +328,29 @@ def jaccard_join(
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of linked texts, the one of least doc_id; rows without doc_id stay."""
-    joined = jaccard_join(docs, **options)
-    kept = joined.where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi")
-    if joined.agg(F.count("doc_id") > F.count_distinct("doc_id")).first()[0]:
-        rows = rows.dropDuplicates(["doc_id"])
+    """docs with one row of each group of linked or equal texts: of its least doc_id, and of that id's texts there the one of least hashes.
+
+    Null and empty texts are one group; rows without doc_id stay; an empty table gives no rows.
+    All columns are kept, whatever their names.
+    """
+    known, repeats = _joined(docs, **options)
+    kept = known.where("first and doc_id = class_id").select(F.col("doc_id").alias("_id"), "h1", "h2", "n").distinct()
+    named = docs.where("doc_id is not null")
+    if not repeats:
+        rows = named.join(kept.select("_id"), named["doc_id"].cast("long") == kept["_id"], "left_semi")
+        return rows.unionByName(docs.where("doc_id is null"))
+    # a doc_id with several texts: its rows are told apart by their sets
+    width = options.get("width", 5)
+    whole = named.select(named["doc_id"].cast("long").alias("_id"), text_or_empty(named).alias("_text"), F.struct(*[named[c] for c in docs.columns]).alias("_row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in scan(b.column(1), SPACES):
+                values, at = _sets(*shingles(s.hashes(), s.first, width))
+                hashes = [*map(pa.array, _set_hashes(values, at)), pa.array(np.diff(at).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.n), *hashes, b.column(2).slice(s.lo, s.n)], names=["_id", "h1", "h2", "n", "_row"])
+
+    row = StructType([*_CLASS_FIELDS, whole.schema["_row"]])
+    marked = whole.mapInArrow(run, row)
+    rows = marked.join(kept, ["_id", "h1", "h2", "n"], "left_semi").dropDuplicates(["_id", "h1", "h2", "n"]).select("_row.*")
     return rows.unionByName(docs.where("doc_id is null"))

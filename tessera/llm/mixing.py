@@ -11,6 +11,7 @@ so a source with most of the rows is spread over as many tasks as buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Relative weight at the start and at the end of training, for each of WEIGHTS: fixed values.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
-BUCKET_HEX = 3
+#: Rows of one source and bucket that meet in one window, on average; buckets are made for it.
+BUCKET_ROWS = 50_000
 
 
 def invert_schedule(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
@@ -78,89 +80,94 @@ def source_targets(
     return per.withColumn("target", F.least("cap", F.col("weight") * rate)).drop("cap")
 
 
+def sizes_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """id, source, size, tie (a hash of the text) and any further columns of docs: a null text has no words."""
+    text = text_or_empty(docs)
+    return docs.select(
+        docs["doc_id"].cast("string").alias("id"), F.concat(F.lit("="), docs["source"].cast("string")).alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"), *more,
+    )
+
+
 def plan_mix(
-    docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, demand: float = 1.5
+    rows: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, demand: float = 1.5
 ) -> DataFrame:
-    """docs with _size, _source_size, _target, _taken and _uses, all other columns kept.
-
-    _uses: an array of (position, words), one entry for each pass of the source that takes
-    the document; only the last document of a source's last pass is taken in part. The order
-    within a source is that of md5 of seed and doc_id, so reruns agree. Null texts have no
-    words and are never taken; null sources are one source, the last; repeated rows follow
-    each other in the order; an empty table gives no rows.
+    """rows (id, source, size, tie, ...) with source_size, target, taken and uses.
+
+    uses: an array of (position, words), one entry for each pass of the source that takes the
+    document; only the last document of a source's last pass is taken in part. position: the
+    time, from 0 to 1, at which the source's integrated schedule has used the words before the
+    middle of the use. The order within a source is that of md5 of seed and id, so reruns agree.
+    Rows without words are never taken; null sources are one source, the last; rows of equal id
+    follow each other by size and tie; no rows give no rows.
     """
-    key = F.concat(F.lit("="), docs["source"].cast("string"))
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.select(
-        "*",
-        F.regexp_count(text_or_empty(docs), F.lit(WORD)).cast("long").alias("_size"),
-        key.alias("source_key"),
-        hashed.alias("_hash"),
-        F.substring(hashed, 1, BUCKET_HEX).alias("_bucket"),
-    )
-    per_bucket = cut(rows.groupBy("source_key", "_bucket").agg(F.sum("_size").alias("size")))
-    targets = source_targets(per_bucket.select("source_key", "size"), weights, demand)
-    before = Window.partitionBy("source_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("id", F.lit("null"))).cast("binary"))
+    digits = min(8, max(1, math.ceil(math.log(max(1, rows.count() / BUCKET_ROWS), 16))))
+    rows = rows.withColumns({"_hash": hashed, "_bucket": F.substring(hashed, 1, digits)})
+    per_bucket = cut(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("size")))
+    targets = source_targets(per_bucket.select(F.col("source").alias("source_key"), "size"), weights, demand)
+    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         per_bucket.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .join(targets, per_bucket["source_key"].eqNullSafe(targets["source_key"]))
-        .select(
-            per_bucket["source_key"].alias("_k"), F.col("_bucket").alias("_b"), "_before", "turn",
-            F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-        )
-    )
+        .join(targets, per_bucket["source"].eqNullSafe(targets["source_key"]))
+        .select(F.col("source").alias("_k"), F.col("_bucket").alias("_b"), "_before", F.col("turn").alias("_turn"), "source_size", "target")
+    )
     running = (
-        Window.partitionBy("source_key", "_bucket").orderBy("_hash", F.col("doc_id").asc_nulls_first(), "_size")
+        Window.partitionBy("source", "_bucket").orderBy("_hash", F.col("id").asc_nulls_first(), "size", "tie")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    placed = rows.withColumn("_within", F.sum("_size").over(running)).join(
-        offsets, F.col("source_key").eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))
+    placed = rows.withColumn("_within", F.sum("size").over(running)).join(
+        offsets, F.col("source").eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))
     )
-    begin = F.col("_before") + F.col("_within") - F.col("_size")
+    begin = F.col("_before") + F.col("_within") - F.col("size")
 
     def use(k: int) -> Column:
-        start = begin + F.lit(k) * F.col("_source_size")
-        words = F.least(F.greatest(F.floor(F.round("_target", 6)) - start, F.lit(0)), F.col("_size"))
-        share = (start + words / 2) / F.greatest(F.col("_target"), F.lit(1.0))
+        start = begin + F.lit(k) * F.col("source_size")
+        words = F.least(F.greatest(F.floor(F.round("target", 6)) - start, F.lit(0)), F.col("size"))
+        share = (start + words / 2) / F.greatest(F.col("target"), F.lit(1.0))
         position = F.lit(None).cast("double")
         for turn, knots in enumerate(schedules):
-            position = F.when(F.col("turn") == turn, invert_schedule(share, knots)).otherwise(position)
+            position = F.when(F.col("_turn") == turn, invert_schedule(share, knots)).otherwise(position)
         return F.struct(position.alias("position"), words.alias("words"))
 
     uses = F.filter(F.array(use(0), use(1)), lambda x: x["words"] > 0)
-    return placed.withColumn("_uses", uses).withColumn(
-        "_taken", F.aggregate("_uses", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return (
+        placed.withColumn("uses", uses)
+        .withColumn("taken", F.aggregate("uses", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
+        .drop("_hash", "_bucket", "_within", "_k", "_b", "_before", "_turn")
     )
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    """The contract's columns and the positions, sorted by the first position."""
-    plan = plan_mix(docs, **options)
-    return plan.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        F.col("_taken").alias("taken"),
-        F.get("_uses", F.lit(0))["position"].alias("first_position"),
-        F.get("_uses", F.lit(1))["position"].alias("second_position"),
-    ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+    """doc_id, size, source_size, target, taken, first_position and second_position, sorted by the first position.
+
+    Sizes are taken from the texts once and kept; texts are not shuffled. Null, empty and repeated
+    rows are as plan_mix says; other columns are ignored.
+    """
+    sizes = cut(sizes_of(docs, docs["doc_id"].cast("long").alias("doc_id")))
+    return plan_mix(sizes, **options).select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.get("uses", F.lit(0))["position"].alias("first_position"), F.get("uses", F.lit(1))["position"].alias("second_position"),
+    ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, one row for each use, in the order of training.
 
-    Columns are those of docs. A use of part of a document keeps its first words, with their
-    spacing; a column n_chars then follows the text.
+    Columns are those of docs, whatever their names. A use of part of a document keeps its first
+    words, with their spacing; a column n_chars then follows the text. Null and empty texts have no
+    words and are not in the mix; repeated rows are mixed as rows of their own; a null source is a
+    source, a null doc_id an id; an empty table gives no rows.
     """
-    plan = plan_mix(docs, **options).withColumn("_use", F.explode("_uses"))
-    part = F.col("_use.words") < F.col("_size")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    plan = plan_mix(sizes_of(docs, row), **options).select("id", "row", "size", F.explode("uses").alias("use"))
+    part, text = F.col("use.words") < F.col("size"), F.col("row.text")
     # pieces of one word with the white space before it; a repeated group would recurse in the regex engine
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    beginning = F.array_join(F.slice(pieces, F.lit(1), F.col("_use.words").cast("int")), "")
-    cut_text = F.when(part, beginning).otherwise(F.col("text"))
-    plan = plan.withColumn("text", cut_text)
-    if "n_chars" in docs.columns:
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    beginning = F.array_join(F.slice(pieces, F.lit(1), F.col("use.words").cast("int")), "")
+    made = {c: F.col("row")[c] for c in docs.columns}
+    made["text"] = F.when(part, beginning).otherwise(text)
+    if "n_chars" in made:
         kind = docs.schema["n_chars"].dataType
-        plan = plan.withColumn("n_chars", F.when(part, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return plan.orderBy("_use.position", "doc_id").select(*docs.columns)
+        made["n_chars"] = F.when(part, F.length(made["text"]).cast(kind)).otherwise(made["n_chars"])
+    return plan.orderBy("use.position", "id", "size").select(*[v.alias(k) for k, v in made.items()])

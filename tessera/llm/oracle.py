@@ -52,6 +52,10 @@ OP8 = f"""with recursive p as (select page_id, url, html, {_HOST.format('url')}
  select page_id, host, path, rule, coalesce(own, case when allowed then 'allow' when blocked then 'block' end, 'allow') as verdict
  from j left join part on part.node = j.key left join told using (component)"""
 
+#: The time at which a share of each of the three integrated schedules is used.
+_TIME = """round(case turn when 0 then 2 * # / (1.5::double + sqrt(greatest(2.25::double - 2 * #, 0))) when 1 then #
+ else case when # <= 0.3125 then 2 * # / (0.5::double + sqrt(0.25::double + #)) else 0.5 + 2 * (# - 0.3125::double) / (0.75::double + sqrt(0.5625::double + 5 * (# - 0.3125::double))) end end, 6)"""
+
 #: The rate at which uncapped sources are served: the first, in order of saturation, whose rate keeps the next ones uncapped.
 OP10 = f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as size, md5('0:' || coalesce(cast(doc_id as varchar), 'null')) as hash from documents),
  s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
@@ -59,8 +63,10 @@ OP10 = f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(tex
  o as (select *, sum(cap) over a - cap as capped, sum(weight) over () - sum(weight) over a + weight as open, sum(source_size) over () * 1.5::double as demand from w window a as (order by cap / weight, source rows unbounded preceding)),
  r as (select min_by((demand - capped) / open, cap / weight) filter (where (demand - capped) / open <= cap / weight) as rate from o),
  t as (select source, source_size, turn, least(cap, weight * coalesce(rate, 1e300)) as target from w, r),
- q as (select d.*, source_size, turn, target, cast(sum(size) over (partition by d.source order by substr(hash, 1, 3), hash, doc_id nulls first, size rows unbounded preceding) as bigint) - size as start from d join t on d.source is not distinct from t.source),
- u as (select *, greatest(least(floor(round(target, 6)) - start, size), 0)::bigint as w0, greatest(least(floor(round(target, 6)) - start - source_size, size), 0)::bigint as w1 from q)
- select doc_id, cast(size as bigint) as size, source_size, round(target, 6) as target, w0 + w1 as taken from u"""
+ q as (select d.*, source_size, turn, target, cast(sum(size) over (partition by d.source order by hash, doc_id nulls first, size rows unbounded preceding) as bigint) - size as start from d join t on d.source is not distinct from t.source),
+ u as (select *, greatest(least(floor(round(target, 6)) - start, size), 0)::bigint as w0, greatest(least(floor(round(target, 6)) - start - source_size, size), 0)::bigint as w1 from q),
+ x as (select *, (start + w0 / 2.0::double) / greatest(target, 1.0::double) as s0, (start + source_size + w1 / 2.0::double) / greatest(target, 1.0::double) as s1 from u)
+ select doc_id, cast(size as bigint) as size, source_size, round(target, 6) as target, w0 + w1 as taken,
+ case when w0 > 0 then {_TIME.replace('#', 's0')} when w1 > 0 then {_TIME.replace('#', 's1')} end as first_position, case when w0 > 0 and w1 > 0 then {_TIME.replace('#', 's1')} end as second_position from x"""
 
 ORACLE_SQL = {"op4_jaccard_join": OP4, "op7_embedding_dedup": OP7, "op8_url_filter": OP8, "op10_mixing": OP10}
