@@ -1,18 +1,22 @@
 """Language-model scores by a weighted backoff automaton over all training texts.
 
-States are the contexts seen in training, arcs their smoothed continuations, and a failure
-arc leads from each context to the next shorter one with the weight of what is left:
+States are the contexts seen in training, the root the empty one. An arc leads from a context
+by a word that followed it to the longest state that ends the two, with the word's smoothed
+probability; a failure arc leads from a context to the next shorter one with the weight of what
+the arcs leave:
 
     p(w | context) = (count(context w) + k p(w | shorter)) / (count(context) + k)
+    failure weight = k / (count(context) + k)
 
-so a missing arc costs the failure weight k / (count(context) + k). The state after a token
-is the longest seen suffix of the last order-1 tokens; the left-to-right walk of a whole
-block of texts is therefore done at once, order by order, with numpy gathers.
+Texts are walked from left to right: each step takes the state's arc for the word, or failure
+arcs until there is one, adds the logarithms and carries the state on. All texts of a block step
+together. Long texts are walked in segments that begin order - 1 tokens early, because those
+tokens alone settle the state.
 
-The model of the corpus never exists in one place. Texts are dealt into blocks of bounded
+The automaton of the corpus never exists in one place. Texts are dealt into blocks of bounded
 size; each block asks for the n-grams that occur in it, sorted by hash, with its own counts.
 Hash ranges add up all blocks' counts and answer in the order of the question, so answers are
-counts alone. A block then holds just the part of the automaton that its texts walk through.
+counts alone. A block then builds just the part of the automaton that its texts walk through.
 """
 
 from __future__ import annotations
@@ -35,13 +39,21 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Low bits that n-grams of two and more tokens drop from their hashes.
 _DROP = np.uint64(12)
 _LOG = math.log(10.0)
+#: Tokens of a text that are walked in one go.
+SEGMENT = 256
+#: Bytes of text in a block at least, and of text for each row of counts: blocks grow with the root of the corpus, so rows grow in proportion to it.
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 1000
 
 
 @dataclass
 class Block:
-    """All tokens of a block: text, training or not, and for each order the index of the n-gram ending there."""
+    """All tokens of a block: text, place in it (BEGIN is 0), training or not, and for each order the n-gram ending there.
+
+    An n-gram that would reach before its text's BEGIN is the shorter one that begins there.
+    """
 
     doc: np.ndarray
+    place: np.ndarray
     train: np.ndarray
     keys: list[np.ndarray]
     index: list[np.ndarray]
@@ -77,7 +89,9 @@ def block_ngrams(texts, held_out: np.ndarray, order: int) -> Block:
         keys.append(unique)
         index.append(inverse)
     begin = int(np.searchsorted(keys[0], BEGIN)) if len(word) else 0
-    return Block(doc, token & ~held_out[doc] if len(doc) else token, keys, index, begin)
+    starts = np.flatnonzero(~token)
+    place = np.arange(len(word)) - np.repeat(starts, np.diff(np.append(starts, len(word))))
+    return Block(doc, place, token & ~held_out[doc] if len(doc) else token, keys, index, begin)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -170,26 +184,96 @@ def _sum_totals(batches):
     yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in out], names=["tokens", "types", "ones", "twos"])
 
 
-def walk(b: Block, counts: list[np.ndarray], totals: tuple[int, int, int, int], concentration: float) -> dict[str, np.ndarray]:
-    """Per token of a block (BEGIN excluded): its count, its base and its model log10 probability."""
-    tokens, types, ones, twos = (float(x) for x in totals)
-    token = b.index[0] != b.begin
-    c = counts[0][b.index[0]].astype(np.float64)
-    discount = np.clip(ones / (ones + 2 * twos), 0.1, 0.95) if ones else 0.5
-    if tokens:
-        p = (np.maximum(c - discount, 0) + discount * types / (types + 1)) / tokens
-    else:
-        p = np.full(len(c), 1.0)
-    for k in range(1, len(counts)):
-        have = counts[k][b.index[k]].astype(np.float64)
-        context = np.zeros(len(c))
-        context[1:] = counts[k - 1][b.index[k - 1]][:-1]
-        # at a text's start an n-gram may be no longer than the one before; it is weighed once
-        longer = np.ones(len(c), dtype=bool) if k == 1 else b.keys[k][b.index[k]] != b.keys[k - 1][b.index[k - 1]]
-        state = (context > 0) & longer
-        p = np.where(state, (have + concentration * p) / (context + concentration), p)
-    base = np.log((c + 1) / (tokens + types + 1)) / _LOG
-    return {"doc": b.doc[token], "known": c[token] > 0, "base": base[token], "model": np.log(p[token]) / _LOG}
+@dataclass
+class Automaton:
+    """Arcs sorted by state and word, those of the root (state 0) by word, and each state's failure arc; weights are natural logarithms."""
+
+    words: int
+    arc: np.ndarray
+    arc_to: np.ndarray
+    arc_weight: np.ndarray
+    root_to: np.ndarray
+    root_weight: np.ndarray
+    fail_to: np.ndarray
+    fail_weight: np.ndarray
+
+    @staticmethod
+    def build(b: Block, counts: list[np.ndarray], totals: tuple[int, int, int, int], concentration: float) -> Automaton:
+        """Of the n-grams of a block, with the corpus's counts of each."""
+        tokens, types, ones, twos = (float(x) for x in totals)
+        order, v = len(counts), len(counts[0])
+        c = counts[0].astype(np.float64)
+        discount = np.clip(ones / (ones + 2 * twos), 0.1, 0.95) if ones else 0.5
+        p = (np.maximum(c - discount, 0) + discount * types / (types + 1)) / tokens if tokens else np.ones(v)
+        # states: the root, then the contexts of one token, of two, ...
+        base = np.concatenate([[1], 1 + np.cumsum([len(x) for x in counts[: order - 1]])]).astype(np.int64)
+        fail_to, fail_weight = np.zeros(base[-1], dtype=np.int64), np.zeros(base[-1])
+        root_weight = np.log(p)
+        root_to = np.where(counts[0] > 0, base[0] + np.arange(v), 0) if order > 1 else np.zeros(v, dtype=np.int64)
+        arcs = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for k in range(1, order):
+            at = np.zeros(len(counts[k]), dtype=np.int64)
+            at[b.index[k][::-1]] = np.arange(len(b.doc) - 1, -1, -1)  # where each n-gram ends first
+            whole = (b.place[at] >= k) & (counts[k] > 0)
+            shorter, context, word = b.index[k - 1][at], b.index[k - 1][at - 1], b.index[0][at]
+            own, seen = counts[k].astype(np.float64), counts[k - 1][context].astype(np.float64)
+            p = np.where(whole, (own + concentration * p[shorter]) / (seen + concentration), p[shorter])
+            state = base[k - 1] + np.arange(len(counts[k - 1]))
+            fail_weight[state] = np.log(concentration) - np.log(counts[k - 1] + concentration)
+            to = base[k] + np.arange(len(counts[k])) if k + 1 < order else base[k - 1] + shorter
+            if k + 1 < order:
+                fail_to[to] = base[k - 1] + shorter
+            arcs.append(((base[k - 1] + context[whole]) * v + word[whole], to[whole], np.log(p[whole])))
+        arc, arc_to, arc_weight = (np.concatenate(x) for x in zip(*arcs))
+        by = np.argsort(arc, kind="stable")
+        return Automaton(v, arc[by], arc_to[by], arc_weight[by], root_to, root_weight, fail_to, fail_weight)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one word each, and the logarithms of its probabilities."""
+        to, weight = np.empty_like(state), np.zeros(len(state))
+        left = np.arange(len(state))
+        while len(left):
+            at_root = state == 0
+            done = left[at_root]
+            to[done] = self.root_to[word[at_root]]
+            weight[done] += self.root_weight[word[at_root]]
+            left, state, word = left[~at_root], state[~at_root], word[~at_root]
+            if not len(left):
+                break
+            wanted = state * self.words + word
+            at = np.minimum(np.searchsorted(self.arc, wanted), max(len(self.arc) - 1, 0))
+            found = self.arc[at] == wanted if len(self.arc) else np.zeros(len(left), dtype=bool)
+            to[left[found]] = self.arc_to[at[found]]
+            weight[left[found]] += self.arc_weight[at[found]]
+            left, state, word = left[~found], state[~found], word[~found]
+            weight[left] += self.fail_weight[state]
+            state = self.fail_to[state]
+        return to, weight
+
+
+def walk(b: Block, automaton: Automaton, order: int, segment: int = SEGMENT) -> np.ndarray:
+    """The logarithm of each token's probability (0 for BEGIN), by walks from left to right."""
+    out = np.zeros(len(b.doc))
+    if not len(b.doc):
+        return out
+    size = np.diff(np.append(np.flatnonzero(b.place == 0), len(b.doc)))
+    first = np.flatnonzero(b.place == 0)
+    pieces = -(-size // segment)
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(first, pieces) + piece * segment
+    end = np.minimum(begin + segment, np.repeat(first + size, pieces))
+    early = np.maximum(begin - (order - 1), np.repeat(first, pieces))
+    by = np.argsort(early - end, kind="stable")  # the longest first, so that those still walking come first
+    begin, end, early = begin[by], end[by], early[by]
+    state = np.zeros(len(early), dtype=np.int64)
+    length = end - early
+    for t in range(int(length[0])):
+        n = int(np.searchsorted(-length, -t, side="left"))
+        at = early[:n] + t
+        state[:n], weight = automaton.step(state[:n], b.index[0][at])
+        scored = (at >= begin[:n]) & (b.place[at] > 0)
+        out[at[scored]] = weight[scored]
+    return out
 
 
 def _scores(order: int, bits: int, concentration: float):
@@ -202,13 +286,17 @@ def _scores(order: int, bits: int, concentration: float):
         place = np.argsort(parts)
         answers = [_split(right["payload"][int(i)].as_py()) for i in place]
         counts = [np.concatenate([_unpack(a[k + 1]) for a in answers]).astype(np.int64) for k in range(order)]
+        if [len(x) for x in counts] != [len(x) for x in b.keys]:
+            raise RuntimeError("a block's texts are not those that its questions came from")
         totals = tuple(right[n][0].as_py() for n in ("tokens", "types", "ones", "twos"))
-        w = walk(b, counts, totals, concentration)
-        n = left.num_rows
+        model = walk(b, Automaton.build(b, counts, totals, concentration), order) / _LOG
+        token, n = b.place > 0, left.num_rows
+        doc, own = b.doc[token], counts[0][b.index[0][token]]
+        base = np.log((own + 1) / float(totals[0] + totals[1] + 1)) / _LOG
         out = [
-            left["doc_id"], left["held_out"], np.bincount(w["doc"], minlength=n),
-            np.bincount(w["doc"], weights=w["known"], minlength=n).astype(np.int64), np.full(n, totals[0]),
-            np.bincount(w["doc"], weights=w["base"], minlength=n), np.bincount(w["doc"], weights=w["model"], minlength=n),
+            left["doc_id"], left["held_out"], np.bincount(doc, minlength=n),
+            np.bincount(doc, weights=own > 0, minlength=n).astype(np.int64), np.full(n, totals[0]),
+            np.bincount(doc, weights=base, minlength=n), np.bincount(doc, weights=model[token], minlength=n),
         ]
         return pa.table([pa.chunked_array([pa.array(x, t)]) if isinstance(x, np.ndarray) else x for x, (_, t) in zip(out, _RESULT)], names=[k for k, _ in _RESULT])
 
@@ -222,7 +310,7 @@ _RESULT = [
 
 
 def language_model_scores(
-    docs: DataFrame, held_out: Column, order: int = 2, concentration: float = 100.0, block_bytes: int = 8 << 20
+    docs: DataFrame, held_out: Column, order: int = 3, concentration: float = 30.0, block_bytes: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
@@ -232,13 +320,17 @@ def language_model_scores(
     the end. Repeated rows are texts of their own; a null doc_id stays null; other columns are
     ignored; an empty table gives no rows. Without a training text every score is 0.
 
-    Blocks hold about block_bytes of text, or one longer text. Shuffled are the texts, once, and about
-    five bytes for each different n-gram of a block.
+    Blocks hold about block_bytes of text, or one longer text; by default they grow with the
+    square root of the corpus, so that the rows that blocks exchange grow in proportion to it and
+    not with its square (8 MB up to 64 GB of text, 32 MB for 1 TB). Shuffled are the texts, once, and
+    about five bytes for each different n-gram of a block. Which block a row is in follows from its
+    id, its text and its partition, so rows of one id, or of none, and repeated rows are spread.
     """
     size = docs.agg(F.sum(F.octet_length(text_or_empty(docs))).alias("n")).first()["n"] or 0
+    block_bytes = block_bytes or max(BLOCK_BYTES, math.isqrt(ROW_BYTES * size))
     blocks = max(1, math.ceil(size / block_bytes))
-    bits = min(24, max(2, math.ceil(math.log2(blocks))))
-    key = F.coalesce(F.xxhash64(docs["doc_id"].cast("long"), F.lit(1)), F.xxhash64(text_or_empty(docs)))
+    bits = max(2, math.ceil(math.log2(blocks)))
+    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), text_or_empty(docs), F.spark_partition_id())
     dealt = docs.select(
         F.pmod(key, F.lit(blocks)).cast("int").alias("block"), docs["doc_id"].cast("long").alias("doc_id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty(docs).alias("text"),
