@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import embeddings, fingerprints, jaccard, lmscore, mixing, packing, quality, tokencount, toxicity, urlfilter
 from .oracle import ORACLE_SQL  # noqa: F401
-from .session import held_out
+from .session import held_out, remove, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +43,13 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as flat token files, counted by their end identifiers (the vocabulary's end-of-text)."""
+    """All documents written as flat token files, which are scanned for their end identifiers (the vocabulary's end-of-text)."""
     stream = tokencount.token_stream(table(spark, sf_dir, "documents"), packing.public_byte_bpe(), end_id=50256)
-    return tokencount.count_tokens(stream, end_id=50256).select("doc_id", "file", "ordinal", "start", "tokens", "closed")
+    path = scratch(spark, "tokens")
+    written = tokencount.write_token_files(stream, path)
+    counted = tokencount.count_tokens(tokencount.read_written(written), end_id=50256)
+    remove(spark, path)
+    return counted.select("doc_id", "file", "ordinal", "start", "tokens", "closed")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

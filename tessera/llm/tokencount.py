@@ -8,10 +8,12 @@ last separators tells each block where the document open at its start began.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,26 +23,108 @@ from .session import cut, text_or_empty
 BLOCK_TOKENS = 1 << 16
 #: Blocks whose separators are scanned together before their groups are.
 GROUP_BLOCKS = 1024
+#: Blocks of a file that are read in one range.
+READ_BLOCKS = 64
+
+
+def _store(path: str):
+    """The file system of a path or URI and the path in it, as pyarrow has them."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+def _read(data: Callable, at: int, count: int, width: int) -> bytes:
+    part = data(count * width, at * width)
+    if len(part) != count * width:
+        raise OSError(f"{len(part)} bytes where {count * width} were expected")
+    return bytes(part)
 
 
 def read_token_files(spark, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, ids) of the flat files under path; a file is read whole by one task, so shards should stay below 1 GB."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content"))
-    step = width * block_tokens
+    """(file, block, ids) of the flat files under path, read in byte ranges of READ_BLOCKS blocks.
+
+    Only names and lengths are listed first, so a file of any size is read by as many tasks as
+    it has ranges. Executors open the ranges through pyarrow's file systems.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    last = F.floor((F.col("length") - 1) / (width * block_tokens))
+    ranges = files.where("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(READ_BLOCKS).cast("long"))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                data = content.as_buffer()
-                if data.size % width:
-                    raise ValueError(f"{name} has {data.size} bytes, no multiple of {width}")
-                for k in range(0, data.size, step):
-                    part = data.slice(k, min(step, data.size - k)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([k // step], pa.int64()), pa.array([part], pa.binary())], names=["file", "block", "ids"]
-                    )
+            for name, length, first in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if length % width:
+                    raise ValueError(f"{name} has {length} bytes, no multiple of {width}")
+                system, at = _store(name)
+                with system.open_input_file(at) as f:
+                    for block in range(first, first + READ_BLOCKS):
+                        count = min(block_tokens, length // width - block * block_tokens)
+                        if count <= 0:
+                            break
+                        ids = _read(f.read_at, block * block_tokens, count, width)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name]), pa.array([block], pa.int64()), pa.array([ids], pa.binary())], names=["file", "block", "ids"]
+                        )
+
+    return ranges.repartition("file", "block").mapInArrow(run, "file string, block bigint, ids binary")
+
+
+def write_token_files(blocks: DataFrame, path: str) -> DataFrame:
+    """Writes blocks (file, block, ids, doc_ids), in the order that token_stream gives them, as flat files under path.
+
+    Returns (file, block, doc_ids, path, tokens), kept in the shared folder: what is in the files, without
+    the ids. A task writes files of its own name, so what a lost or repeated task left is never read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, folder = _store(path)
+        system.create_dir(folder, recursive=True)
+        out, name = None, f"{path.rstrip('/')}/{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.bin"
+        try:
+            for b in batches:
+                size = pa.compute.binary_length(b.column("ids"))
+                for ids in b.column("ids"):
+                    out = out or system.open_output_stream(_store(name)[1])
+                    out.write(ids.as_buffer())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("file"), b.column("block"), b.column("doc_ids"), pa.array([name] * b.num_rows), size.cast(pa.int64())],
+                    names=["file", "block", "doc_ids", "path", "bytes"],
+                )
+        finally:
+            if out:
+                out.close()
+
+    return cut(blocks.select("file", "block", "ids", "doc_ids").mapInArrow(run, "file string, block bigint, doc_ids array<bigint>, path string, bytes bigint"))
+
+
+def read_written(written: DataFrame, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(file, block, doc_ids, ids): the blocks that write_token_files names, read from the files by byte range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, f = None, None
+        for b in batches:
+            ids = []
+            for block, name, size in zip(*(b.column(c).to_pylist() for c in ("block", "path", "bytes"))):
+                if name != opened:
+                    system, at = _store(name)
+                    opened, f = name, system.open_input_file(at)
+                ids.append(_read(f.read_at, block * block_tokens, size // width, width))
+                if len(ids) * block_tokens * width >= 8 << 20:
+                    yield from out(b, ids)
+                    b, ids = b.slice(len(ids)), []
+            yield from out(b, ids)
+
+    def out(b: pa.RecordBatch, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if ids:
+            own = b.slice(0, len(ids))
+            yield pa.RecordBatch.from_arrays(
+                [own.column("file"), own.column("block"), own.column("doc_ids"), pa.array(ids, pa.binary())], names=["file", "block", "doc_ids", "ids"]
+            )
 
-    return files.mapInArrow(run, "file string, block bigint, ids binary")
+    return written.mapInArrow(run, "file string, block bigint, doc_ids array<bigint>, ids binary")
 
 
 def token_stream(
@@ -119,6 +203,8 @@ def count_tokens(blocks: DataFrame, end_id: int, width: int = 2, block_tokens: i
     last of block_tokens ids. tokens: the ids before the document's end identifier; start: the
     first one's place in the file. Ids behind a file's last identifier are a document too, with
     ordinal and start but closed false. Null or empty blocks hold nothing; no rows give no rows.
+    The blocks are scanned before this returns and what was found is kept in the shared folder, so
+    the files are not needed any more.
     """
     blocks = blocks.where("ids is not null")
     scanned = cut(scan_separators(blocks, end_id, width, block_tokens))
