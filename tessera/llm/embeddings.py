@@ -7,6 +7,9 @@ vectors of equal leading bits are compared without a bound, and the number of pa
 the number of bits and the target recall. Bits are chosen by the measured sizes of buckets, so
 crowding costs time and not links. Links inside a component are then counted exactly, tile by
 tile, without listing pairs.
+
+Vectors travel as the bytes they came in; cosines are taken in double precision. Sorted passes
+ship half-precision copies, which can only prove links that are clear of the threshold.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .runs import by_group, complete_groups, local_components, tiled
 from .session import cut
+from .textscan import mix
+from .totals import with_totals
 
 _BITS = 62
 
@@ -33,41 +38,56 @@ _DEPTHS, _PROBES = range(0, 41, 2), 2
 _ROW_COST, _KEY_COST = 1000, 100
 
 
-def _unit(column: pa.Array) -> list[bytes | None]:
-    """Unit vectors as bytes of doubles; None for null, zero or non-finite ones."""
-    out: list[bytes | None] = []
-    for v in column:
-        if not v.is_valid or len(v) == 0 or v.values.null_count:
-            out.append(None)
-            continue
-        x = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-        with np.errstate(all="ignore"):
-            top = np.abs(x).max()
-            if not np.isfinite(top) or top == 0:
-                out.append(None)
-                continue
-            x = x / top  # so that squares neither overflow nor vanish
-            x = x / np.sqrt(x @ x)
-        out.append(x.tobytes())
-    return out
-
-
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, unit (doubles as bytes) of the vectors that can be compared."""
+#: How far the cosine of half-precision copies of unit vectors can be from that of the vectors.
+_HALF_ERROR = 2e-3
+
+
+def comparable(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, unit: its components' bytes) of the vectors that can be compared, and the components' numpy type."""
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind = "<f4" if single else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = pa.array(_unit(b.column(1)), pa.binary())
-            keep = unit.is_valid()
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), unit.filter(keep)], names=["vec_id", "unit"])
+            column = b.column(1)
+            values = column.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)  # a null component is NaN
+            start, size = column.offsets.to_numpy()[:-1], np.diff(column.offsets.to_numpy())
+            size = np.where(column.is_valid().to_numpy(zero_copy_only=False), size, 0)
+            for n in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == n)
+                x = values[start[at][:, None] + np.arange(n)]
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                at, x = at[good], np.ascontiguousarray(x[good])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), _binary(x)], names=["vec_id", "unit"])
 
-    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(
-        run, "vec_id bigint, unit binary"
-    )
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>"))
+    return rows.mapInArrow(run, "vec_id bigint, unit binary"), kind
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    offsets = (np.arange(len(x) + 1) * x.shape[1] * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _matrix(column, kind: str) -> np.ndarray:
+    """Rows of bytes, all of one length, as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
+def _units(column, kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = _matrix(column, kind).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of equal length; vectors of different lengths never meet."""
+    size = pa.compute.binary_length(b.column("unit")).to_numpy(zero_copy_only=False)
+    for length in np.unique(size):
+        yield int(length), b.filter(pa.array(size == length))
 
 
 def _keys(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
@@ -77,48 +97,42 @@ def _keys(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
     return bits @ (np.int64(1) << np.arange(_BITS - 1, -1, -1, dtype=np.int64))
 
 
-def candidate_links(units: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
+def candidate_links(rows: DataFrame, threshold: float, passes: int, window: int, seed: int, kind: str = "<f8") -> DataFrame:
     """Edges (a, b) that join what the passes' windows link; every edge's vectors are linked, through others at most."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = pa.compute.binary_length(b.column("unit")).to_numpy(zero_copy_only=False)
-            for length in np.unique(size):  # vectors of different dimensions never meet
-                part = b.filter(pa.array(size == length))
-                keys = _keys(_matrix(part.column("unit")), passes, seed + int(length))
+            for length, part in _by_length(b):
+                x = _units(part.column("unit"), kind)
+                keys, half = _keys(x, passes, seed + length), _binary(x.astype("<f2"))
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(part.num_rows, p, dtype=np.int32)), pa.array(keys[:, p]),
-                            part.column("vec_id"), part.column("unit"), pa.array(np.full(part.num_rows, length, dtype=np.int32)),
-                        ],
-                        names=["pass", "key", "vec_id", "unit", "length"],
-                    )
+                    # vectors of one length and pass have one group
+                    group = pa.array(np.full(part.num_rows, length * passes + p, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([group, pa.array(keys[:, p]), part.column("vec_id"), half], names=["group", "key", "vec_id", "half"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_ids, last_x, last_group = None, None, None
         for b in batches:
-            group = np.stack([b.column("length").to_numpy(), b.column("pass").to_numpy()])
-            at = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
+            group = b.column("group").to_numpy()
+            at = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [b.num_rows]])
             for lo, hi in zip(at[:-1], at[1:]):
                 if lo == hi:
                     continue
-                key = tuple(group[:, lo])
-                ids_all, x_all = b.column("vec_id").to_numpy()[lo:hi], _matrix(b.column("unit").slice(lo, hi - lo))
+                ids_all, x_all = b.column("vec_id").to_numpy()[lo:hi], _matrix(b.column("half").slice(lo, hi - lo), "<f2").astype(np.float32)
                 for s in range(0, hi - lo, window):
                     ids, x = ids_all[s : s + window], x_all[s : s + window]
-                    if last_group == key:
+                    if last_group == group[lo]:
                         ids, x = np.concatenate([last_ids, ids]), np.concatenate([last_x, x])
-                    label = local_components(x @ x.T >= threshold)
+                    label = local_components(x @ x.T >= threshold + _HALF_ERROR)
                     moved = label != np.arange(len(label))
                     if moved.any():
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"]
                         )
-                    last_ids, last_x, last_group = ids[-window:], x[-window:], key
+                    last_ids, last_x, last_group = ids[-window:], x[-window:], group[lo]
 
-    order = ("length", "pass", "key", "vec_id")
-    spread_out = units.mapInArrow(spread, "pass int, key bigint, vec_id bigint, unit binary, length int")
+    order = ("group", "key", "vec_id")
+    spread_out = rows.select("vec_id", "unit").mapInArrow(spread, "group bigint, key bigint, vec_id bigint, half binary")
     return spread_out.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -128,53 +142,50 @@ def passes_for(depth: int, threshold: float, recall: float) -> int:
     return 1 if kept >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-kept))
 
 
-def bucket_keys(rows: DataFrame, depth: int, passes: int, seed: int) -> DataFrame:
-    """length, pass, key (of `depth` bits), vec_id and component of rows (vec_id, unit, component), once per pass."""
+def bucket_keys(rows: DataFrame, depth: int, passes: int, seed: int, kind: str = "<f8") -> DataFrame:
+    """turn (one for each length and pass), key (of `depth` bits), vec_id and component of rows (vec_id, unit, component), once per pass."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = pa.compute.binary_length(b.column("unit")).to_numpy(zero_copy_only=False)
-            for length in np.unique(size):
-                part = b.filter(pa.array(size == length))
-                x = _matrix(part.column("unit"))
+            for length, part in _by_length(b):
+                x = _units(part.column("unit"), kind)
                 for p in range(passes):
-                    planes = np.random.default_rng([seed, int(length), p]).standard_normal((x.shape[1], depth))
+                    planes = np.random.default_rng([seed, length, p]).standard_normal((x.shape[1], depth))
                     key = (x @ planes >= 0).astype(np.int64) @ (np.int64(1) << np.arange(depth - 1, -1, -1, dtype=np.int64))
+                    turn = pa.array(np.full(len(x), length * passes + p, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(x), length, dtype=np.int32)), pa.array(np.full(len(x), p, dtype=np.int32)),
-                            pa.array(key), part.column("vec_id"), part.column("component"),
-                        ],
-                        names=["length", "pass", "key", "vec_id", "component"],
-                    )
+                        [turn, pa.array(key), part.column("vec_id"), part.column("component")], names=["turn", "key", "vec_id", "component"]
+                    )
+
+    return rows.select("vec_id", "unit", "component").mapInArrow(spread, "turn bigint, key bigint, vec_id bigint, component bigint")
 
-    keyed = rows.select("vec_id", "unit", "component")
-    return keyed.mapInArrow(spread, "length int, pass int, key bigint, vec_id bigint, component bigint")
 
+def _sizes() -> list:
+    """Size, least and greatest component of a bucket."""
+    return [F.count("*").alias("size"), F.min("component").alias("_least"), F.max("component").alias("_most")]
 
-def _open_buckets(keys: DataFrame, *by: str) -> DataFrame:
-    """Sizes of the buckets that hold more than one component."""
-    sizes = keys.groupBy(*by).agg(F.count("*").alias("size"), F.min("component").alias("_least"), F.max("component").alias("_most"))
-    return sizes.where("_least <> _most").drop("_least", "_most")
 
+#: A bucket is open if it holds more than one component.
+_OPEN = "_least <> _most"
 
-def cheapest_depth(rows: DataFrame, threshold: float, recall: float, chunk: int, seed: int) -> int:
+
+def cheapest_depth(rows: DataFrame, threshold: float, recall: float, chunk: int, seed: int, kind: str = "<f8") -> int:
     """The number of bits whose passes cost least, by the sizes of buckets that a few passes measure."""
-    keys = bucket_keys(rows, _DEPTHS[-1], _PROBES, seed).withColumn("depth", F.explode(F.array(*map(F.lit, _DEPTHS))))
+    keys = bucket_keys(rows, _DEPTHS[-1], _PROBES, seed, kind).withColumn("depth", F.explode(F.array(*map(F.lit, _DEPTHS))))
     keys = keys.withColumn("key", F.expr(f"shiftright(key, {_DEPTHS[-1]} - depth)"))
     size = F.col("size").cast("double")
-    measured = _open_buckets(keys, "length", "pass", "depth", "key").groupBy("depth").agg(
+    measured = keys.groupBy("turn", "depth", "key").agg(*_sizes()).where(_OPEN).groupBy("depth").agg(
         F.sum(size * F.ceil(size / chunk) * _ROW_COST + size * size).alias("cost")
     )
     cost, n = {r["depth"]: r["cost"] / _PROBES for r in measured.collect()}, rows.count()
     return min(_DEPTHS, key=lambda d: passes_for(d, threshold, recall) * (cost.get(d, 0.0) + n * _KEY_COST))
 
 
-def bucket_links(rows: DataFrame, threshold: float, depth: int, passes: int, chunk: int, seed: int) -> DataFrame:
+def bucket_links(rows: DataFrame, threshold: float, depth: int, passes: int, chunk: int, seed: int, kind: str = "<f8") -> DataFrame:
     """Edges (a, b) between components of rows (vec_id, unit, component) that links in the passes' buckets join."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in complete_groups(batches, ["length", "pass", "key", "_lo", "_hi"]):
+        for table, at in complete_groups(batches, ["turn", "key", "_lo", "_hi"]):
             ids, component = table["vec_id"].to_numpy(), table["component"].to_numpy()
             side, diagonal = table["_side"].to_numpy(), table["_lo"].to_numpy() == table["_hi"].to_numpy()
             a, b = [ids[:0]], [ids[:0]]
@@ -182,7 +193,7 @@ def bucket_links(rows: DataFrame, threshold: float, depth: int, passes: int, chu
                 own, c = ids[lo:hi], component[lo:hi]
                 if (c == c[0]).all():
                     continue
-                x = _matrix(table["unit"].slice(lo, hi - lo))
+                x = _units(table["unit"].slice(lo, hi - lo), kind)
                 if diagonal[lo]:
                     linked = x @ x.T >= threshold
                 else:
@@ -196,15 +207,13 @@ def bucket_links(rows: DataFrame, threshold: float, depth: int, passes: int, chu
                 b.append(own[label[moved]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    bucket = ("length", "pass", "key")
-    keys = bucket_keys(rows, depth, passes, seed).drop("component")
-    sizes = _open_buckets(bucket_keys(rows, depth, passes, seed), *bucket)
-    tiles = tiled(keys.join(sizes, [*bucket]), "key", F.col("size"), "vec_id", chunk)
-    tiles = tiles.join(rows.select("vec_id", "unit", "component"), "vec_id")
-    return by_group(tiles, *bucket, "_lo", "_hi").mapInArrow(compare, "a bigint, b bigint").distinct()
+    keys = bucket_keys(rows, depth, passes, seed, kind)
+    tiles = tiled(with_totals(keys, ["turn", "key"], "vec_id", _sizes(), _OPEN), "key", F.col("size"), "vec_id", chunk)
+    tiles = tiles.select("turn", "key", "_lo", "_hi", "_side", "vec_id").join(rows.select("vec_id", "unit", "component"), "vec_id")
+    return by_group(tiles, "turn", "key", "_lo", "_hi").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def count_links(members: DataFrame, threshold: float, chunk: int) -> DataFrame:
+def count_links(members: DataFrame, threshold: float, chunk: int, kind: str = "<f8") -> DataFrame:
     """(vec_id, n) from members (vec_id, unit, weight, component, size): the weight of those linked to each, in its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +222,7 @@ def count_links(members: DataFrame, threshold: float, chunk: int) -> DataFrame:
             side, diagonal = table["_side"].to_numpy(), table["_lo"].to_numpy() == table["_hi"].to_numpy()
             degree = np.zeros(len(ids), dtype=np.int64)
             for lo, hi in zip(at[:-1], at[1:]):
-                x, w, s = _matrix(table["unit"].slice(lo, hi - lo)), weight[lo:hi], side[lo:hi]
+                x, w, s = _units(table["unit"].slice(lo, hi - lo), kind), weight[lo:hi], side[lo:hi]
                 linked = x @ x.T >= threshold
                 if not diagonal[lo]:
                     linked &= s[:, None] != s[None, :]
@@ -227,43 +236,50 @@ def count_links(members: DataFrame, threshold: float, chunk: int) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.95, passes: int = 24, window: int = 256, chunk: int = 1024, seed: int = 1,
+    vectors: DataFrame, threshold: float = 0.95, passes: int = 8, window: int = 256, chunk: int = 1024, seed: int = 1,
     recall: float = 0.9999,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing, as do vectors of different lengths. Equal unit vectors are one class that is compared once
-    and counted with its size. Where a vec_id repeats, its least vector stands for all its
-    rows. A null vec_id has no links and component null, and is kept. No rows give no rows.
+    nothing, as do vectors of different lengths. Equal vectors are one class that is compared once
+    and counted with its size. Where a vec_id repeats, each of its rows is a vector of its own. A
+    null vec_id has no links and component null, and is kept. No rows give no rows.
 
     Sorted passes connect what their windows bring together. Bucket passes among different
     components then find each link with probability `recall` or more, whatever the number of rows
     and however they crowd, and links need only join components to be counted.
     """
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    single = cut(unit_vectors(vectors).groupBy("vec_id").agg(F.min("unit").alias("unit")))
-    classes = cut(single.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
-    edges = candidate_links(classes.select("vec_id", "unit"), threshold, passes, window, seed)
+    rows, kind = comparable(vectors)
+    # a class of equal vectors has an id of its own, because a vec_id can have several
+    of_class = rows.groupBy("unit").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    classes = cut(of_class.withColumn("vec_id", F.monotonically_increasing_id()))
+    edges = candidate_links(classes, threshold, passes, window, seed, kind)
     component = cut(connected_components(edges).select(F.col("vertex").alias("vec_id"), "component"))
-    rows = cut(classes.join(component, "vec_id", "left").select("vec_id", "unit", F.coalesce("component", "vec_id").alias("component")))
-    depth = cheapest_depth(rows, threshold, recall, chunk, seed)
-    joined = cut(bucket_links(rows, threshold, depth, passes_for(depth, threshold, recall), chunk, seed))
+    parted = classes.select("vec_id", "unit").join(component, "vec_id", "left")
+    parted = cut(parted.select("vec_id", "unit", F.coalesce("component", "vec_id").alias("component")))
+    depth = cheapest_depth(parted, threshold, recall, chunk, seed, kind)
+    joined = cut(bucket_links(parted, threshold, depth, passes_for(depth, threshold, recall), chunk, seed, kind))
     if not joined.isEmpty():
         edges = component.select(F.col("vec_id").alias("a"), F.col("component").alias("b")).unionAll(joined)
         component = cut(connected_components(edges).select(F.col("vertex").alias("vec_id"), "component"))
-    sizes = component.groupBy("component").agg(F.count("*").alias("size"))
-    members = classes.join(component.join(sizes, "component"), "vec_id")
-    links = count_links(members.select("vec_id", "unit", "weight", "component", "size"), threshold, chunk)
-    per_class = classes.join(component, "vec_id", "left").join(links, "vec_id", "left").select(
-        F.col("unit").alias("_unit"),
-        (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
+    named = component.join(classes.select("vec_id", "first"), "vec_id")
+    sized = cut(with_totals(named, ["component"], "vec_id", [F.count("*").alias("size"), F.min("first").alias("least")]))
+    members = classes.select("vec_id", "unit", "weight").join(sized.select("vec_id", "component", "size"), "vec_id")
+    links = count_links(members, threshold, chunk, kind)
+    per_class = classes.join(sized.select("vec_id", "least"), "vec_id", "left").join(links, "vec_id", "left").select(
+        "unit", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id")
+    )
+    known = rows.join(per_class, "unit").select("vec_id", "n_links", "component_id")
+    rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(~F.coalesce(_can_compare(F.col("embedding")) & F.col("vec_id").isNotNull(), F.lit(False)))
+    lone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return known.unionAll(lone).select(
+        "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
-    known = single.join(per_class, F.col("unit") == F.col("_unit")).select(F.col("vec_id").alias("_id"), "n_links", "component_id")
-    out = ids.join(known, F.col("vec_id") == F.col("_id"), "left")
-    component_id = F.coalesce("component_id", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component_id, F.lit(True)).alias("kept"),
-    )
+
+
+def _can_compare(v: Column) -> Column:
+    """What `comparable` keeps: finite components, one of them not zero."""
+    x = v.cast("array<double>")
+    finite = F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) != float("inf")), F.lit(False)))
+    return finite & F.exists(x, lambda e: e != 0)
