@@ -76,9 +76,9 @@ def fingerprint_edits(docs: DataFrame, k: int = SIZE, width: int = WIDTH) -> Dat
     """Fingerprints of every text and of its edited text: the last quarter replaced by the next document's beginning.
 
     The next document is that of the next greater doc_id, after the last that of the first.
-    Where a doc_id repeats, the least text by hash stands for it. A row without doc_id has no next document: nothing follows
-    its first three quarters, and near_next is null. Null texts count as empty; two empty
-    texts are alike (1). Other columns are ignored; an empty table gives no rows.
+    Where a doc_id repeats, the least text by hash stands for it. A row without doc_id has no next document: an empty text stands
+    for it, so nothing follows its first three quarters. Null texts count as empty; two empty
+    texts are alike (1), an empty one and another not (0). Other columns are ignored; an empty table gives no rows.
 
     Texts are shuffled once, by doc_id; each sends at most a quarter of its neighbour's length
     and its sketch to the document before it.
@@ -126,7 +126,7 @@ def fingerprint_edits(docs: DataFrame, k: int = SIZE, width: int = WIDTH) -> Dat
             as_text(s["own"]).alias("fingerprint"),
             as_text(s["new"]).alias("edited_fingerprint"),
             resemblance(s["own"], s["new"], k).alias("near_edited"),
-            F.when(F.col("_next").isNotNull(), resemblance(s["own"], F.col("_next"), k)).alias("near_next"),
+            resemblance(s["own"], F.coalesce("_next", F.array().cast("array<bigint>")), k).alias("near_next"),
             distinct_shingles(s["own"], k).alias("shingles"),
         )
 

@@ -41,9 +41,9 @@ _ABSOLUTE = """case when link = '' then null when regexp_matches(link, '^[A-Za-z
  when starts_with(link, '/') then root || link when starts_with(link, '?') or starts_with(link, '#') then root || path || link else root || case when folder = '' then '/' else folder end || link end"""
 
 OP8 = f"""with recursive p as (select page_id, url, html, {_HOST.format('url')} as host, {_PATH.format('url')} as path, {_KEY.format('url')} as key from pages),
- f as (select url, path, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as root, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) as folder, unnest([
- regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
- regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0), '(?is)\\burl\\s*=\\s*[''"]?([^"''\\s>]+)', 1)]) as found from p where url is not null and html is not null),
+ f as (select url, path, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as root, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) as folder, unnest(list_concat(
+ list_transform(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0), lambda t: regexp_extract(t, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
+ list_transform(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0), lambda t: regexp_extract(t, '(?is)\\burl\\s*=\\s*[''"]?([^"''\\s>]+)', 1)))) as found from p where url is not null and html is not null),
  g as (select *, replace(trim(found), '&amp;', '&') as link from f where found <> ''), h as (select url, {_ABSOLUTE} as target from g),
  link as (select distinct {_KEY.format('url')} as a, {_KEY.format('target')} as b from h where {_KEY.format('url')} is not null and {_KEY.format('target')} is not null and {_KEY.format('url')} <> {_KEY.format('target')}), {_REACH},
  named as (select node, component, {_HOST.format('node')} as host, {_PATH.format('node')} as path from part),

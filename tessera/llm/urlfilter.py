@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .session import cut
+from .totals import with_totals
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The contract's rules: fixed values.
@@ -57,11 +58,12 @@ def resolve(base: Column, link: Column) -> Column:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): keys of pages and of what their canonical links and refresh redirects name."""
+    """(a, b): keys of pages and of what all their canonical links and refresh redirects name."""
     url, html = F.col("url"), F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, _LINK, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1)
-    links = F.filter(F.array(canonical, refresh), lambda x: x != "")
+    named = lambda tag, target: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, target, 1))
+    canonical = named(_LINK, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = named(_REFRESH, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)")
+    links = F.filter(F.array_distinct(F.concat(canonical, refresh)), lambda x: x != "")
     found = pages.where("url is not null and html is not null").select(url.alias("url"), F.explode(links).alias("link"))
     return found.select(url_key(F.col("url")).alias("a"), url_key(resolve(F.col("url"), F.col("link"))).alias("b"))
 
@@ -124,13 +126,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
         return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
     members = connected_components(edges)
     named = with_rule(members.select("vertex", "component", url_host(F.col("vertex")).alias("host"), url_path(F.col("vertex")).alias("path")), rules)
-    decided = (
-        named.groupBy("component")
-        .agg(F.bool_or(F.col("rule_verdict") == "allow").alias("allowed"), F.bool_or(F.col("rule_verdict") == "block").alias("blocked"))
-        .select("component", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict"))
-        .where("alias_verdict is not null")
-    )
-    aliases = members.join(decided, "component").select(F.col("vertex").alias("_vertex"), "alias_verdict")
+    told = with_totals(
+        named.select("vertex", "component", "rule_verdict"), ["component"], "vertex",
+        [F.bool_or(F.col("rule_verdict") == "allow").alias("allowed"), F.bool_or(F.col("rule_verdict") == "block").alias("blocked")],
+        "allowed or blocked",
+    )
+    aliases = told.select(F.col("vertex").alias("_vertex"), F.when(F.col("allowed"), "allow").otherwise("block").alias("alias_verdict"))
     return judged.join(aliases, F.col("_key") == F.col("_vertex"), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit("allow")).alias("verdict")
     )
