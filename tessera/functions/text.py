@@ -13,7 +13,7 @@ LETTERS = "ؠ-ي"
 FATHER_FORMS, FATHER = ("ابي", "ابى", "ابا"), "ابو"
 MOTHER_FORMS, MOTHER = ("امي", "اما"), "ام"
 SON = " بن "
-#: Relative references: word, patronymic segment that names the person (or none), prefix otherwise.
+#: Relative references: word, patronymic segment that names the person (or none), prefix otherwise: fixed values.
 RELATIVES = (
     ("ابي", 2, "ابو"),
     ("ابيه", 2, "ابو"),
@@ -23,14 +23,24 @@ RELATIVES = (
     ("امه", None, "ام"),
     ("اخيه", None, "اخ"),
 )
-#: HTML entities that previews decode, in this order.
+#: HTML entities that previews decode, in this order: fixed values.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"))
-#: What marks a value as made up.
+#: What marks a value as made up: fixed values.
 SYNTHETIC_PREFIXES = ("synthetic_", "placeholder_", "fake_", "test_", "dummy_", "generated_", "auto_")
 SYNTHETIC_VALUES = ("null", "undefined", "n/a", "none", "unknown")
 SYNTHETIC_PARTS = ("fake", "fabricat", "forged")
-VERIFIABLE_SOURCES = ("url", "print", "manuscript")
-#: Standalone feature tags and the pairs they stand for.
+#: Phrases that the honorific sign stands for, in the order of their replacement: fixed values.
+SIGN = "ﷺ"
+PHRASES = (("PBUH", SIGN), ("pbuh", SIGN), ("peace be upon him", SIGN), ("Peace be upon him", SIGN))
+PHRASES_OF_NAMES = (*PHRASES, ("Peace Be Upon Him", SIGN))
+TITLES = (("Allah's Apostle", f"Allah's Messenger ({SIGN})"), ("Allah's Messenger", f"Allah's Messenger ({SIGN})"), (f"({SIGN}) ({SIGN})", f"({SIGN})"))
+#: Codes of record types and their terms: fixed values.
+RECORD_TYPES = (("elevated", "مرفوع"), ("stopped", "موقوف"), ("sacred", "قدسي"), ("severed", "مقطوع"))
+#: What an English text that names its speaker begins with: fixed values.
+SPEAKER_CUES = ("Narrated ", "It is narrated on the authority of ")
+#: Tags that a note may keep: fixed values.
+NOTE_TAGS = ("b", "strong", "i", "em", "u", "s", "h2", "h3", "blockquote", "ul", "ol", "li", "hr", "br", "p", "div")
+#: Standalone feature tags and the pairs they stand for: fixed values.
 FEATURE_TAGS = {
     "M": {"gender": "M"}, "F": {"gender": "F"},
     "MS": {"gender": "M", "number": "S"}, "FS": {"gender": "F", "number": "S"},
@@ -88,6 +98,11 @@ def remove_marks(text: Column) -> Column:
     return F.regexp_replace(text, r"\p{Mn}", "")
 
 
+def fold_letters(text: Column) -> Column:
+    """Variants of letters folded and marks dropped; all other characters stay, white space collapsed."""
+    return collapse(_folded(text, MARKS_OF_VERSE))
+
+
 def name_slug(text: Column) -> Column:
     return F.replace(normalize_name(text), F.lit(" "), F.lit("_"))
 
@@ -120,6 +135,46 @@ def replace_all(text: Column, pairs) -> Column:
     return text
 
 
+def honorifics(text: Column) -> Column:
+    """English texts: one title for the messenger with its sign once, and the sign for the phrases it stands for."""
+    return replace_all(replace_all(text, TITLES), PHRASES)
+
+
+def honorifics_of_names(text: Column) -> Column:
+    return replace_all(text, PHRASES_OF_NAMES)
+
+
+def code_name(code: Column, names=RECORD_TYPES) -> Column:
+    """The term of a code; an unknown code stays."""
+    out = code
+    for key, name in reversed(list(names)):
+        out = F.when(code == key, F.lit(name)).otherwise(out)
+    return out
+
+
+def speaker(text: Column, most_bytes: int = 100) -> Column:
+    """The name between a text's opening cue and its first colon, of fewer than most_bytes bytes; null without one."""
+    name = F.trim(F.regexp_extract(F.trim(text), "(?s)^(?:" + "|".join(SPEAKER_CUES) + ")([^:]*):", 1))
+    return F.when((name != "") & (F.octet_length(name) < most_bytes), name)
+
+
+def line_numbers(reply: Column) -> Column:
+    """Numbers of a model's reply, whichever way it lists them: numbers, strings, objects with line_num or line, or one string with commas.
+
+    What is none of these is skipped; anything but a list or a string gives none.
+    """
+    whole = r"^\s*\d+\s*$"
+    parsed = F.when(F.trim(reply).startswith("["), F.from_json(reply, "array<string>"))
+
+    def number(x: Column) -> Column:
+        inner = F.coalesce(F.get_json_object(x, "$.line_num"), F.get_json_object(x, "$.line"))
+        return F.when(x.rlike(whole), F.trim(x).try_cast("bigint")).when(inner.rlike(r"^\d+$"), inner.try_cast("bigint"))
+
+    text = F.when(F.trim(reply).startswith('"'), F.from_json(F.concat(F.lit('{"x":'), reply, F.lit("}")), "x string")["x"])
+    some = F.coalesce(F.transform(parsed, number), F.transform(F.split(text, ","), lambda x: F.when(x.rlike(whole), F.trim(x).try_cast("bigint"))))
+    return F.coalesce(F.filter(some, lambda n: n.isNotNull()), F.array().cast("array<bigint>"))
+
+
 def leading_number(text: Column) -> Column:
     return F.regexp_extract(text, r"^(\d+)", 1).try_cast("bigint")
 
@@ -298,6 +353,42 @@ def mentions(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(@[A-Za-z0-9_]+:[A-Za-z0-9_]+|https?://[^\s<>]+)"), F.lit(1))
 
 
+def mention_kind(mention: Column) -> Column:
+    """What a mention names: a verse, a narrator, another record, or an address."""
+    return (
+        F.when(mention.rlike(r"^@\d+:\d+$"), "ayah").when(mention.startswith("@narrator:"), "narrator")
+        .when(mention.startswith("@"), "hadith").otherwise("url")
+    )
+
+
+def has_markup(text: Column) -> Column:
+    """Whether a note was stored as HTML."""
+    return text.rlike(r"(?i)<(" + "|".join(NOTE_TAGS) + r")\b")
+
+
+def safe_markup(html: Column) -> Column:
+    """Tags that a note may keep, in lower case and without attributes; other tags go, their text stays."""
+    listed = "|".join(NOTE_TAGS)
+    kept = F.regexp_replace(html, rf"(?i)<(/?)(?!(?:{listed})\b)[a-z][a-z0-9]*\b[^>]*>", "")
+    for tag in NOTE_TAGS:
+        kept = F.regexp_replace(F.regexp_replace(kept, rf"(?i)<{tag}\b[^>]*>", f"<{tag}>"), rf"(?i)</{tag}\b[^>]*>", f"</{tag}>")
+    return kept
+
+
+def split_label(name: Column) -> Column:
+    """(file, label) of a name like file|label; no label without a bar."""
+    at = F.instr(name, "|")
+    return F.struct(
+        F.substring_index(name, "|", 1).alias("file"), F.when(at > 0, F.substring(name, at + 1, F.length(name))).otherwise(F.lit("")).alias("label")
+    )
+
+
+def first_slash(path: Column, by: str = "_=_") -> Column:
+    """The path with its first slash alone replaced."""
+    at = F.instr(path, "/")
+    return F.when(at > 0, F.concat(F.substring(path, F.lit(1), at - 1), F.lit(by), F.substring(path, at + 1, F.length(path)))).otherwise(path)
+
+
 def page_to_html(text: Column) -> Column:
     """Paragraphs of a page, with what follows a line of underscores as its footnotes."""
     parts = F.split(text, r"\n_{3,}\n", 2)
@@ -315,3 +406,33 @@ def verse_ranges(heading: Column) -> Column:
     """The verses of a bracketed reference like [2:5-7]; a single one where no end is given."""
     a, b = F.regexp_extract(heading, r"\[\d+:(\d+)", 1).try_cast("int"), F.regexp_extract(heading, r"\[\d+:\d+-(\d+)\]", 1).try_cast("int")
     return F.when(a.isNotNull(), F.sequence(a, F.greatest(a, F.coalesce(b, a))))
+
+
+def heading_verses(title: Column) -> Column:
+    """(surah, ayah) of each verse that a chapter heading in brackets names: one verse, or a range; null without a reference."""
+    digits = arabic_digits(title)
+    head = r"\[سورة\s+.+?\s*\((\d+)\)\s*:\s*"
+    part = lambda tail, i: F.regexp_extract(digits, head + tail, i).try_cast("int")
+    range_of, single = r"الآيات\s+(\d+)\s*إلى\s*(\d+)\]", r"(?:آية|الآيات)\s+(\d+)\]"
+    surah = F.coalesce(part(range_of, 1), part(single, 1))
+    first, last = F.coalesce(part(range_of, 2), part(single, 2)), F.coalesce(part(range_of, 3), part(single, 2))
+    every = F.transform(F.when(first <= last, F.sequence(first, last)), lambda a: F.struct(surah.alias("surah"), a.alias("ayah")))
+    return F.when(surah.isNotNull(), every)
+
+
+def trailing_verse(text: Column) -> Column:
+    """The number in round brackets before a closing verse bracket."""
+    return F.regexp_extract(arabic_digits(text), r"\((\d+)\)\s*﴾", 1).try_cast("int")
+
+
+def numbered_name(title: Column) -> Column:
+    """(number, name) of a heading like [12] (sign) name."""
+    pattern = r"^\[(\d+)\]\s*(?:\([^)]*\)\s*)?(.+)"
+    number = F.regexp_extract(title, pattern, 1).try_cast("int")
+    return F.when(number.isNotNull(), F.struct(number.alias("number"), F.trim(F.regexp_extract(title, pattern, 2)).alias("name")))
+
+
+def marked_numbers(text: Column) -> Column:
+    """All numbers of markers like [الحديث 12, vowel marks aside."""
+    plain = F.regexp_replace(arabic_digits(text), MARKS_OF_VERSE, "")
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"\[الحديث\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
