@@ -1,7 +1,7 @@
-"""Full-text search, vector search and rank fusion as lazy plans.
+"""Full-text search, vector search and rank fusion.
 
-Postings, not documents, meet the query: each document is tokenised once to (token, id, tf)
-rows, which an index table would hold bucketed by token.
+A field is tokenised once, either to an index of postings in a folder, of which a query reads the
+partitions of its terms, or for one query to the counts of its terms in each document.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rrf_term, tokenize
+from .storage import materialize
 
 K1, B = 1.2, 0.75
 
@@ -32,13 +33,56 @@ def postings(docs: DataFrame, key: str, text: str, **analyzer) -> DataFrame:
     return analyze(docs, key, text, **analyzer).groupBy("token", "id").agg(F.count("*").alias("tf"))
 
 
+def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64, **analyzer) -> None:
+    """An index of a text field under path: postings (token, id, tf, dl) in folders by a hash of the token, and one row of statistics.
+
+    A frequent token's postings are dealt over several tasks and files.
+    """
+    lengths = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.size(tokenize(F.col(text), analyzer.get("lower", False))).alias("dl"))
+    rows = postings(docs, key, text, **analyzer).join(lengths, "id").withColumn("bucket", token_bucket(F.col("token"), buckets))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/statistics")
+
+
+def token_bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def search_index(spark, path: str, terms: Sequence[str], conjunctive: bool = True, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) of BM25 from an index: only the partitions and row groups of the terms are read."""
+    wanted = list(dict.fromkeys(terms))
+    statistics = spark.read.parquet(f"{path}/statistics").first()
+    # the buckets are worked out as literals, so that folders are pruned before anything is read
+    asked = spark.range(1).select(*[token_bucket(F.lit(w), statistics["buckets"]) for w in wanted]).first()
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*asked) & F.col("token").isin(*wanted))
+    return bm25_of(hits, statistics["n"], statistics["avgdl"], wanted, conjunctive, k1, b)
+
+
+def bm25_of(hits: DataFrame, n: int, avgdl: float, wanted: Sequence[str], conjunctive: bool, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) from the postings (token, id, tf, dl) of the wanted terms."""
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))  # one row for each term
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf")
+    term = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    scores = hits.join(F.broadcast(df), "token").groupBy("id").agg(F.sum(term).alias("score"), F.count("*").alias("have"))
+    return (scores.where(F.col("have") == len(wanted)) if conjunctive else scores).select("id", "score")
+
+
+def stems(words: Sequence[str]) -> list[str]:
+    """Terms of a query for a stemmed field."""
+    from ..functions.stemmer import stem
+
+    return [stem(w.lower()) for w in words]
+
+
 def bm25(
     docs: DataFrame, key: str, text: str, terms: Sequence[str], conjunctive: bool = True, k1: float = K1, b: float = B, lower: bool = False
 ) -> DataFrame:
-    """(id, score) of the documents that hold all terms (or any).
+    """(id, score) of the documents that hold all terms (or any), without an index.
 
-    Only the query's postings are kept from each document, beside its length: one pass over the
-    text, then an aggregation by term. Collection statistics are one row, joined by broadcast.
+    One pass over the text keeps each document's length and its counts of the query's terms;
+    statistics and scores come from those.
     """
     wanted = list(dict.fromkeys(terms))
     tokens = tokenize(F.col(text), lower)
@@ -47,20 +91,17 @@ def bm25(
     def occurrences(word: str) -> Column:
         return F.size(F.filter("_t", lambda x: x == F.lit(word)))
 
-    counts = F.array(*[F.struct(F.lit(w).alias("token"), occurrences(w).alias("tf")) for w in wanted])
-    base = base.select("id", F.size("_t").alias("dl"), counts.alias("_c"))
+    base = materialize(base.select("id", F.size("_t").alias("dl"), *[occurrences(w).alias(f"tf{i}") for i, w in enumerate(wanted)]))
     sums = [F.count("*").alias("n"), F.avg("dl").alias("avgdl")]
-    sums += [F.count_if(F.col("_c")[i]["tf"] > 0).alias(f"df{i}") for i in range(len(wanted))]
-    stats = base.agg(*sums)
-    rows = base.where(F.exists("_c", lambda c: c["tf"] > 0)).crossJoin(F.broadcast(stats))
-    score = F.lit(0.0)
+    sums += [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
+    rows = base.crossJoin(F.broadcast(base.agg(*sums)))
+    score, have = F.lit(0.0), F.lit(0)
     for i in range(len(wanted)):
-        tf, df = F.col("_c")[i]["tf"], F.col(f"df{i}")
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    if conjunctive:
-        rows = rows.where(F.forall("_c", lambda c: c["tf"] > 0))
-    return rows.select("id", score.alias("score"))
+        have = have + (tf > 0).cast("int")
+    return rows.where(have == len(wanted) if conjunctive else have > 0).select("id", score.alias("score"))
 
 
 def ranked(scores: DataFrame, limit: int) -> DataFrame:
@@ -86,17 +127,23 @@ def knn(vectors: DataFrame, key: str, vector: str, query: Sequence[float]) -> Da
     return vectors.select(F.col(key).alias("id"), cosine(as_double(F.col(vector)), q).alias("score")).where("score is not null")
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int, parts: int = 8) -> DataFrame:
+#: Vectors in one part of the all-pairs search: a block holds two parts and a strip of their products.
+PART_ROWS, STRIP = 4096, 512
+
+
+def neighbours(vectors: DataFrame, key: str, vector: str, k: int, part_rows: int = PART_ROWS) -> DataFrame:
     """(id, other, score, rank): the exact k nearest of every vector, itself among them, ties by id.
 
-    Vectors are dealt into parts and every pair of parts is one block of matrix products; a block
-    keeps k candidates for each row, so k rows for each vector and part are shuffled, not all pairs.
+    Vectors are dealt into parts of about part_rows and every pair of parts is one block, worked
+    through in strips of matrix products; a block keeps k candidates for each row, so k rows for
+    each vector and part are shuffled, not all pairs. Blocks grow with the square of the parts, as an exact search must.
     """
     import numpy as np
     import pandas as pd
 
-    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), as_double(F.col(vector)).alias("v"), part.alias("own"))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), as_double(F.col(vector)).alias("v"))
+    parts = max(1, -(-rows.count() // part_rows))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(parts - 1))
     left = rows.select("*", F.explode(every).alias("with")).select("id", "v", F.col("own").alias("a"), F.col("with").alias("b"))
     right = rows.select("*", F.explode(every).alias("with")).select("id", "v", F.col("with").alias("a"), F.col("own").alias("b"))
@@ -104,16 +151,21 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int, parts: int = 8
     def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         columns = {"id": [], "other": [], "score": []}
         if len(x) and len(y):
-            unit = lambda f: np.stack(f["v"].to_numpy())
-            p, q = unit(x), unit(y)
+            p, q, ids = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), y["id"].to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            q, ids = q[by_id], ids[by_id]  # equal scores keep the order of ids
             with np.errstate(invalid="ignore", divide="ignore"):
-                s = (p @ q.T) / (np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :])
-            s = np.round(np.where(np.isfinite(s), s, -np.inf), 12)
-            ids = y["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            scores = np.take_along_axis(s, order, axis=1)
-            keep = np.isfinite(scores)
-            columns = {"id": np.repeat(x["id"].to_numpy(), order.shape[1])[keep.ravel()], "other": ids[order][keep], "score": scores[keep]}
+                p_norm, q_norm = np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1)
+                for at in range(0, len(p), STRIP):
+                    s = (p[at : at + STRIP] @ q.T) / (p_norm[at : at + STRIP, None] * q_norm[None, :])
+                    s = np.round(np.where(np.isfinite(s), s, -np.inf), 12)
+                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    scores = np.take_along_axis(s, order, axis=1)
+                    keep = np.isfinite(scores)
+                    columns["id"].append(np.repeat(x["id"].to_numpy()[at : at + STRIP], order.shape[1])[keep.ravel()])
+                    columns["other"].append(ids[order][keep])
+                    columns["score"].append(scores[keep])
+            columns = {c: np.concatenate(v) for c, v in columns.items()}
         return pd.DataFrame(columns).astype({"id": "int64", "other": "int64", "score": "float64"})
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(block, "id bigint, other bigint, score double")
@@ -142,6 +194,22 @@ def unified_page(sources: Sequence[tuple[str, DataFrame]], page: int, limit: int
     return every.orderBy(F.desc("score"), "_place", "rank").offset((page - 1) * limit).limit(limit).select("source", "id", "rank", "score")
 
 
+def page_with_totals(sources: Sequence[tuple[str, DataFrame]], page: int, limit: int, k: int = 60) -> DataFrame:
+    """unified_page with `total`, how many rows each source has."""
+    rows = unified_page(sources, page, limit, k)
+    totals = None
+    for name, df in sources:
+        one = df.agg(F.count("*").alias("total")).select(F.lit(name).alias("source"), "total")
+        totals = one if totals is None else totals.unionAll(one)
+    return rows.join(F.broadcast(totals), "source")  # one row for each source
+
+
+def passage(*parts: Column, prefix: str = "passage: ") -> Column:
+    """The text that is embedded for a row: its non-empty parts in order, one to a line, behind the model's prefix."""
+    some = F.filter(F.array(*[F.trim(p.cast("string")) for p in parts]), lambda x: F.coalesce(x != "", F.lit(False)))
+    return F.concat(F.lit(prefix), F.array_join(some, "\n"))
+
+
 def embed_with(model, texts: DataFrame, key: str, text: str, batch: int = 64, prefix: str = "passage: ") -> DataFrame:
     """(key, embedding) by an injected model, a picklable function from a list of texts to vectors."""
     import pandas as pd

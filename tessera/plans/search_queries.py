@@ -58,17 +58,6 @@ def bm25_topk_or(spark, sf_dir):
     return _bm25(Tables(spark, sf_dir), RARE, conjunctive=False).select(F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
-@query()
-def bm25_en_stem(spark, sf_dir):
-    """Postings of the stemmed analyzer for the query 'things', best documents by term count."""
-    from ..functions.stemmer import stem
-
-    t = Tables(spark, sf_dir)
-    docs = t.documents.where("lang = 'en'")
-    rows = search.postings(docs, "doc_id", "text", lower=True, stem=True).where(F.col("token") == stem("things"))
-    return rows.orderBy(F.desc("tf"), "id").limit(20)
-
-
 COSINE = "list_dot_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))"
 KNN_SQL = f"k_r as (select e.vec_id as id, round({COSINE}, 9) as score, row_number() over (order by round({COSINE}, 9) desc, e.vec_id) as rank from embeddings e, embeddings q where q.vec_id = 0)"
 
