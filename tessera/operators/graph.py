@@ -51,11 +51,11 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(family, src, dst): all dst that src reaches by one step or more; cycles include src itself.
 
-    Path doubling on pairs not seen before: rounds grow with the logarithm of the longest
-    path. Every join is on (family, node); each round is checkpointed.
+    Path doubling on pairs not seen before: rounds grow with the logarithm of the longest path.
+    Every join is on (family, node). Each round stores its new pairs alone; the closure is their union.
     """
-    reach = materialize(distinct_edges(edges))
-    fresh = reach
+    fresh = materialize(distinct_edges(edges))
+    reach = fresh
     for _ in range(most_rounds):
         left = fresh.select("family", "src", F.col("dst").alias("mid"))
         right = reach.select("family", F.col("src").alias("mid"), "dst")
@@ -67,7 +67,7 @@ def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         fresh = materialize(found.join(reach, ["family", "src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return reach
-        reach = materialize(reach.unionAll(fresh))
+        reach = reach.unionAll(fresh)
     raise RuntimeError(f"the closure has not settled after {most_rounds} rounds")
 
 
@@ -76,6 +76,12 @@ def reachable(closed: DataFrame) -> DataFrame:
     return closed.where("src <> dst")
 
 
+def of_two_or_more(chains: DataFrame) -> DataFrame:
+    """chains of families with at least two variants; a lone variant has no family graph."""
+    variants = chains.groupBy("family").agg(F.count_distinct("variant").alias("_n")).where("_n > 1").select("family")
+    return chains.join(variants, "family", "left_semi")
+
+
 def memberships(chains: DataFrame) -> DataFrame:
     return chains.select("family", "variant", "node").distinct()
 
@@ -96,10 +102,13 @@ def degrees(chains: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def terminals(closed_down: DataFrame, degree: DataFrame) -> DataFrame:
-    """(family, node, terminals): distinct students without students that a node's knowledge reaches."""
+def terminals(closed_down: DataFrame, degree: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(family, node, terminals): distinct students without students that a node's knowledge reaches, of all nodes or the given (family, node)."""
     ends = degree.where("students = 0").select("family", F.col("node").alias("src"))
-    found = reachable(closed_down).join(ends, ["family", "src"])
+    found = reachable(closed_down)
+    if nodes is not None:
+        found = found.join(nodes.select("family", F.col("node").alias("dst")), ["family", "dst"], "left_semi")
+    found = found.join(ends, ["family", "src"])
     return found.groupBy("family", F.col("dst").alias("node")).agg(F.count_distinct("src").alias("terminals"))
 
 
@@ -109,15 +118,22 @@ def single_strand_ratio(closed: DataFrame, degree: DataFrame) -> DataFrame:
     return closed.join(single, ["family", "dst"]).groupBy("family", F.col("src").alias("node")).agg(F.avg("single").alias("ratio"))
 
 
-def bypasses(chains: DataFrame, closed: DataFrame) -> DataFrame:
-    """(family, node, bypasses): variants without the node that hold one of its teachers and one of its students, at any remove."""
+def bypasses(chains: DataFrame, closed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(family, node, bypasses, ratio): variants without the node that hold one of its teachers and one of its
+    students, at any remove, and their share of the family's variants. Of all nodes or the given (family, node)."""
     member = memberships(chains)
     pairs = reachable(closed)
-    above = pairs.select("family", F.col("src").alias("n"), F.col("dst").alias("node")).join(member, ["family", "node"]).select("family", "n", "variant").distinct()
-    below = pairs.select("family", F.col("dst").alias("n"), F.col("src").alias("node")).join(member, ["family", "node"]).select("family", "n", "variant").distinct()
+    up = pairs.select("family", F.col("src").alias("n"), F.col("dst").alias("node"))
+    down = pairs.select("family", F.col("dst").alias("n"), F.col("src").alias("node"))
+    if nodes is not None:
+        wanted = nodes.select("family", F.col("node").alias("n"))
+        up, down = (x.join(wanted, ["family", "n"], "left_semi") for x in (up, down))
+    above, below = (x.join(member, ["family", "node"]).select("family", "n", "variant").distinct() for x in (up, down))
     own = member.select("family", F.col("node").alias("n"), "variant")
     around = above.join(below, ["family", "n", "variant"], "left_semi").join(own, ["family", "n", "variant"], "left_anti")
-    return around.groupBy("family", F.col("n").alias("node")).agg(F.count("*").alias("bypasses"))
+    found = around.groupBy("family", F.col("n").alias("node")).agg(F.count("*").alias("bypasses"))
+    variants = chains.groupBy("family").agg(F.count_distinct("variant").alias("_all"))
+    return found.join(variants, "family").select("family", "node", "bypasses", (F.col("bypasses") / F.col("_all")).alias("ratio"))
 
 
 def chronology_ratio(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, structure
+from ..operators.storage import fresh_path, materialize
 from ..sources.fixtures import CHAIN_SQL, EDGE_SQL, NODE_SQL, Tables, chains, nodes
 
 QUERIES: dict = {}
@@ -39,6 +40,13 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame, DataFram
     return t, c, graph.chain_edges(c)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame, DataFrame]:
+    """As _base, with chains and edges worked out once for plans that use them again and again."""
+    t, c, _ = _base(spark, sf_dir)
+    c = materialize(c)
+    return t, c, materialize(graph.chain_edges(c))
+
+
 def _closed(edges: DataFrame) -> DataFrame:
     return graph.closure(edges)
 
@@ -153,10 +161,10 @@ BYPASS_SQL = """, above as (select distinct c.family, c.src as n, m.variant from
  where not exists (select 1 from member m where m.family = a.family and m.node = a.n and m.variant = a.variant) group by a.family, a.n)"""
 
 
-@query(f"with recursive {CLOSURE_SQL}{DEGREE_SQL}{BYPASS_SQL} select family, node, bypasses from passed")
+@query(f"with recursive {CLOSURE_SQL}{DEGREE_SQL}{BYPASS_SQL}, v as (select family, count(distinct variant) as variants from chain group by family) select family, node, bypasses, round(bypasses / variants, 6) as ratio from passed join v using (family)")
 def bypass_count(spark, sf_dir):
-    _, c, edges = _base(spark, sf_dir)
-    return graph.bypasses(c, _closed(edges))
+    _, c, edges = _stored(spark, sf_dir)
+    return graph.bypasses(c, _closed(edges)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(
@@ -224,7 +232,7 @@ PIVOT_SQL = f"""with recursive {CLOSURE_SQL}{DEGREE_SQL}{BYPASS_SQL}, v as (sele
 
 @query(PIVOT_SQL)
 def pivots(spark, sf_dir):
-    _, c, edges = _base(spark, sf_dir)
+    _, c, edges = _stored(spark, sf_dir)
     return structure.pivots(c, edges, _closed(edges)).withColumn("coverage", F.round("coverage", 6))
 
 
@@ -271,7 +279,15 @@ def continuity(spark, sf_dir):
     return structure.continuity(c, edges)
 
 
-@query()
+@query(
+    f"""with recursive {EDGE_SQL}, own as (select distinct family, variant, node from chain), inside as (select distinct family, variant, src, dst from edge),
+ t as (select family, variant, src as node, list(dst order by dst) as teachers from inside group by all),
+ leaf as (select family, variant, min(node) filter (where not exists (select 1 from inside i where i.family = own.family and i.variant = own.variant and i.dst = own.node)) as node from own group by all),
+ walk as (select family, variant, 0 as step, node, [node] as path from leaf where node is not null union all
+ select family, variant, step + 1, nxt, list_append(path, nxt) from (select w.*, list_filter(t.teachers, lambda x: not list_contains(w.path, x))[1] as nxt from walk w join t on t.family = w.family and t.variant = w.variant and t.node = w.node) where nxt is not null)
+ select family, variant, step, node from walk union all
+ select family, variant, cast(row_number() over (partition by family, variant order by own.node) - 1 as int), own.node from own join leaf using (family, variant) where leaf.node is null"""
+)
 def chain_walk(spark, sf_dir):
     _, c, edges = _base(spark, sf_dir)
     return graph.greedy_walks(c, edges)
@@ -337,4 +353,93 @@ def family_export_md(spark, sf_dir):
     return rows.select("family", text.alias("markdown"))
 
 
+_TWO_SQL = EDGE_SQL.replace(", step as", ", many as (select family from chain group by family having count(distinct variant) > 1), step as")
+
+
+@query(
+    f"""with {_TWO_SQL}, n as (select family, count(distinct variant) as variants, count(distinct node) as nodes from chain where family in (select family from many) group by family),
+ p as (select distinct family, src, dst from edge), e as (select family, count(*) as edges from p group by family),
+ r as (select family, count(*) as roots from (select distinct family, node from chain) c where not exists (select 1 from p where p.family = c.family and p.src = c.node) group by family)
+ select family, variants, nodes, coalesce(edges, 0) as edges, coalesce(roots, 0) as roots from n left join e using (family) left join r using (family)"""
+)
+def family_graphs(spark, sf_dir):
+    """Sizes of the family graphs; a lone variant has none."""
+    _, c, edges = _base(spark, sf_dir)
+    c = graph.of_two_or_more(c)
+    size = c.groupBy("family").agg(F.count_distinct("variant").alias("variants"), F.count_distinct("node").alias("nodes"))
+    links = graph.distinct_edges(edges).groupBy("family").agg(F.count("*").alias("edges"))
+    roots = graph.degrees(c, edges).where("teachers = 0").groupBy("family").agg(F.count("*").alias("roots"))
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("bigint")).alias(x)
+    return size.join(links, "family", "left").join(roots, "family", "left").select("family", "variants", "nodes", zero("edges"), zero("roots"))
+
+
+@query(
+    f"""with {_TWO_SQL}, g as (select family, gen, count(distinct node) as n from chain where gen is not null group by family, gen), b as (select *, row_number() over (partition by family order by n, gen) as rn from g),
+ r as (select family, variant, arg_max(node, pos) as root from chain group by family, variant), p as (select family, root, count(*) as n from r group by family, root),
+ c as (select family, count(*) as roots, cast(sum(greatest(n - 1, 0)) as bigint) as parallels, greatest(count(*) - 1, 0) as witnesses, cast(sum(n) as bigint) as chains from p group by family),
+ d as (select family, bool_or(src_gen < dst_gen) as conflict from edge group by family)
+ select family, chains, case when n >= 10 then 'mutawatir' when n >= 3 then 'mashhur' when n >= 2 then 'aziz' else 'gharib' end as breadth, n as least_nodes, gen as narrowest, roots, parallels, witnesses,
+ case when conflict then ['chronology conflict'] else cast([] as varchar[]) end as messages from c join b using (family) left join d using (family) where rn = 1 and family in (select family from many)"""
+)
+def family_analysis(spark, sf_dir):
+    """The table of families that the analysis stores."""
+    _, c, edges = _base(spark, sf_dir)
+    return structure.analyse_families(c, edges, fresh_path(spark, "analysis"))["families"]
+
+
+_CONTINUITY = ORACLE_SQL["continuity"]
+
+
+@query(
+    f"""with k as ({_CONTINUITY}), w as (with {_TWO_SQL} select family, variant, list(node order by pos) as nodes, family in (select family from many) as kept from chain group by family, variant),
+ x as (with {EDGE_SQL} select variant, bool_or(src_gen < dst_gen) as conflict from edge group by variant)
+ select family, variant, continuity, len(nodes) as node_count, coalesce(conflict, false) as conflict, nodes from k join w using (family, variant) left join x using (variant) where kept"""
+)
+def chain_assessments(spark, sf_dir):
+    """The table of chains that the analysis stores."""
+    _, c, edges = _base(spark, sf_dir)
+    return structure.analyse_families(c, edges)["chains"]
+
+
+_NEAR = "list_dot_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))"
+
+
+@query(
+    f"""with recursive {CHAIN_SQL}, own as (select distinct variant, node from chain), s as (select q.vec_id as id, e.vec_id as other, {_NEAR} as score from embeddings e, embeddings q),
+ s_r as (select *, row_number() over (partition by id order by round(score, 12) desc, other) as rank from s),
+ e as (select distinct s_r.id, other from s_r join own a on a.variant = s_r.id + 1 join own b on b.variant = other + 1 and a.node = b.node where rank <= 10 and s_r.id <> other and score >= 0.85),
+ edges as (select id as a, other as b from e union select other, id from e), reach as (select a as node, b as other from edges union select r.node, x.b from reach r join edges x on r.other = x.a),
+ f as (select node, least(node, min(other)) as family, count(distinct other) as members from reach group by node)
+ select f.node as vec_id, family, members, 'Family of ' || s_name || ', label ' || label as label from f join embeddings on vec_id = family join (select variant, min(node) as first from own group by variant) on variant = family + 1 join supplier on s_suppkey = first"""
+)
+def compute_families(spark, sf_dir):
+    """Families of near texts that share a node: ten nearest, cosine 0.85, at least one common node; with label and size, for each member."""
+    t, c, _ = _base(spark, sf_dir)
+    own = graph.memberships(c).select("variant", "node").distinct()
+    families = structure.compute_families(t.embeddings, own.select((F.col("variant") - 1).alias("id"), "node"), "vec_id", "embedding")
+    first = own.groupBy((F.col("variant") - 1).alias("family")).agg(F.min("node").alias("first"))
+    named = first.join(nodes(t).select(F.col("id").alias("first"), "name"), "first").join(t.embeddings.select(F.col("vec_id").alias("family"), F.col("label").alias("kind")), "family")
+    label = F.format_string("Family of %s, label %d", "name", "kind")
+    return families.join(named, "family").select(F.col("id").alias("vec_id"), "family", "members", label.alias("label"))
+
+
+@query(
+    f"""with {CHAIN_SQL}, n as (select distinct node, variant from chain) select node, count(*) as variants, min(variant) as first_variant, max(variant) as last_variant, md5(string_agg(variant, ',' order by variant)) as variants_md5 from n group by node"""
+)
+def node_variants(spark, sf_dir):
+    """The reverse map: each node's variants, by number and checksum of the ordered list."""
+    own = _base(spark, sf_dir)[1].select("node", "variant").distinct()
+    listed = F.md5(F.array_join(F.sort_array(F.collect_list("variant")), ",").cast("binary"))
+    return own.groupBy("node").agg(F.count("*").alias("variants"), F.min("variant").alias("first_variant"), F.max("variant").alias("last_variant"), listed.alias("variants_md5"))
+
+
+@query(
+    f"""with {CHAIN_SQL}, a as (select family, node, gen, row_number() over (partition by family order by gen desc, node) as rank, count(*) over (partition by family) as n from (select distinct family, node, gen from chain))
+ select family, node, round(radius * cos(angle), 4) + 0.0 as x, round(radius * sin(angle), 4) + 0.0 as y from (select family, node, 120.0::double * (6 - gen) as radius, 2 * pi() * (rank - 1) / n as angle from a)"""
+)
+def radial_layout(spark, sf_dir):
+    """Places of a family's nodes on rings by generation, dealt evenly around."""
+    return structure.radial_layout(_base(spark, sf_dir)[1], 120.0, 6)
+
+
 assert NODE_SQL in CHAIN_SQL
