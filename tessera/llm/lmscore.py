@@ -310,7 +310,7 @@ _RESULT = [
 
 
 def language_model_scores(
-    docs: DataFrame, held_out: Column, order: int = 3, concentration: float = 30.0, block_bytes: int | None = None
+    docs: DataFrame, held_out: Column, order: int = 2, concentration: float = 100.0, block_bytes: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 

@@ -39,11 +39,14 @@ FEATURES = [
     *_CLASSES, "other", "log_bytes", "log_words", "word_length", "longest_word", "short_words", "distinct_words",
     "distinct_triples", "commonest_word", "distinct_lines", "words_per_line", "line_ends", "capital_words",
 ]
-_TABLE = np.full(256, len(_CLASSES), dtype=np.int64)
+#: For each byte its class, one row of zeros and a one.
+_CLASS_OF = np.zeros((256, len(_CLASSES) + 1))
+_CLASS_OF[:, -1] = 1
 for _k, _v in enumerate(_CLASSES.values()):
-    _TABLE[list(_v)] = _k
-_NEWLINES = np.zeros(256, dtype=bool)
-_NEWLINES[10] = True
+    _CLASS_OF[list(_v), -1] = 0
+    _CLASS_OF[list(_v), _k] = 1
+#: Bytes of one text that are counted at once.
+_PIECE = 1 << 20
 
 
 def _distinct(values: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +68,11 @@ def statistics(s: Scan) -> np.ndarray:
     n = s.n
     size = np.diff(s.off)
     per = np.maximum(size, 1)
-    k = len(_CLASSES) + 1
-    owner = np.repeat(np.arange(n), size)
-    shares = np.bincount(owner * k + _TABLE[s.buf], minlength=n * k).reshape(n, k) / per[:, None]
+    histogram = np.zeros((n, 256))
+    for i in range(n):  # pieces bound what a very long text takes
+        for lo in range(s.off[i], s.off[i + 1], _PIECE):
+            histogram[i] += np.bincount(s.buf[lo : min(lo + _PIECE, s.off[i + 1])], minlength=256)
+    shares = histogram @ _CLASS_OF / per[:, None]
     words = s.counts()
     some = np.maximum(words, 1)
     length = (s.end - s.start).astype(np.int64)
@@ -83,9 +88,9 @@ def statistics(s: Scan) -> np.ndarray:
     longest = np.zeros(n, dtype=np.int64)
     np.maximum.at(longest, s.doc, length)
     # a line's hash is the sum of its words' hashes, each mixed with its place in the line
-    breaks = np.cumsum(np.concatenate([[0], (s.buf == 10).astype(np.int64)]))
-    line_of_word = breaks[s.start] if len(s.start) else np.zeros(0, dtype=np.int64)
-    line_ends = np.bincount(owner, weights=(s.buf == 10), minlength=n)
+    breaks = np.flatnonzero(s.buf == 10)
+    line_of_word = np.searchsorted(breaks, s.start)
+    line_ends = np.diff(np.searchsorted(breaks, s.off))
     if len(hashes):
         new = np.concatenate([[True], (line_of_word[1:] != line_of_word[:-1]) | (s.doc[1:] != s.doc[:-1])])
         at = np.flatnonzero(new)

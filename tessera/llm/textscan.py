@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once; a longer single text is still scanned whole.
+#: Bytes of text worked on at once; a longer single text is scanned whole, its words hashed as many bytes at a time.
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -72,11 +72,20 @@ class Scan:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, ASCII letters lower-cased."""
-        power, inverse = _powers(len(self.low) + 1)
-        total = np.zeros(len(self.low) + 1, dtype=np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * power[: len(self.low)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+        """A 64-bit hash of each word, ASCII letters lower-cased: its bytes' polynomial, wherever it stands."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            lo = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, lo + SLICE_BYTES, side="right")))
+            n = int(self.end[j - 1]) - lo
+            power, inverse = _powers(n + 1)
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self.low[lo : lo + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+            a, b = self.start[i:j] - lo, self.end[i:j] - lo
+            out[i:j] = (total[b] - total[a]) * inverse[a]
+            i = j
+        return mix(out)
 
 
 def _chunk(array: pa.Array | pa.ChunkedArray) -> pa.Array:
