@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import align_queries, fusion_queries, graph_queries, more_queries, relational_queries, resolve_queries, scalar_queries, search_queries, text_queries
+from . import align_queries, fusion_queries, graph_queries, more_queries, rag_queries, relational_queries, resolve_queries, scalar_queries, search_queries, text_queries
 
-_PARTS = (search_queries, graph_queries, relational_queries, align_queries, text_queries, more_queries, scalar_queries, fusion_queries, resolve_queries)
+_PARTS = (search_queries, graph_queries, relational_queries, align_queries, text_queries, more_queries, scalar_queries, fusion_queries, resolve_queries, rag_queries)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:
