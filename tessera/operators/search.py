@@ -131,10 +131,10 @@ def knn(vectors: DataFrame, key: str, vector: str, query: Sequence[float]) -> Da
 PART_ROWS, STRIP = 4096, 512
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int, part_rows: int = PART_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, vector: str, k: int, part_rows: int = PART_ROWS, parts: int | None = None) -> DataFrame:
     """(id, other, score, rank): the exact k nearest of every vector, itself among them, ties by id.
 
-    Vectors are dealt into parts of about part_rows and every pair of parts is one block, worked
+    Vectors are dealt into parts of about part_rows (or as many as given) and every pair of parts is one block, worked
     through in strips of matrix products; a block keeps k candidates for each row, so k rows for
     each vector and part are shuffled, not all pairs. Blocks grow with the square of the parts, as an exact search must.
     """
@@ -142,7 +142,7 @@ def neighbours(vectors: DataFrame, key: str, vector: str, k: int, part_rows: int
     import pandas as pd
 
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), as_double(F.col(vector)).alias("v"))
-    parts = max(1, -(-rows.count() // part_rows))
+    parts = parts or max(1, -(-rows.count() // part_rows))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(parts - 1))
     left = rows.select("*", F.explode(every).alias("with")).select("id", "v", F.col("own").alias("a"), F.col("with").alias("b"))

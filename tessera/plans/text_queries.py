@@ -87,12 +87,32 @@ def lcs_ratio(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(diff.similarity(F.col("before"), F.col("text")), 6).alias("ratio"))
 
 
-@query()
+_RUNS = """select conv_id, turn, string_agg(kind || ' ' || words, '|' order by run) as side from (select conv_id, turn, kind, run, string_agg(word, ' ' order by pos) as words
+ from (select *, sum(new) over (partition by conv_id, turn order by pos) as run from (select *, case when kind = lag(kind) over (partition by conv_id, turn order by pos) then 0 else 1 end as new from {0})) group by all) group by all"""
+
+
+@query(
+    f"""with recursive p as (select conv_id, turn, {_SPLIT.format('text')} as b, lag({_SPLIT.format('text')}) over (partition by conv_id order by turn) as a from conversations),
+ q as (select *, len(a) as n, len(b) as m from p where a is not null),
+ dp as (select *, list_reduce(a, lambda acc, w: list_append(acc, list_reduce(b, lambda r, x: list_append(r, case when x = w then acc[len(acc)][len(r)] + 1 else greatest(acc[len(acc)][len(r) + 1], r[len(r)]) end), [0])), [list_transform(range(m + 1), lambda z: 0)]) as g from q where n * m <= 120000),
+ line as (select conv_id, turn, a, b, unnest(g) as r, generate_subscripts(g, 1) - 1 as i from dp), cell as (select conv_id, turn, i, unnest(r) as v, generate_subscripts(r, 1) - 1 as j, a[i] as x, b from line),
+ way as (select c.conv_id, c.turn, c.i, c.j, case when c.i > 0 and c.j > 0 and c.x = c.b[c.j] then 'unchanged' when c.j > 0 and (c.i = 0 or l.v >= u.v) then 'add' else 'delete' end as kind, case when c.i > 0 then c.x end as left_word, case when c.j > 0 then c.b[c.j] end as right_word
+ from cell c left join cell l on l.conv_id = c.conv_id and l.turn = c.turn and l.i = c.i and l.j = c.j - 1 left join cell u on u.conv_id = c.conv_id and u.turn = c.turn and u.i = c.i - 1 and u.j = c.j where c.i + c.j > 0),
+ walk as (select conv_id, turn, n as i, m as j from q where n * m <= 120000 union all
+ select walk.conv_id, walk.turn, case when kind = 'add' then walk.i else walk.i - 1 end, case when kind = 'delete' then walk.j else walk.j - 1 end from walk join way using (conv_id, turn, i, j)),
+ step as (select way.* from walk join way using (conv_id, turn, i, j)),
+ lf as (select conv_id, turn, i as pos, left_word as word, kind from step where kind <> 'add' union all select conv_id, turn, unnest(range(1, n + 1)), unnest(a), 'delete' from q where n * m > 120000),
+ rg as (select conv_id, turn, j as pos, right_word as word, kind from step where kind <> 'delete' union all select conv_id, turn, unnest(range(1, m + 1)), unnest(b), 'add' from q where n * m > 120000)
+ select q.conv_id, q.turn, coalesce(l.side, '') as before, coalesce(r.side, '') as after from q left join ({_RUNS.format('lf')}) l using (conv_id, turn) left join ({_RUNS.format('rg')}) r using (conv_id, turn)"""
+)
 def lcs_segments(spark, sf_dir):
+    """Each turn and the one before as runs of unchanged and other words."""
     t = Tables(spark, sf_dir)
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = t.conversations.select("conv_id", "turn", "text").withColumn("before", F.lag("text").over(w)).where("before is not null")
-    return rows.select("conv_id", "turn", diff.diff_segments(F.col("before"), F.col("text")).alias("d")).select("conv_id", "turn", "d.left", "d.right")
+    d = rows.select("conv_id", "turn", diff.diff_segments(F.col("before"), F.col("text")).alias("d"))
+    side = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(" ", s["kind"], s["text"])), "|")
+    return d.select("conv_id", "turn", side("d.left").alias("before"), side("d.right").alias("after"))
 
 
 @query(
@@ -146,16 +166,21 @@ def unverified_refs(spark, sf_dir):
     return verify.unverified_references(answers, known)
 
 
-VALUES = ("synthetic_001", "placeholder_abc", "fake_evidence", "null", "undefined", "n/a", "This is fabricated", "ev-001", "reliable", "Auto_x", "forgedly")
+#: What the flags are tried on: each event's type with something before or behind it.
+MADE_UP = ("{0}", "fake_{0}", "Auto_{0}", "unfake", "N/A", "Unknown", "a {0} forged by hand", "auto{0}", "test {0}", "dummy_", "none of {0}")
 
 
 @query(
-    "select cast(id as int) as id, text, lower(text) in ('null', 'undefined', 'n/a', 'none', 'unknown') or regexp_matches(lower(text), '^(synthetic|placeholder|fake|test|dummy|generated|auto)_') or regexp_matches(lower(text), 'fake|fabricat|forged') as made_up from (values "
-    + ", ".join(f"({i}, '{v}')" for i, v in enumerate(VALUES))
-    + ") as t(id, text)"
+    "select event_id, text, lower(text) in ('null', 'undefined', 'n/a', 'none', 'unknown') or regexp_matches(lower(text), '^(synthetic|placeholder|fake|test|dummy|generated|auto)_') or regexp_matches(lower(text), 'fake|fabricat|forged') as made_up from (select event_id, case event_id % 11 "
+    + " ".join(f"when {i} then '" + v.replace("{0}", "' || event_type || '") + "'" for i, v in enumerate(MADE_UP))
+    + " end as text from events)"
 )
 def synthetic_flags(spark, sf_dir):
-    return _literals(spark, VALUES).select("id", "text", fx.is_synthetic(F.col("text")).alias("made_up"))
+    """Values that are made up by their beginning, as a whole, or by a part."""
+    e = Tables(spark, sf_dir).events
+    text = F.replace(F.get(F.array(*map(F.lit, MADE_UP)), (F.col("event_id") % len(MADE_UP)).cast("int")), F.lit("{0}"), F.col("event_type"))
+    rows = e.select("event_id", text.alias("text"))
+    return rows.select("event_id", "text", fx.is_synthetic(F.col("text")).alias("made_up"))
 
 
 FEATURES = ("ROOT:smw|LEM:x|M|GEN", "2MP", "MP|ROOT:x|PERF", "3S|PASS", "S|MP", "MP|S", "ADJ|PN|X", "P", "1P|FD|NOM|ACC")

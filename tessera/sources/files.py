@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import re
+import shutil
+import urllib.request
+import zlib
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered as number_all
+from ..operators.storage import materialize
+
 NARRATOR = (
     "popularName string, name string, teknonym string, generation string, lineage string, residence string, deathYear string,"
     " birthYear string, title string, office string, attribute string, narratorId string"
@@ -87,7 +98,7 @@ def read_phrases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o) of N-Triples lines; prefixes and abbreviations of Turtle are expanded by the writer of the file."""
+    """(s, p, o) of N-Triples lines, read line by line; read_turtle takes prefixes and abbreviations."""
     pattern = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\"\S*)\s*\.\s*$"
     lines = spark.read.text(path).where(F.regexp_like("value", F.lit(pattern)))
     part = lambda i: F.regexp_extract("value", pattern, i)
@@ -96,21 +107,145 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(part(3).startswith('"'), literal).otherwise(bare(part(3))).alias("o"))
 
 
-def follow_chain(triples: DataFrame, predicate: str, most: int = 64) -> DataFrame:
-    """(head, node, pos) of linked lists: heads follow nothing; each round steps all lists at once."""
-    links = triples.where(F.col("p") == predicate).select(F.col("s").alias("node"), F.col("o").alias("next"))
-    heads = links.select("node").distinct().join(links.select(F.col("next").alias("node")), "node", "left_anti")
-    level = heads.select(F.col("node").alias("head"), "node", F.lit(0).alias("pos"))
-    out = level
-    for pos in range(1, most):
-        level = level.join(links, "node").select("head", F.col("next").alias("node"), F.lit(pos).alias("pos"))
-        if level.isEmpty():
-            break
+_TURTLE = re.compile(
+    r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<text>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|"(?:[^"\\\n]|\\.)*")(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w-]*:[\w-]+))?"""
+    r"""|(?P<word>@prefix|@base|PREFIX|BASE)(?=\s)|(?P<blank>_:[\w.-]*[\w-])|(?P<name>[\w-]*:(?:[\w%-](?:[\w.%-]*[\w%-])?)?)|(?P<value>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false)|(?P<a>a)(?=[\s<])|(?P<end>[;,.])""",
+    re.S,
+)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "'": "'", "\\": "\\"}
+_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+def turtle_triples(text: str) -> Iterator[tuple[str, str, str]]:
+    """Subject, predicate and object of a Turtle document's statements: prefixes, `a`, `;` and `,` lists; no brackets or collections.
+
+    Literals are their text, without language or type. What does not fit raises an error that says where.
+    """
+    prefixes, base, at, said = {}, "", 0, []
+
+    def tokens() -> Iterator[tuple[str, str]]:
+        nonlocal at
+        while at < len(text):
+            m = _TURTLE.match(text, at)
+            if not m:
+                raise ValueError(f"no Turtle at character {at}: {text[at : at + 40]!r}")
+            at = m.end()
+            if m.lastgroup:
+                yield m.lastgroup, m[m.lastgroup]
+
+    def term(kind: str, value: str) -> str:
+        if kind == "iri":
+            return value[1:-1] if ":" in value else base + value[1:-1]
+        if kind == "name":
+            prefix, _, rest = value.partition(":")
+            if prefix not in prefixes:
+                raise ValueError(f"prefix {prefix}: is not declared")
+            return prefixes[prefix] + rest
+        if kind == "text":
+            inner = value[3:-3] if value.startswith('"""') else value[1:-1]
+            return re.sub(r"\\(u[0-9A-Fa-f]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] == "u" and len(m[1]) == 5 else _ESCAPES.get(m[1], m[1]), inner, flags=re.S)
+        return _TYPE if kind == "a" else value
+
+    stream = tokens()
+    for kind, value in stream:
+        if kind == "word":
+            if value.lower().endswith("prefix"):
+                prefix, iri = next(stream)[1], next(stream)[1]
+                prefixes[prefix[:-1]] = term("iri", iri)
+            else:
+                base = next(stream)[1][1:-1]
+            if value.startswith("@") and next(stream)[1] != ".":
+                raise ValueError("a directive ends with a full stop")
+        elif kind == "end":
+            if len(said) == 3:
+                yield tuple(said)
+            elif said and not (value == "." and len(said) == 1) and not (value == ";" and len(said) == 1):
+                raise ValueError(f"{said} is no statement")
+            said = said[: {";": 1, ",": 2, ".": 0}[value]]
+        else:
+            said.append(term(kind, value))
+    if said:
+        raise ValueError("the last statement has no full stop")
+
+
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o) of Turtle files; a file is read by one task, because its prefixes hold for the whole of it."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for text in f["value"]:
+                yield pd.DataFrame(turtle_triples(text), columns=["s", "p", "o"], dtype="object")
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "s string, p string, o string")
+
+
+def follow_chain(triples: DataFrame, predicate: str) -> DataFrame:
+    """(head, node, pos) of linked lists: heads follow nothing; each round steps all lists at once.
+
+    A list ends at its last node, or where it would come back to one it has. Lists without a head (rings) are left out.
+    """
+    links = materialize(triples.where(F.col("p") == predicate).select(F.col("s").alias("node"), F.col("o").alias("next")).groupBy("node").agg(F.min("next").alias("next")))
+    heads = links.select("node").join(links.select(F.col("next").alias("node")), "node", "left_anti")
+    level = materialize(heads.select(F.col("node").alias("head"), "node", F.lit(0).alias("pos")))
+    out, pos = level, 0
+    while not level.isEmpty():
+        pos += 1
+        step = level.join(links, "node").select("head", F.col("next").alias("node"), F.lit(pos).alias("pos"))
+        level = materialize(step.join(out.select("head", "node"), ["head", "node"], "left_anti"))
         out = out.unionAll(level)
     return out
 
 
 def numbered(df: DataFrame, order: str, group: str | None = None) -> DataFrame:
-    """df with rn, from 1, by `order` in each group."""
-    w = Window.partitionBy(group or F.lit(0)).orderBy(order)
-    return df.withColumn("rn", F.row_number().over(w))
+    """df with rn, from 1, by `order` in each group, or over all rows without one task for them."""
+    if group is None:
+        return number_all(df, "rn", F.col(order))
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def read_remote(spark: SparkSession, url: str, folder: str, reader: Callable[[SparkSession, str], DataFrame], timeout: float = 60.0) -> DataFrame:
+    """What reader makes of a remote file, which is fetched once to `folder` (shared with executors) and read from there afterwards."""
+    name = re.sub(r"[^A-Za-z0-9._-]+", "_", url.split("://", 1)[-1])
+    path = os.path.join(folder, name)
+    if not os.path.exists(path):
+        os.makedirs(folder, exist_ok=True)
+        part = f"{path}.{os.getpid()}.part"
+        with urllib.request.urlopen(url, timeout=timeout) as source, open(part, "wb") as out:
+            shutil.copyfileobj(source, out)
+        os.replace(part, path)  # a broken fetch never looks like a whole one
+    return reader(spark, path)
+
+
+def pdf_text(data: bytes) -> str:
+    """The strings that a PDF's content streams show, in order, one line for each text object; plain or deflated streams alone."""
+    lines = []
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
+        body = m[1]
+        with contextlib.suppress(zlib.error):
+            body = zlib.decompress(body)
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):
+            shown = re.findall(rb"\(((?:[^()\\]|\\.)*)\)", block, re.S)
+            text = b"".join(re.sub(rb"\\(.)", rb"\1", x, flags=re.S) for x in shown).decode("latin-1").strip()
+            if text:
+                lines.append(text)
+    return "\n".join(lines)
+
+
+def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of PDF files, one file to a row."""
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(text=[pdf_text(x) for x in f["content"]])[["path", "text"]]
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def glossary(lines: DataFrame) -> DataFrame:
+    """(term, meaning) of a text's lines like `term: meaning`, the first meaning of a term; lines: (path, text)."""
+    rows = lines.select("path", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    parts = F.split("line", r"\s*:\s*", 2)
+    named = rows.where(F.size(parts) == 2).select(F.trim(parts[0]).alias("term"), F.trim(parts[1]).alias("meaning"), "path", "i").where("term <> '' and meaning <> ''")
+    return named.groupBy("term").agg(F.min_by("meaning", F.struct("path", "i")).alias("meaning"))
