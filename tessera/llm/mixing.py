@@ -102,7 +102,7 @@ def plan_mix(
     follow each other by size and tie; no rows give no rows.
     """
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("id", F.lit("null"))).cast("binary"))
-    digits = min(8, max(1, math.ceil(math.log(max(1, rows.count() / BUCKET_ROWS), 16))))
+    digits = min(8, max(2, math.ceil(math.log(max(1, rows.count() / BUCKET_ROWS), 16))))
     rows = rows.withColumns({"_hash": hashed, "_bucket": F.substring(hashed, 1, digits)})
     per_bucket = cut(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("size")))
     targets = source_targets(per_bucket.select(F.col("source").alias("source_key"), "size"), weights, demand)
