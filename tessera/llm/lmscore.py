@@ -309,6 +309,15 @@ _RESULT = [
 ]
 
 
+def in_blocks(docs: DataFrame, held_out: Column, blocks: int) -> DataFrame:
+    """(block, doc_id, held_out, text) of every row."""
+    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), text_or_empty(docs), F.spark_partition_id())
+    return docs.select(
+        F.pmod(key, F.lit(blocks)).cast("int").alias("block"), docs["doc_id"].cast("long").alias("doc_id"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty(docs).alias("text"),
+    )
+
+
 def language_model_scores(
     docs: DataFrame, held_out: Column, order: int = 2, concentration: float = 100.0, block_bytes: int | None = None
 ) -> DataFrame:
@@ -330,11 +339,7 @@ def language_model_scores(
     block_bytes = block_bytes or max(BLOCK_BYTES, math.isqrt(ROW_BYTES * size))
     blocks = max(1, math.ceil(size / block_bytes))
     bits = max(2, math.ceil(math.log2(blocks)))
-    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), text_or_empty(docs), F.spark_partition_id())
-    dealt = docs.select(
-        F.pmod(key, F.lit(blocks)).cast("int").alias("block"), docs["doc_id"].cast("long").alias("doc_id"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty(docs).alias("text"),
-    )
+    dealt = in_blocks(docs, held_out, blocks)
     questions = dealt.groupBy("block").applyInArrow(_questions(order, bits), "part int, block int, payload binary")
     answers = questions.groupBy("part").applyInArrow(_answers(order), "block int, part int, payload binary").repartition("block")
     totals = answers.mapInArrow(_sum_totals, "tokens bigint, types bigint, ones bigint, twos bigint").agg(
