@@ -236,7 +236,7 @@ def count_links(members: DataFrame, threshold: float, chunk: int, kind: str = "<
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.95, passes: int = 8, window: int = 256, chunk: int = 1024, seed: int = 1,
+    vectors: DataFrame, threshold: float = 0.95, passes: int = 6, window: int = 256, chunk: int = 1024, seed: int = 1,
     recall: float = 0.9999,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
