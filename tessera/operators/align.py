@@ -90,20 +90,38 @@ def inner_word(text: Column) -> Column:
     return F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
+def words_of(texts: DataFrame, *keys: str) -> DataFrame:
+    """Distinct words (keys, _w) of texts (keys, text)."""
+    return texts.select(*keys, F.explode(F.array_distinct(F.split("text", " "))).alias("_w")).where("_w <> ''")
+
+
+def short_hits(words: DataFrame, short: DataFrame, *group: str) -> DataFrame:
+    """words ⋈ short: which fragments (group, fragment, ...) without an inner word a word may stand for.
+
+    The end of a text's word begins a fragment of two words, and a fragment of one stands inside a word. Fragments meet the
+    group's distinct words, not its texts.
+    """
+    vocabulary = words.select(*group, "_w").distinct()
+    head = F.substring_index("fragment", " ", 1)
+    alone = F.instr("fragment", " ") == 0
+    fits = F.when(alone, F.contains("_w", "fragment")).when(head == "", F.lit(True)).otherwise(F.endswith("_w", head))
+    met = vocabulary.join(short, list(group)) if group else vocabulary.crossJoin(F.broadcast(short))
+    return words.join(met.where(fits), [*group, "_w"])
+
+
 def containment_join(texts: DataFrame, probes: DataFrame, size: int = 80, skip: int = 20, least_bytes: int = 20) -> DataFrame:
     """(text_id, probe_id) where the text holds the probe's fragment: `size` characters after the first `skip`.
 
     texts: (grp, id, text); probes: (grp, id, text). Candidates meet in their group by the
-    longest word inside the fragment, so only texts with that word are compared.
+    longest word inside the fragment, or, where it has none, by the words that its first can end; only those texts are compared.
     """
     p = probes.select("grp", F.col("id").alias("probe_id"), F.substring("text", skip + 1, size).alias("fragment"))
     p = p.where(F.octet_length("fragment") >= least_bytes)
     p = p.withColumn("_w", inner_word(F.col("fragment")))
-    words = texts.select("grp", "id", F.explode(F.array_distinct(F.split("text", " "))).alias("_w"))
-    keyed = p.where("_w is not null")
-    candidates = words.join(keyed, ["grp", "_w"]).select("grp", "id", "probe_id", "fragment")
-    short = p.where("_w is null").select("grp", "probe_id", "fragment").join(texts.select("grp", "id"), "grp").select("grp", "id", "probe_id", "fragment")
-    both = candidates.unionAll(short)
+    words = words_of(texts, "grp", "id")
+    candidates = words.join(p.where("_w is not null"), ["grp", "_w"]).select("grp", "id", "probe_id", "fragment")
+    short = short_hits(words, p.where("_w is null").drop("_w"), "grp").select("grp", "id", "probe_id", "fragment")
+    both = candidates.unionAll(short).distinct()
     return both.join(texts, ["grp", "id"]).where(F.contains("text", "fragment")).select(F.col("id").alias("text_id"), "probe_id").distinct()
 
 

@@ -197,13 +197,11 @@ def category_counts(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(
-    """select key, list(part order by part) as parts from (select 'a' as key, 1 as part union select 'a', 2 union select 'b', 1 union select 'b', 3) group by key"""
-)
+@query("select p_brand as key, list(distinct p_size order by p_size) as parts, count(*) as holders from part group by p_brand")
 def reverse_map(spark, sf_dir):
-    """From element to its holders."""
-    pairs = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("part")) for k, v in (("a", 1), ("a", 2), ("b", 1), ("b", 3))])))
-    return pairs.groupBy("key").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    """From element to its holders: the distinct sizes that parts of a brand have."""
+    p = Tables(spark, sf_dir).part
+    return p.groupBy(F.col("p_brand").alias("key")).agg(F.sort_array(F.collect_set("p_size")).alias("parts"), F.count("*").alias("holders"))
 
 
 @query(

@@ -27,11 +27,8 @@ def query(sql: str | None = None):
 NAMES = ("أَبِي هُرَيْرَةَ", "أبى هريرة", "هشام بن عروة بن الزبير", "ابي", "فاطمة  الزهراء", "مُحَمَّدٌ ـــ رسول", "123 ابن عمر!", "امي سلمة", "")
 
 
-def _literals(spark, values, name="text"):
-    return spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in values])).alias("id", name))
-
-
-_VALUES = "(values " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(NAMES)) + ") as t(id, text)"
+_LIST = "[" + ", ".join(f"'{v}'" for v in NAMES) + "]"
+_VALUES = f"(select doc_id as id, {_LIST}[doc_id % 9 + 1] || ' ' || {_LIST}[doc_id // 9 % 9 + 1] as text from documents) as t"
 _FOLDED = "translate(regexp_replace(text, '[ً-ٰٟـؐ-ؚ]', '', 'g'), 'أإآٱةى', 'ااااهي')"
 _CLEAN = f"trim(regexp_replace(regexp_replace({_FOLDED}, '[^ؠ-ي ]', '', 'g'), '\\s+', ' ', 'g'))"
 
@@ -39,11 +36,14 @@ _CLEAN = f"trim(regexp_replace(regexp_replace({_FOLDED}, '[^ؠ-ي ]', '', 'g'),
 @query(
     f"""with n as (select id, text, {_CLEAN} as c, regexp_replace({_FOLDED}, '[^ؠ-ي]', '', 'g') as spaceless from {_VALUES}),
  w as (select *, string_split(c, ' ') as ws from n)
- select cast(id as int) as id, array_to_string(list_transform(ws, lambda x, i: case when i < len(ws) and x in ('ابي', 'ابى', 'ابا') then 'ابو' when i < len(ws) and x in ('امي', 'اما') then 'ام' else x end), ' ') as name,
+ select id, array_to_string(list_transform(ws, lambda x, i: case when i < len(ws) and x in ('ابي', 'ابى', 'ابا') then 'ابو' when i < len(ws) and x in ('امي', 'اما') then 'ام' else x end), ' ') as name,
  spaceless, c as plain, replace(array_to_string(list_transform(ws, lambda x, i: case when i < len(ws) and x in ('ابي', 'ابى', 'ابا') then 'ابو' when i < len(ws) and x in ('امي', 'اما') then 'ام' else x end), ' '), ' ', '_') as slug from w"""
 )
 def arabic_normalise(spark, sf_dir):
-    rows = _literals(spark, NAMES)
+    """Names of two parts, the forms of which follow from the document's id."""
+    part = lambda i: F.get(F.array(*map(F.lit, NAMES)), (i % len(NAMES)).cast("int"))
+    i = F.col("doc_id")
+    rows = Tables(spark, sf_dir).documents.select(i.alias("id"), F.concat_ws(" ", part(i), part(F.floor(i / len(NAMES)))).alias("text"))
     t = F.col("text")
     return rows.select("id", fx.normalize_name(t).alias("name"), fx.normalize_spaceless(t).alias("spaceless"), fx.strip_diacritics(t).alias("plain"), fx.name_slug(t).alias("slug"))
 
@@ -122,18 +122,20 @@ def lcs_segments(spark, sf_dir):
 def quote_verify(spark, sf_dir):
     """For each benchmark text the number of documents that hold it verbatim.
 
-    The benchmark is a stated query set; an item meets the documents that have its longest inner word.
-    Items without one (of two words or fewer) meet all documents.
+    The benchmark is a stated query set; an item meets the documents that have its longest inner word, and one
+    without such a word (of two words or fewer) those that have a word which it can stand in or begin with.
     """
     t = Tables(spark, sf_dir)
-    items = t.benchmark.select("item_id", F.col("text").alias("quote"), align.inner_word(fx.normalize_quote(F.col("text"))).alias("_k"))
+    items = t.benchmark.select("item_id", fx.normalize_quote(F.col("text")).alias("fragment")).withColumn("_w", align.inner_word(F.col("fragment")))
     docs = t.documents.select("doc_id", fx.normalize_quote(F.col("text")).alias("text"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("_k"))
-    near = words.join(items, "_k").join(docs, "doc_id").where(verify.quote_is_verbatim(F.col("quote"), F.col("text")))
-    short = items.where("_k is null").join(docs, F.contains(docs["text"], items["quote"]))
-    near = near.select("item_id", "doc_id").unionAll(short.select("item_id", "doc_id"))
+    words = align.words_of(docs, "doc_id")
+    near = words.join(items.where("_w is not null"), "_w").select("item_id", "doc_id", "fragment")
+    short = align.short_hits(words, items.where("_w is null and fragment <> ''").drop("_w")).select("item_id", "doc_id", "fragment")
+    near = near.unionAll(short).distinct().join(docs, "doc_id").where(verify.quote_is_verbatim(F.col("fragment"), F.col("text")))
     hits = near.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
-    return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0).cast("bigint")).alias("documents"))
+    # an empty item stands in every text
+    every = items.where("fragment = ''").select("item_id").crossJoin(F.broadcast(docs.where("text is not null").agg(F.count("*").alias("documents"))))
+    return items.select("item_id").join(hits.unionAll(every), "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0).cast("bigint")).alias("documents"))
 
 
 @query(
@@ -183,18 +185,27 @@ def synthetic_flags(spark, sf_dir):
     return rows.select("event_id", "text", fx.is_synthetic(F.col("text")).alias("made_up"))
 
 
-FEATURES = ("ROOT:smw|LEM:x|M|GEN", "2MP", "MP|ROOT:x|PERF", "3S|PASS", "S|MP", "MP|S", "ADJ|PN|X", "P", "1P|FD|NOM|ACC")
+#: Feature strings, # for a root, and what they say: case, gender, number, person, root.
+FEATURES = (
+    ("ROOT:#|LEM:x|M|GEN", ("GEN", "M", None, None, "#")), ("2MP", (None, "M", "P", "2", None)), ("MP|ROOT:#|PERF", (None, "M", "P", None, "#")),
+    ("3S|PASS", (None, None, "S", "3", None)), ("S|MP", (None, "M", "P", None, None)), ("MP|S", (None, "M", "P", None, None)), ("ADJ|PN|X", (None,) * 5),
+    ("P", (None, None, "P", None, None)), ("1P|FD|NOM|ACC", ("ACC", "F", "D", "1", None)),
+)
+_FIELDS = ("case", "gender", "number", "person", "root")
 
 
-@query(
-    """select * from (values (0, 'GEN', 'M', null, null, 'smw'), (1, null, 'M', 'P', '2', null), (2, null, 'M', 'P', null, 'x'), (3, null, null, 'S', '3', null), (4, null, 'M', 'P', null, null),
- (5, null, 'M', 'P', null, null), (6, null, null, null, null, null), (7, null, null, 'P', null, null), (8, 'ACC', 'F', 'D', '1', null)) as t(id, "case", gender, number, person, root)"""
-)
+def _feature_sql(k: int) -> str:
+    value = lambda v: "null" if v is None else "event_type" if v == "#" else f"'{v}'"
+    return "case event_id % 9 " + " ".join(f"when {i} then {value(v[k])}" for i, (_, v) in enumerate(FEATURES)) + " end"
+
+
+@query("select event_id, " + ", ".join(f'{_feature_sql(k)} as "{n}"' for k, n in enumerate(_FIELDS)) + " from events")
 def feature_parse(spark, sf_dir):
-    """Feature strings as maps; the expected maps are written out in the SQL."""
-    f = fx.parse_features(F.col("text"))
-    rows = _literals(spark, FEATURES).select("id", f.alias("f"))
-    return rows.select("id", *[F.col("f")[k].alias(k) for k in ("case", "gender", "number", "person")], F.col("f")["ROOT"].alias("root"))
+    """Feature strings of every event as maps."""
+    e = Tables(spark, sf_dir).events
+    text = F.replace(F.get(F.array(*[F.lit(x) for x, _ in FEATURES]), (F.col("event_id") % 9).cast("int")), F.lit("#"), F.col("event_type"))
+    rows = e.select("event_id", fx.parse_features(text).alias("f"))
+    return rows.select("event_id", *[F.col("f")["ROOT" if k == "root" else k].alias(k) for k in _FIELDS])
 
 
 @query(
@@ -224,12 +235,21 @@ def headings_to_tree(spark, sf_dir):
 
 
 @query(
-    """select book, path, depth, title, line_num from (values ('b', '0000', 0, 'A', 1), ('b', '0000.0000', 1, 'A1', 2), ('b', '0000.0001', 1, 'A2', 5), ('b', '0000.0001.0000', 2, 'A2a', 6), ('b', '0001', 0, 'B', 9)) as t(book, path, depth, title, line_num)"""
+    """with l as (select source, lang, min(doc_id) as line, row_number() over (partition by source order by lang) - 1 as i from documents group by source, lang),
+ d as (select source, lang, doc_id, row_number() over (partition by source, lang order by doc_id) - 1 as j from documents)
+ select source as book, '0000' as path, 0 as depth, source as title, cast(0 as bigint) as line_num from l group by source union all
+ select source, '0000.' || lpad(i::varchar, 4, '0'), 1, lang, line from l union all
+ select d.source, '0000.' || lpad(i::varchar, 4, '0') || '.' || lpad(j::varchar, 4, '0'), 2, 'passage ' || doc_id, doc_id from d join l using (source, lang)"""
 )
 def tree_flatten(spark, sf_dir):
-    forest = """[{"title":"A","line_num":1,"text":"x","nodes":[{"title":"A1","line_num":2},{"title":"A2","line_num":5,"nodes":[{"title":"A2a","line_num":6}]}]},{"title":"B","line_num":9}]"""
-    roots = spark.range(1).select(F.lit("b").alias("book"), F.lit(forest).alias("nodes"))
-    return tree.flatten_tree(roots, "book", "nodes").select("book", "path", "depth", "title", F.col("line_num").cast("int").alias("line_num"))
+    """Books as JSON trees of languages and passages, flattened level by level."""
+    d = Tables(spark, sf_dir).documents
+    leaf = F.struct(F.col("doc_id").alias("line_num"), F.format_string("passage %d", "doc_id").alias("title"))
+    parts = d.groupBy("source", "lang").agg(F.min("doc_id").alias("line_num"), F.array_sort(F.collect_list(leaf)).alias("nodes"))
+    branch = F.struct(F.col("lang").alias("title"), "line_num", "nodes")
+    roots = parts.groupBy("source").agg(F.array_sort(F.collect_list(branch)).alias("nodes"))
+    whole = F.to_json(F.array(F.struct(F.col("source").alias("title"), F.lit(0).alias("line_num"), "nodes")))
+    return tree.flatten_tree(roots.select("source", whole.alias("forest")), "source", "forest").select("book", "path", "depth", "title", "line_num")
 
 
 @query(
@@ -270,13 +290,18 @@ def chunker(spark, sf_dir):
 
 
 @query(
-    """select cast(id as int) as id, number, key, ref, gen from (values (0, 3017, '2_255', 'sb_1', 6), (1, 774, null, null, 10), (2, null, null, null, 1), (3, null, null, null, 3), (4, null, null, null, null)) as t(id, number, key, ref, gen)"""
+    """select event_id, case event_id % 5 when 0 then event_id when 1 then user_id end as number, case when event_id % 5 = 0 and event_id > 0 then (user_id + 1) || '_' || event_id end as key,
+ case when event_id % 5 = 0 then 'sb_' || event_id end as ref, cast(case event_id % 5 when 0 then user_id when 1 then user_id + 10 when 2 then 1 when 3 then 3 end as int) as gen from events"""
 )
 def number_parse(spark, sf_dir):
-    """Numbers, keys and generations out of loosely written strings."""
-    values = spark.range(1).select(
-        F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(a).alias("n"), F.lit(b).alias("k"), F.lit(c).alias("r"), F.lit(d).alias("g")) for i, (a, b, c, d) in enumerate(
-            [("3017 a", "2:255", "SB-HD0001", "6?"), ("774b", "2_x", "SB0001", "10"), ("a1", "1_2_3", "", "Sahabi"), ("", "0:1", "HD-1", "tabi'i"), (" 1", "a:b", "x", "x")]
-        )]))
-    )
-    return values.select("id", fx.leading_number(F.col("n")).cast("int").alias("number"), fx.verse_key(F.col("k")).alias("key"), fx.cross_reference_key(F.col("r")).alias("ref"), fx.parse_generation(F.col("g")).alias("gen"))
+    """Numbers, keys and generations out of loosely written strings made of every event's numbers."""
+    e = Tables(spark, sf_dir).events
+    i, u, text = F.col("event_id"), F.col("user_id"), F.format_string
+    one = lambda *values: F.get(F.array(*values), (i % 5).cast("int"))
+    number = one(text("%d a", i), text("%db", u), text("a%d", i), F.lit(""), text(" %d", i))
+    key = one(text("%d:%d", u + 1, i), text("%d_x", u), text("%d_2_3", i), text("0:%d", i), F.lit("a:b"))
+    ref = one(text("SB-HD%04d", i), text("SB%04d", i), F.lit(""), text("HD-%d", i), F.lit("x"))
+    gen = one(text("%d?", u), text("%d", u + 10), F.lit("Sahabi"), F.lit("tabi'i"), F.lit("x"))
+    return e.select(
+        "event_id", fx.leading_number(number).alias("number"), fx.verse_key(key).alias("key"), fx.cross_reference_key(ref).alias("ref"), fx.parse_generation(gen).alias("gen")
+    )
