@@ -69,4 +69,19 @@ OP10 = f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(tex
  select doc_id, cast(size as bigint) as size, source_size, round(target, 6) as target, w0 + w1 as taken,
  case when w0 > 0 then {_TIME.replace('#', 's0')} when w1 > 0 then {_TIME.replace('#', 's1')} end as first_position, case when w0 > 0 and w1 > 0 then {_TIME.replace('#', 's1')} end as second_position from x"""
 
-ORACLE_SQL = {"op4_jaccard_join": OP4, "op7_embedding_dedup": OP7, "op8_url_filter": OP8, "op10_mixing": OP10}
+#: crc32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, b: list_reduce(range(8), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end, xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+
+#: The automaton's probabilities: a bigram's count and 100 times the word's share, or the share alone behind a word that was never trained.
+OP6 = f"""with d as (select doc_id, {_CRC} % 7 = 2 as held, list_concat([' begin'], list_append(regexp_extract_all({_FOLD}, '{WORDS}'), ' end')) as ts from documents),
+ q as (select doc_id, held, unnest(ts) as w, generate_subscripts(ts, 1) as i from d), s as (select *, lag(w) over (partition by doc_id order by i) as v from q),
+ uni as (select w, count(*) as c from q where not held and w <> ' begin' group by w), ctx as (select w, count(*) as c from q where not held group by w),
+ bi as (select v, w, count(*) as c from s where not held and v is not null group by v, w),
+ t as (select sum(c)::double as n, count(*)::double as types, count(*) filter (where c = 1)::double as ones, count(*) filter (where c = 2)::double as twos from uni),
+ k as (select *, case when ones > 0 then greatest(least(ones / (ones + 2 * twos), 0.95), 0.1)::double else 0.5::double end as cut from t),
+ p as (select s.doc_id, s.held, coalesce(uni.c, 0) as c, coalesce(ctx.c, 0) as seen, coalesce(bi.c, 0) as pair, (greatest(coalesce(uni.c, 0) - cut, 0) + cut * types / (types + 1)) / n as share, n, types
+ from s left join uni on uni.w = s.w left join ctx on ctx.w = s.v left join bi on bi.v = s.v and bi.w = s.w, k where s.w <> ' begin')
+ select doc_id, any_value(held) as held_out, count(*) as n_tokens, count(*) filter (where c > 0) as n_known, any_value(n)::bigint as train_tokens, round(sum(log10((c + 1) / (n + types + 1))), 6) as base_score,
+ round(sum(log10(case when seen > 0 then (pair + 100 * share) / (seen + 100) else share end)), 6) as score from p group by doc_id"""
+
+ORACLE_SQL = {"op6_lm_scoring": OP6, "op4_jaccard_join": OP4, "op7_embedding_dedup": OP7, "op8_url_filter": OP8, "op10_mixing": OP10}

@@ -54,7 +54,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lmscore.language_model_scores(docs, held_out(F.col("doc_id"), 7, 2))
+    scores = lmscore.language_model_scores(docs, held_out(F.col("doc_id"), 7, 2))
+    return scores.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
