@@ -208,7 +208,7 @@ def bucket_links(rows: DataFrame, threshold: float, depth: int, passes: int, chu
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     keys = bucket_keys(rows, depth, passes, seed, kind)
-    tiles = tiled(with_totals(keys, ["turn", "key"], "vec_id", _sizes(), _OPEN), "key", F.col("size"), "vec_id", chunk)
+    tiles = tiled(with_totals(keys, ["turn", "key"], "vec_id", _sizes(), _OPEN, parts=16), "key", F.col("size"), "vec_id", chunk)
     tiles = tiles.select("turn", "key", "_lo", "_hi", "_side", "vec_id").join(rows.select("vec_id", "unit", "component"), "vec_id")
     return by_group(tiles, "turn", "key", "_lo", "_hi").mapInArrow(compare, "a bigint, b bigint").distinct()
 

@@ -125,7 +125,7 @@ def chosen_paths(
         )
 
     def counted(keys: DataFrame) -> DataFrame:
-        return with_totals(keys, ["path"], "id", [F.count("*").alias("size")], "size > 1")
+        return with_totals(keys, ["path"], "id", [F.count("*").alias("size")], "size > 1", parts=16)
 
     start = sig.withColumn("run", F.explode(F.sequence(F.lit(runs[0]), F.lit(runs[-1]))))
     keys = children(start.select("id", "sig", F.xxhash64("run").alias("path"), F.lit(None).cast("long").alias("size")))
