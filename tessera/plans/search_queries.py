@@ -197,6 +197,28 @@ def ir_metrics(spark, sf_dir):
     return per.agg(mean("rr", "mrr"), mean("r1", "recall_1"), mean("r3", "recall_3"), mean("r5", "recall_5"), mean("spread", "spread"), mean("gap", "gap"))
 
 
+@query(
+    f"""with {SELF_SQL}, n as (select s_r.id, other, row_number() over (partition by s_r.id order by rank) as rank, score from s_r where s_r.id <> other),
+ j as (select n.*, a.label % 5 as category, a.label = b.label as hit from n join embeddings a on a.vec_id = n.id join embeddings b on b.vec_id = other where rank <= 5),
+ q as (select category, id, coalesce(1.0::double / min(case when hit then rank end), 0) as rr, max(case when hit then 1.0::double else 0 end) as r5 from j group by category, id)
+ select category, count(*) as questions, round(avg(rr), 6) as mrr, round(avg(r5), 6) as recall_5 from q group by category"""
+)
+def ir_metrics_by_category(spark, sf_dir):
+    """Ranking quality of nearest neighbours in each category of questions."""
+    from pyspark.sql import Window
+
+    t = Tables(spark, sf_dir)
+    rows = search.neighbours(t.embeddings, "vec_id", "embedding", 6).where("id <> other")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("rank"))).where("rank <= 5")
+    label = t.embeddings.select("vec_id", "label")
+    rows = rows.join(label.select(F.col("vec_id").alias("id"), F.col("label").alias("a")), "id").join(label.select(F.col("vec_id").alias("other"), F.col("label").alias("b")), "other")
+    hit = F.col("a") == F.col("b")
+    per = rows.groupBy((F.col("a") % 5).alias("category"), "id").agg(
+        F.coalesce(1.0 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)).alias("rr"), F.max(F.when(hit, 1.0).otherwise(0.0)).alias("r5")
+    )
+    return per.groupBy("category").agg(F.count("*").alias("questions"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("r5"), 6).alias("recall_5"))
+
+
 @query(
     f"""with {SELF_SQL}, e as (select least(id, other) as a, greatest(id, other) as b from s_r join embeddings x on x.vec_id = id join embeddings y on y.vec_id = other
  where rank <= 10 and id <> other and score >= 0.30 and x.label = y.label group by all),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Verses of the chapters, in order: fixed values.
 VERSES = (
@@ -12,6 +13,13 @@ VERSES = (
 )
 #: Codes and names of the collections, in order: fixed values.
 COLLECTIONS = (("SB", "صحيح البخاري"), ("SM", "صحيح مسلم"), ("SD", "سنن أبي داود"), ("JT", "جامع الترمذي"), ("SN", "سنن النسائى الصغرى"), ("IM", "سنن ابن ماجه"))
+#: Reciters and the folders of their recordings, in order: fixed values.
+RECITERS = (
+    ("Mishary Alafasy", "Alafasy_128kbps"), ("Abdul Basit (Murattal)", "Abdul_Basit_Murattal_192kbps"), ("Abdul Basit (Mujawwad)", "Abdul_Basit_Mujawwad_128kbps"),
+    ("Al-Husary", "Husary_128kbps"), ("Al-Husary (Muallim)", "Husary_Muallim_128kbps"), ("As-Sudais", "Abdurrahmaan_As-Sudais_192kbps"), ("Al-Ghamdi", "Ghamadi_40kbps"),
+    ("Maher Al-Muaiqly", "MaherAlMuaiqly128kbps"), ("Muhammad Ayyoub", "Muhammad_Ayyoub_128kbps"), ("Hani Ar-Rifai", "Hani_Rifai_192kbps"),
+    ("Abu Bakr Ash-Shatri", "Abu_Bakr_Ash-Shaatree_128kbps"), ("Nasser Al-Qatami", "Nasser_Alqatami_128kbps"), ("Warsh (Abdul Basit)", "warsh/warsh_Abdul_Basit_128kbps"),
+)
 
 
 def chapters(spark: SparkSession) -> DataFrame:
@@ -26,3 +34,9 @@ def chapters(spark: SparkSession) -> DataFrame:
 def collections(spark: SparkSession) -> DataFrame:
     """collection (from 1), code and name."""
     return spark.createDataFrame([(i, *c) for i, c in enumerate(COLLECTIONS, 1)], "collection int, code string, name string")
+
+
+def reciters(spark: SparkSession) -> DataFrame:
+    """reciter (from 1), name, folder, and the bit rate that the folder's name ends with."""
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(RECITERS, 1)], "reciter int, name string, folder string")
+    return rows.withColumn("kbps", F.regexp_extract("folder", r"(\d+)kbps$", 1).cast("int"))

@@ -254,6 +254,7 @@ def test_seeds(spark):
     rows = seeds.chapters(spark).orderBy("chapter").collect()
     assert len(rows) == 114 and sum(r["verses"] for r in rows) == 6236 and rows[1]["first"] == 8 and rows[-1]["first"] == 6231
     assert [r["code"] for r in seeds.collections(spark).orderBy("collection").collect()] == ["SB", "SM", "SD", "JT", "SN", "IM"]
+    assert {r["kbps"] for r in seeds.reciters(spark).collect()} == {40, 128, 192} and seeds.reciters(spark).count() == 13
 
 
 def test_analysis_is_stored(spark, tmp_path):
