@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,12 +42,11 @@ def segments(a: list[str], b: list[str], most: int = MAX_GRID) -> dict:
     if len(a) * len(b) > most:
         whole = lambda x, k: [{"text": " ".join(x), "kind": k}] if x else []
         return {"left": whole(a, "delete"), "right": whole(b, "add")}
-    rows = [[0] * (len(b) + 1)]
-    for w in a:
-        last, row = rows[-1], [0]
-        for j, x in enumerate(b):
-            row.append(last[j] + 1 if w == x else max(last[j + 1], row[j]))
-        rows.append(row)
+    number: dict[str, int] = {}
+    left_ids, right_ids = (np.array([number.setdefault(w, len(number)) for w in x], dtype=np.int64) for x in (a, b))
+    rows = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    for k, w in enumerate(left_ids):  # a row at once: a running maximum carries what stands left of a cell
+        np.maximum.accumulate(np.maximum(rows[k, 1:], rows[k, :-1] + (right_ids == w)), out=rows[k + 1, 1:])
     i, j, left, right = len(a), len(b), [], []
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
