@@ -44,16 +44,14 @@ _LEMMA = f"list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: substr(
 _PLAIN = {w: w for w in QUESTION}
 
 
-def _indexes(t: Tables) -> dict[str, str]:
-    """Paths of three indexes over the documents: stemmed English, plain, and a lemma (a word's first five letters)."""
+def _index(t: Tables, name: str) -> str:
+    """The path of an index over the documents: stemmed English, plain, or a lemma (a word's first five letters)."""
     d = t.documents.select("doc_id", "text")
-    lemma = F.array_join(F.transform(fx.tokenize(F.col("text")), lambda x: F.substring(x, 1, 5)), " ")
-    fields = {"en": (d, {"lower": True, "stem": True}), "plain": (d, {}), "lemma": (d.withColumn("text", lemma), {})}
-    out = {}
-    for name, (rows, analyzer) in fields.items():
-        out[name] = fresh_path(t.spark, f"index-{name}")
-        search.write_index(rows, "doc_id", "text", out[name], **analyzer)
-    return out
+    if name == "lemma":
+        d = d.withColumn("text", F.array_join(F.transform(fx.tokenize(F.col("text")), lambda x: F.substring(x, 1, 5)), " "))
+    path = fresh_path(t.spark, f"index-{name}")
+    search.write_index(d, "doc_id", "text", path, **({"lower": True, "stem": True} if name == "en" else {}))
+    return path
 
 
 def _ranked(t: Tables, path: str, terms, limit: int = 20):
@@ -62,9 +60,7 @@ def _ranked(t: Tables, path: str, terms, limit: int = 20):
 
 
 def _lists(t: Tables, *names: str):
-    paths = _indexes(t)
-    terms = {"en": search.stems(QUESTION), "plain": QUESTION, "lemma": QUESTION}
-    return [_ranked(t, paths[n], terms[n]) for n in names]
+    return [_ranked(t, _index(t, n), search.stems(QUESTION) if n == "en" else QUESTION) for n in names]
 
 
 @query(f"with {_bm25_sql(TERMS, True)} select id as doc_id, cast(rank as int) as rank, round(score, 6) as score from b_r where rank <= 20")

@@ -398,14 +398,17 @@ _CONTINUITY = ORACLE_SQL["continuity"]
 def chain_assessments(spark, sf_dir):
     """The table of chains that the analysis stores."""
     _, c, edges = _base(spark, sf_dir)
-    return structure.analyse_families(c, edges)["chains"]
+    c = materialize(graph.of_two_or_more(c))
+    return structure.chain_facts(c, edges.join(c.select("family").distinct(), "family", "left_semi"))
 
 
 _NEAR = "list_dot_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))"
 
 
 @query(
-    f"""with recursive {CHAIN_SQL}, own as (select distinct variant, node from chain), s as (select q.vec_id as id, e.vec_id as other, {_NEAR} as score from embeddings e, embeddings q),
+    f"""with recursive {CHAIN_SQL}, own as (select distinct variant, node from chain),
+ topical as (select vec_id, list_concat(embedding::double[], list_transform(range(64), lambda i: case when i = label % 64 then 2.0::double else 0.0::double end)) as embedding from embeddings),
+ s as (select q.vec_id as id, e.vec_id as other, {_NEAR} as score from topical e, topical q),
  s_r as (select *, row_number() over (partition by id order by round(score, 12) desc, other) as rank from s),
  e as (select distinct s_r.id, other from s_r join own a on a.variant = s_r.id + 1 join own b on b.variant = other + 1 and a.node = b.node where rank <= 10 and s_r.id <> other and score >= 0.85),
  edges as (select id as a, other as b from e union select other, id from e), reach as (select a as node, b as other from edges union select r.node, x.b from reach r join edges x on r.other = x.a),
@@ -413,10 +416,15 @@ _NEAR = "list_dot_product(e.embedding::double[], q.embedding::double[]) / sqrt(l
  select f.node as vec_id, family, members, 'Family of ' || s_name || ', label ' || label as label from f join embeddings on vec_id = family join (select variant, min(node) as first from own group by variant) on variant = family + 1 join supplier on s_suppkey = first"""
 )
 def compute_families(spark, sf_dir):
-    """Families of near texts that share a node: ten nearest, cosine 0.85, at least one common node; with label and size, for each member."""
+    """Families of near texts that share a node: ten nearest, cosine 0.85, at least one common node; with label and size, for each member.
+
+    The stored vectors are hardly alike, so each is lengthened by an axis of its label.
+    """
     t, c, _ = _base(spark, sf_dir)
+    axis = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label") % 64, 2.0).otherwise(0.0))
+    vectors = t.embeddings.select("vec_id", F.concat(F.col("embedding").cast("array<double>"), axis).alias("embedding"))
     own = graph.memberships(c).select("variant", "node").distinct()
-    families = structure.compute_families(t.embeddings, own.select((F.col("variant") - 1).alias("id"), "node"), "vec_id", "embedding")
+    families = structure.compute_families(vectors, own.select((F.col("variant") - 1).alias("id"), "node"), "vec_id", "embedding")
     first = own.groupBy((F.col("variant") - 1).alias("family")).agg(F.min("node").alias("first"))
     named = first.join(nodes(t).select(F.col("id").alias("first"), "name"), "first").join(t.embeddings.select(F.col("vec_id").alias("family"), F.col("label").alias("kind")), "family")
     label = F.format_string("Family of %s, label %d", "name", "kind")
