@@ -84,4 +84,61 @@ OP6 = f"""with d as (select doc_id, {_CRC} % 7 = 2 as held, list_concat([' begin
  select doc_id, any_value(held) as held_out, count(*) as n_tokens, count(*) filter (where c > 0) as n_known, any_value(n)::bigint as train_tokens, round(sum(log10((c + 1) / (n + types + 1))), 6) as base_score,
  round(sum(log10(case when seen > 0 then (pair + 100 * share) / (seen + 100) else share end)), 6) as score from p group by doc_id"""
 
-ORACLE_SQL = {"op6_lm_scoring": OP6, "op4_jaccard_join": OP4, "op7_embedding_dedup": OP7, "op8_url_filter": OP8, "op10_mixing": OP10}
+#: crc32 of a text's UTF-8 bytes, by a table of 256 remainders.
+_TABLE = """tab as (select list(list_reduce(range(8), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end, b) order by b) as t from range(256) as r(b))"""
+_TEXT_CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"""
+
+#: Groups too large for an equal share of the rest go first; the others are cut under the least capacity that a binary search over greedy fills finds.
+OP11 = f"""with recursive {_TABLE}, d as (select doc_id, coalesce(text, '') as text, sha256(coalesce(text, '')) as key, strlen(coalesce(text, '')) + 1 as size from documents),
+ c as (select key, any_value({_TEXT_CRC}) as crc from (select key, any_value(text) as text from d group by key), tab group by key),
+ g as (select key, sum(size)::bigint as size from d group by key),
+ o as (select key, size, row_number() over w as i, sum(size) over () - sum(size) over w + size as rest from g window w as (order by size desc, key)),
+ own as (select key, i - 1 as shard from o where i < 16 and i < (select min(i) from o where i >= 16 or size * (17 - i) <= rest)),
+ k as (select (16 - (select count(*) from own))::bigint as k),
+ a as (select key, size, sum(size) over (order by key)::bigint as until from g where key not in (select key from own)),
+ p as (select list_prepend(0::bigint, list(until order by until)) as p, coalesce(max(until), 0)::bigint as total, k from a, k group by k),
+ s as (select (total + k - 1) // k as low, total as high from p union all
+  select case when fits then low else middle + 1 end, case when fits then middle else high end from (select low, high, middle,
+   list_reduce(range(k), lambda q, i: list_max(list_filter(p, lambda x: x <= q + middle)), 0::bigint) >= total as fits from (select *, (low + high) // 2 as middle from s where low < high), p)),
+ cap as (select min(low)::bigint as cap from s where low >= high),
+ b as (select 0::bigint as j, 0::bigint as spot union all
+  select j + 1, list_reduce(list_filter(p, lambda x: x >= greatest(late, spot) and x <= spot + cap), lambda u, v: case when abs((v - spot) * (k - j) - (total - spot)) < abs((u - spot) * (k - j) - (total - spot)) then v else u end)
+  from (select *, list_reduce(range(k - j - 1), lambda q, i: list_min(list_filter(p, lambda x: x >= q - cap)), total) as late from b, p, cap where j + 1 < k)),
+ t as (select key, shard from own union all select key, (16 - k) + (select count(*) from b where j > 0 and spot <= a.until - a.size) from a, k)
+ select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law, shard::int as shard, row_number() over (partition by shard order by d.key, doc_id nulls first) - 1 as slot, null::int as grown_shard
+ from d join t on d.key = t.key join c on d.key = c.key"""
+
+#: Lines, and a cut's place as the length of the lines before it; the text itself bounds the last line, which may have no line feed.
+OP12 = """with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, 'null')) as hash from documents),
+ n as (select *, string_split(text, chr(10)) as parts, len(string_split(text, chr(10))) - case when text = '' or ends_with(text, chr(10)) then 1 else 0 end as n from d),
+ h as (select *, list_transform(range(4), lambda i: ('0x' || substr(hash, 8 * i + 1, 8))::bigint) as h from n),
+ c as (select *, text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 100 as plain, least(h[1] % (n + 1), h[2] % (n + 1)) as i, greatest(h[1] % (n + 1), h[2] % (n + 1)) as j from h),
+ e as (select *, least(length(text), i + coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x))), 0))::bigint as b, least(length(text), j + coalesce(list_sum(list_transform(parts[1:j], lambda x: length(x))), 0))::bigint as e from c),
+ f as (select *, case when plain then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form, substr(text, 1, b) as pre, substr(text, b + 1, e - b) as mid, substr(text, e + 1) as suf from e)
+ select doc_id, n::bigint as n, form, case when not plain then b end as prefix_chars, case when not plain then e - b end as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256 from f"""
+
+_FIELD = "case when {0} is null then '-' else strlen({0}::varchar) || ':' || {0}::varchar end"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_TREE = "list_transform(range((len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], '')))"
+
+#: Levels of both trees as lists; a leaf's siblings are those beside its ancestors.
+OP13 = f"""with recursive d as (select doc_id, lang, {_LEAF.format('n_chars')} as leaf, case when {_CRC} % 7 = 0 then {_LEAF.format('(n_chars + 1)')} end as claim from documents),
+ r as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from d),
+ low as (select lang, 0 as level, list(leaf order by i) as hs from r group by lang union all select lang, level + 1, {_TREE} from low where len(hs) > 1),
+ sub as (select lang, hs[1] as subroot, row_number() over (order by lang nulls first) - 1 as k from low where len(hs) = 1),
+ up as (select 0 as level, list(subroot order by k) as hs from sub union all select level + 1, {_TREE} from up where len(hs) > 1),
+ top as (select hs[1] as root from up where len(hs) = 1),
+ nodes as (select lang, level, unnest(hs) as h, generate_subscripts(hs, 1) - 1 as j, len(hs) as n from low),
+ own as (select r.lang, r.i, list(struct_pack(s := s.h, l := s.j < (r.i >> x.level)) order by x.level) as path
+  from r join (select lang, level, len(hs) as n from low where len(hs) > 1) x on r.lang is not distinct from x.lang left join nodes s on s.lang is not distinct from r.lang and s.level = x.level and s.j = xor(r.i >> x.level, 1) group by r.lang, r.i),
+ over as (select k, list(struct_pack(s := hs[xor(k >> level, 1) + 1], l := k & (1::bigint << level) > 0) order by level) as path from sub, up where len(hs) > 1 group by k),
+ j as (select r.doc_id, r.leaf, r.claim, sub.subroot, top.root, list_concat(coalesce(own.path, []), coalesce(over.path, [])) as path
+  from r join sub on r.lang is not distinct from sub.lang left join own on own.lang is not distinct from r.lang and own.i = r.i left join over on over.k = sub.k, top),
+ f as (select *, list_reduce(list_prepend(struct_pack(s := coalesce(claim, leaf), l := false), path), lambda a, x: struct_pack(s := sha256(case when x.s is null then a.s when x.l then x.s || a.s else a.s || x.s end), l := false)).s as folded_root from j)
+ select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(list_filter(path, lambda x: x.s is not null), lambda x: x.s), ''), '')) as proof_sha256, folded_root, folded_root = root as verified from f"""
+
+ORACLE_SQL = {
+    "op6_lm_scoring": OP6, "op4_jaccard_join": OP4, "op7_embedding_dedup": OP7, "op8_url_filter": OP8, "op10_mixing": OP10,
+    "op11_sharding": OP11, "op12_infill": OP12, "op13_merkle": OP13,
+}

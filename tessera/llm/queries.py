@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, jaccard, lmscore, mixing, packing, quality, tokencount, toxicity, urlfilter
+from . import embeddings, fingerprints, infill, jaccard, lmscore, merkle, mixing, packing, quality, sharding, tokencount, toxicity, urlfilter
 from .oracle import ORACLE_SQL  # noqa: F401
 from .session import held_out, remove, scratch
 
@@ -75,6 +75,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "taken", *[F.round(c, 6).alias(c) for c in ("target", "first_position", "second_position")])
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding_digest(table(spark, sf_dir, "documents"), 16)
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -86,5 +98,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
+    "op11_sharding": op11_sharding,
+    "op12_infill": op12_infill,
+    "op13_merkle": op13_merkle,
 }
 

@@ -32,8 +32,8 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
-def test_queries_name_ten_operators():
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+def test_queries_name_every_operator():
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
