@@ -14,19 +14,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import text_or_empty
 
-_SCHEMA = "doc_id bigint, start bigint, length bigint, bucket int, doc_tokens bigint, ids binary"
+_SCHEMA = "doc_id bigint, start bigint, length bigint, bucket int, doc_tokens bigint, ids binary, number bigint"
 
 
 class TokenizerFiles:
     """A byte-level BPE given twice: the tokenizers file that defines the ids, and its ranks.
 
     Ids are those of the tokenizers library. The same merges run several times faster from
-    the ranks; texts that hold a special token's string go through tokenizers itself.
+    the ranks; texts that hold a special token's string go through tokenizers itself, and so do
+    those on which the ranks' regex engine gives up (very long runs of white space).
     """
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
@@ -62,7 +64,10 @@ def _encoder(json_path: str, ranks_path: str | None, pattern: str | None, specia
     def encode(text: str) -> np.ndarray:
         if not special_as_text and any(s in text for s in special):
             return by_tokenizers(text)
-        return fast.encode_to_numpy(text, disallowed_special=())
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the ranks' regex engine gives up on white space of some hundred thousand characters
+            return by_tokenizers(text)
 
     return encode
 
@@ -89,13 +94,40 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: TokenizerFiles, max_length: int = 1024, end_id: int = 0) -> DataFrame:
+#: Bits of a sequence's number that tell a document's pieces apart, where documents have places.
+PIECE_BITS = 20
+
+
+def stored_places(docs: DataFrame) -> tuple[DataFrame, Column] | None:
+    """docs as read from files, with each row's place in them: files in order of their names, rows as they were written.
+
+    Spark writes a sorted table in that order, but reads files in another. Rows are counted for each
+    file, which reads no column, and nothing is shuffled. None where docs isn't what files hold.
+    """
+    try:
+        read = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return None
+    counts = docs.select(F.col("_metadata.file_name").alias("_file")).groupBy("_file").agg(F.count("*").alias("_n"))
+    # part numbers have five digits at least: longer ones come later
+    number = F.length(F.regexp_extract("_file", r"^part-(\d+)", 1))
+    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    # one short row for each file, of which the driver lists as many to read them
+    return read.join(F.broadcast(first), "_file"), F.col("_first") + F.col("_row")
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer: TokenizerFiles, max_length: int = 1024, end_id: int = 0, place: Column | None = None
+) -> DataFrame:
     """One row per piece: doc_id, start, length, bucket (log2 of length), doc_tokens, ids, sequence_id, offset.
 
     ids: little-endian unsigned 32-bit token ids. A piece fills its sequence, so offset is 0
-    and sequence_id is unique to the piece. A null or empty text is one piece that holds the
-    end identifier alone; repeated rows are packed once each; a null doc_id is kept as null;
-    further columns are ignored; an empty table gives no rows. max_length must be a power of two.
+    and sequence_id is unique to the piece. place: a row's place among all rows, a different number from 0 for
+    each, below 2 to the 43rd; sequence numbers then rise with it, and with start inside a document.
+    Without it they rise with partitions and the rows in them. A null or empty text is one piece that holds the
+    end identifier alone; texts may have any length, also without a single word, or a single one; repeated rows are packed once
+    each; a null doc_id is kept as null; further columns are ignored; an empty table gives no rows. max_length must be a power of two.
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
@@ -104,7 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: TokenizerFiles, max_length: int =
         encode = tokenizer.encoder()
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            doc, start, length, total, ids, held = [], [], [], [], [], 0
+            doc, start, length, total, number, ids, held = [], [], [], [], [], [], 0
 
             def flush():
                 return pa.RecordBatch.from_arrays(
@@ -115,14 +147,19 @@ def pack_documents(docs: DataFrame, tokenizer: TokenizerFiles, max_length: int =
                         pa.array(np.log2(np.array(length, dtype=float)).astype(np.int32)),
                         pa.array(total, pa.int64()),
                         pa.array(ids, pa.binary()),
+                        pa.array(number, pa.int64()),
                     ],
-                    names=["doc_id", "start", "length", "bucket", "doc_tokens", "ids"],
+                    names=["doc_id", "start", "length", "bucket", "doc_tokens", "ids", "number"],
                 )
 
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, at_row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 tokens = np.concatenate([encode(text.as_py()), end]).astype("<u4")
                 at, n = 0, len(tokens)
-                for size in piece_lengths(n, max_length):
+                lengths = piece_lengths(n, max_length)
+                if len(lengths) >> PIECE_BITS:
+                    raise ValueError(f"a document of {n} tokens has more pieces than numbers")
+                number += [(at_row << PIECE_BITS) + i for i in range(len(lengths))]
+                for size in lengths:
                     doc.append(doc_id)
                     start.append(at)
                     length.append(size)
@@ -132,12 +169,14 @@ def pack_documents(docs: DataFrame, tokenizer: TokenizerFiles, max_length: int =
                 held += n
                 if held > 1 << 20:
                     yield flush()
-                    doc, start, length, total, ids, held = [], [], [], [], [], 0
+                    doc, start, length, total, number, ids, held = [], [], [], [], [], [], 0
             if doc:
                 yield flush()
 
-    pieces = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(cut, _SCHEMA)
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    at = (F.lit(0) if place is None else place).cast("long").alias("place")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"), at)
+    number = F.monotonically_increasing_id() if place is None else F.col("number")
+    return rows.mapInArrow(cut, _SCHEMA).withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")}).drop("number")
 
 
 def packing_digest(pieces: DataFrame) -> DataFrame:

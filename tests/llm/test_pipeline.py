@@ -115,3 +115,30 @@ def test_read_stages_are_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "scratch", lambda s, name: made.append(str(tmp_path / name)) or made[-1])
     corpus_pipeline.run(spark, SF).count()
     assert [p for p in made if (tmp_path / p).exists()] == made[-1:]
+
+
+def test_sequences_follow_the_order_of_training(spark, docs, tmp_path):
+    """Through a write and a read, with files of different sizes, whose order Spark's reader doesn't keep."""
+    rows = spark.createDataFrame([r for r in docs.collect() if r["doc_id"] is not None], SCHEMA)
+    mixed = STAGES["mixing"](spark, rows, SF)
+    mixed.write.option("maxRecordsPerFile", 37).parquet(str(tmp_path / "mixed"))
+    packed = STAGES["packing"](spark, spark.read.parquet(str(tmp_path / "mixed")), SF)
+    got = packed.orderBy("sequence_id").collect()
+    assert len({p["sequence_id"] for p in got}) == len(got)
+    assert [p["doc_id"] for p in got if p["start"] == 0] == [r["doc_id"] for r in mixed.collect()]
+    for a, b in zip(got, got[1:]):
+        assert b["start"] in (0, a["start"] + a["length"])
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000, "a \t" * 200_000, "word " + " " * 600_000 + "end"])
+def test_long_texts_are_packed_and_counted(spark, text):
+    from tessera.llm import tokencount
+
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short", "en", "s", 5)], SCHEMA)
+    slow = packing.TokenizerFiles(packing.public_byte_bpe().json_path).encoder()
+    want = slow(text).tolist() + [0]
+    pieces = STAGES["packing"](spark, docs, SF).where("doc_id = 1").orderBy("sequence_id").collect()
+    assert np.frombuffer(b"".join(bytes(p["ids"]) for p in pieces), dtype="<u4").tolist() == want
+    stream = tokencount.token_stream(docs, packing.public_byte_bpe(), end_id=50256)
+    counted = {r["doc_id"]: r["tokens"] for r in tokencount.count_tokens(stream, end_id=50256).collect()}
+    assert counted == {1: len(want) - 1, 2: len(slow("short"))}
