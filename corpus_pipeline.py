@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as their source's target takes them, in the order of training.
+    """Rows as often as their source's target takes them, in the order of training, in which they are written too.
 
     Texts without words are never taken; null sources are one source; repeated rows are mixed one by one.
     """
@@ -42,8 +42,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining row, cut into sequences of power-of-two lengths. A text without words is its end identifier alone."""
-    return packing.pack_documents(docs, packing.public_byte_bpe(), 1024, 0)
+    """Every remaining row, cut into sequences of power-of-two lengths, numbered in the order of training in which mixing wrote the rows.
+
+    A text without words is its end identifier alone. Rows that come from no files are numbered as their partitions follow each other.
+    """
+    placed, place = packing.stored_places(docs) or (docs, None)
+    return packing.pack_documents(placed, packing.public_byte_bpe(), 1024, 0, place)
 
 
 STAGES = [
