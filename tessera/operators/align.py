@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_windows
+from . import scan
 
 
 def cascade_join(index: DataFrame, probe: DataFrame, sizes: Sequence[int] = (40, 30, 20, 15, 10)) -> DataFrame:
@@ -63,16 +64,15 @@ def ordinal_zip(chapters: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def fill_backward(rows: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
-    """Each row's last value at or before it in its group; none before the first."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    """Each row's last value at or before it in its group; none before the first. A group may hold all rows."""
+    return scan.fill(rows, group, [order], value, name)
 
 
 def next_boundary(anchors: DataFrame, book: str, page: str, cap: int = 20) -> DataFrame:
     """Distinct (book, page) with stop: the next anchor's page in the book, at most `cap` further."""
-    w = Window.partitionBy(book).orderBy(page)
     far = F.col(page) + cap
-    return anchors.select(book, page).distinct().withColumn("stop", F.least(F.coalesce(F.lead(page).over(w), far), far)).where(F.col("stop") > F.col(page))
+    ahead = scan.following(anchors.select(book, page).distinct(), book, page, "stop")
+    return ahead.withColumn("stop", F.least(F.coalesce("stop", far), far)).where(F.col("stop") > F.col(page))
 
 
 def pages_in_windows(windows: DataFrame, pages: DataFrame, book: str, page: str, cap: int = 20) -> DataFrame:

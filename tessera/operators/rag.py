@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import honorifics_of_names, truncate_bytes
+from . import scan
 from .context import ordered_join, parse_intent
 
 #: Lines that a section without a following one is taken to have, a whole chapter's, and what a fruitless range is widened by.
@@ -148,11 +149,23 @@ def sections_in(ranges: DataFrame, lines: DataFrame, wider: int = WIDER) -> Data
 
 
 def answer_context(sections: DataFrame, group: str, most_bytes: int = PROMPT_BYTES) -> DataFrame:
-    """(group, context): sections (group, line, title, text) in order of lines, cut at whole characters to most_bytes with a note."""
+    """(group, bytes, context): sections (group, line, title, text) in order of lines, cut at whole characters to most_bytes with a note.
+
+    bytes: those of all sections. A group's sections beyond the bound are known by their sizes, which are summed
+    along the order without their texts; texts that count are gathered alone, each cut to the bound first. Lines of one group should differ.
+    """
     entry = F.format_string("--- [%s] (line %d) ---\n%s\n\n", "title", "line", "text")
-    whole = sections.groupBy(group).agg(ordered_join(F.col("line"), entry, "").alias("whole"))
-    cut = F.concat(truncate_bytes(F.col("whole"), most_bytes), F.lit("\n... (content truncated)\n"))
-    return whole.select(group, F.when(F.octet_length("whole") > most_bytes, cut).otherwise(F.col("whole")).alias("context"))
+    tie = F.xxhash64("title", "text")
+    sizes = sections.select(group, "line", tie.alias("_tie"), F.octet_length(entry).cast("long").alias("_size"))
+    placed = scan.running_sum(sizes, group, ["line", "_tie"], F.col("_size"), "_until")
+    totals = placed.groupBy(group).agg(F.sum("_size").alias("bytes"))
+    first = placed.where(F.col("_until") - F.col("_size") < most_bytes).select(F.col(group).alias("_g"), F.col("line").alias("_line"), "_tie").distinct()
+    here = F.col(group).eqNullSafe(F.col("_g")) & (F.col("line") == F.col("_line")) & (tie == F.col("_tie"))
+    texts = sections.join(first, here, "left_semi").select(group, "line", F.substring(entry, 1, most_bytes).alias("_entry"))
+    whole = texts.groupBy(group).agg(ordered_join(F.col("line"), F.col("_entry"), "").alias("_whole"))
+    cut = F.concat(truncate_bytes(F.col("_whole"), most_bytes), F.lit("\n... (content truncated)\n"))
+    told = totals.withColumnRenamed(group, "_g")
+    return whole.join(told, F.col(group).eqNullSafe(F.col("_g"))).select(group, "bytes", F.when(F.col("bytes") > most_bytes, cut).otherwise(F.col("_whole")).alias("context"))
 
 
 def merge_extracts(replies: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,28 @@ def resolve_pairs(references: DataFrame, records: DataFrame, keys: tuple[str, st
     return matched, references.join(one, list(keys), "left_anti")
 
 
+def fragments(text: str, size: int) -> Column:
+    """One row for each distinct run of `size` characters of a column; none for a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    runs = F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(size)))
+    return F.explode(F.when(F.length(text) >= size, F.array_distinct(runs)))
+
+
+def substring_pairs(short: DataFrame, inner: str, long: DataFrame, outer: str, size: int) -> DataFrame:
+    """short joined with long wherever the text `inner` stands in the text `outer`; texts shorter than `size` meet nothing.
+
+    A text that stands in another has all its fragments there. So it asks for one of them alone, the rarest among
+    the other side's, and a fragment that very many texts share is a key only for texts that have no other.
+    """
+    held = long.select(fragments(outer, size).alias("_f"), F.col(outer).alias("_t")).distinct()
+    rarity = held.groupBy("_f").agg(F.count("*").alias("_n"))
+    texts = short.select(inner).distinct()
+    keys = texts.select(inner, fragments(inner, size).alias("_f")).join(rarity, "_f", "left")
+    keys = keys.groupBy(inner).agg(F.min_by("_f", F.struct(F.coalesce("_n", F.lit(0)), "_f")).alias("_f"))
+    met = keys.join(held, "_f").where(F.contains("_t", inner)).select(inner, F.col("_t").alias(outer))
+    return short.join(met, inner).join(long, outer)
+
+
 def resolve_names(names: DataFrame, forms: DataFrame, least: int = 8) -> DataFrame:
     """(id, other, step, candidates): whom each name means, in three passes.
 
@@ -35,12 +57,12 @@ def resolve_names(names: DataFrame, forms: DataFrame, least: int = 8) -> DataFra
     marked = open_.withColumns({"fits": fits, "some": F.max(fits).over(count)}).where("fits or not some")
     narrowed = marked.groupBy("id").agg(F.count_distinct("other").alias("candidates"), F.min("other").alias("other"))
     filtered = narrowed.select("id", F.when(F.col("candidates") == 1, F.col("other")).alias("other"), F.lit("filtered").alias("step"), "candidates")
-    # the last pass: what is left meets the unambiguous forms by their longest common word
+    # the last pass: what is left meets the unambiguous forms by fragments of the shorter of both
     own = forms.groupBy("form").agg(F.count_distinct("other").alias("n"), F.min("other").alias("other")).where((F.col("n") == 1) & (F.length("form") > least))
     rest = asked.join(exact.select("id").distinct(), "id", "left_anti").where(F.length("form") >= least)
-    words = lambda df, c: df.select("*", F.explode(F.array_distinct(F.split(c, " "))).alias("_w"))
-    near = words(rest.withColumnRenamed("form", "asked"), "asked").join(words(own.select("form", "other"), "form"), "_w")
-    hits = near.where(F.contains("asked", "form") | F.contains("form", "asked")).select("id", "other").distinct()
+    asked_for, listed = rest.select("id", F.col("form").alias("asked")), own.select("other", "form")
+    hits = substring_pairs(asked_for, "asked", listed, "form", least).select("id", "other")
+    hits = hits.unionAll(substring_pairs(listed, "form", asked_for, "asked", least).select("id", "other")).distinct()
     found = hits.groupBy("id").agg(F.count("*").alias("candidates"), F.min("other").alias("other"))
     partial = found.select("id", F.when(F.col("candidates") == 1, F.col("other")).alias("other"), F.lit("substring").alias("step"), "candidates")
     done = single.unionByName(filtered).unionByName(partial)

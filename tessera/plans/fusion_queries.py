@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import search, vector_index
+from ..operators import overlap, search, vector_index
 from ..operators.storage import fresh_path
 from ..sources.fixtures import Tables
 from .search_queries import COSINE, KNN_SQL, RRF, TERMS, TOKEN, _bm25, _bm25_sql, _knn
@@ -144,15 +144,13 @@ def knn_indexed(spark, sf_dir):
 
 
 @query(
-    """select doc_id, md5('passage: ' || array_to_string(list_filter([trim(lang), trim(source), trim(substr(text, 1, 200))], lambda x: x <> ''), chr(10))) as passage, md5('query: ' || trim(substr(text, 1, 40))) as question from documents""".replace(
-        "'query: ' || trim(substr(text, 1, 40))", "'query: ' || array_to_string(list_filter([trim(substr(text, 1, 40))], lambda x: x <> ''), chr(10))"
-    )
+    """select doc_id, md5('passage: ' || array_to_string(list_filter([trim(lang), trim(source), trim(text)], lambda x: x <> ''), chr(10))) as passage, md5('query: ' || trim(text)) as question from documents"""
 )
 def embedding_texts(spark, sf_dir):
     """What a model is given for each document and question, by checksum."""
     d = Tables(spark, sf_dir).documents
-    made = search.passage(F.col("lang"), F.col("source"), F.substring("text", 1, 200))
-    asked = search.passage(F.substring("text", 1, 40), prefix="query: ")
+    made = search.passage(F.col("lang"), F.col("source"), F.col("text"))
+    asked = search.passage(F.col("text"), prefix="query: ")
     return d.select("doc_id", F.md5(made.cast("binary")).alias("passage"), F.md5(asked.cast("binary")).alias("question"))
 
 
@@ -174,29 +172,17 @@ _PHRASES = "phrase as (select conv_id, turn, unnest(list_distinct(list_filter(st
 
 
 @query(
-    f"""with {_PHRASES}, n as (select phrase, count(*) as places from phrase group by phrase having count(*) between 2 and 50),
- p as (select a.conv_id, a.turn, b.conv_id as other_conv, b.turn as other_turn, a.phrase from phrase a join n using (phrase) join phrase b on a.phrase = b.phrase and (a.conv_id, a.turn) <> (b.conv_id, b.turn)),
+    f"""with {_PHRASES}, p as (select a.conv_id, a.turn, b.conv_id as other_conv, b.turn as other_turn, a.phrase from phrase a join phrase b on a.phrase = b.phrase and (a.conv_id, a.turn) <> (b.conv_id, b.turn)),
  s as (select conv_id, turn, other_conv, other_turn, count(*) as shared, min(phrase) as phrase from p group by all),
  r as (select *, row_number() over (partition by conv_id, turn order by shared desc, other_conv, other_turn) as rank from s)
  select conv_id, turn, other_conv, other_turn, shared, phrase, cast(rank as int) as rank from r where rank <= 5"""
 )
 def shared_phrases(spark, sf_dir):
-    """The five turns that share most of a turn's phrases with it, and the first shared phrase.
-
-    Phrases in more than 50 places say nothing of likeness and are left out, so no phrase pairs more than 50 rows.
-    """
-    from pyspark.sql import Window
-
+    """The five turns that share most of a turn's phrases with it, and the first shared phrase."""
     c = Tables(spark, sf_dir).conversations
     words = F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 6))
-    phrase = c.select("conv_id", "turn", F.explode(words).alias("phrase"))
-    some = phrase.groupBy("phrase").agg(F.count("*").alias("places")).where("places between 2 and 50").select("phrase")
-    rows = phrase.join(some, "phrase")
-    other = rows.select("phrase", F.col("conv_id").alias("other_conv"), F.col("turn").alias("other_turn"))
-    pairs = rows.join(other, "phrase").where("conv_id <> other_conv or turn <> other_turn")
-    shared = pairs.groupBy("conv_id", "turn", "other_conv", "other_turn").agg(F.count("*").alias("shared"), F.min("phrase").alias("phrase"))
-    w = Window.partitionBy("conv_id", "turn").orderBy(F.desc("shared"), "other_conv", "other_turn")
-    return shared.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    rows = c.select(F.struct("conv_id", "turn").alias("id"), F.explode(words).alias("element"))
+    return overlap.top_overlaps(rows, 5).select("id.*", F.col("other.conv_id").alias("other_conv"), F.col("other.turn").alias("other_turn"), "shared", F.col("least").alias("phrase"), "rank")
 
 
 @query(

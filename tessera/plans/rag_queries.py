@@ -155,16 +155,13 @@ def sections_in_range(spark, sf_dir):
 
 
 @query(
-    """with w as (select source, string_agg('--- [' || lang || '] (line ' || doc_id || ') ---' || chr(10) || text || chr(10) || chr(10), '' order by doc_id) as whole from documents where n_chars < 2000 group by source)
- select source, strlen(whole) as bytes, md5(case when strlen(whole) <= 25000 then whole else left(whole, list_max(list_filter(range(18000, 25001), lambda n: strlen(left(whole, n)) <= 25000))) || chr(10) || '... (content truncated)' || chr(10) end) as context from w"""
+    """with w as (select source, string_agg('--- [' || lang || '] (line ' || doc_id || ') ---' || chr(10) || text || chr(10) || chr(10), '' order by doc_id) as whole from documents group by source)
+ select source, strlen(whole) as bytes, md5(case when strlen(whole) <= 25000 then whole else left(whole, list_max(list_filter(range(6250, 25001), lambda n: strlen(left(whole, n)) <= 25000))) || chr(10) || '... (content truncated)' || chr(10) end) as context from w"""
 )
 def answer_contexts(spark, sf_dir):
     """Excerpts of each source as one context of at most 25,000 bytes."""
-    d = Tables(spark, sf_dir).documents.where("n_chars < 2000")
-    rows = d.select("source", F.col("doc_id").alias("line"), F.col("lang").alias("title"), "text")
-    head = F.octet_length(F.format_string("--- [%s] (line %d) ---\n%s\n\n", "title", "line", "text"))
-    size = rows.groupBy("source").agg(F.sum(head).alias("bytes"))
-    return rag.answer_context(rows, "source").join(size, "source").select("source", "bytes", F.md5(F.col("context").cast("binary")).alias("context"))
+    rows = Tables(spark, sf_dir).documents.select("source", F.col("doc_id").alias("line"), F.col("lang").alias("title"), "text")
+    return rag.answer_context(rows, "source").select("source", "bytes", F.md5(F.col("context").cast("binary")).alias("context"))
 
 
 @query(
@@ -206,7 +203,7 @@ _SPLIT = "case when cast(('0x' || substr(md5('42:' || key), 1, 6)) as bigint) %
  union all select 'chain', 'c' || variant, 'Describe the chain of record ' || variant || '.', 'The chain has ' || n || ' places: ' || path || '.' from own
  union all select 'structure', 's' || family, 'How widely is family ' || family || ' handed down?', 'Family ' || family || ' has ' || variants || ' variants through ' || nodes || ' nodes.' from fam
  union all select 'retrieval', 'r' || conv_id || '_' || turn, 'Context:' || chr(10) || substr(text, 1, 300) || chr(10) || chr(10) || 'What follows?', answer from turn where role = 'user' and answer is not null
- union all select 'commentary', 'v' || doc_id, 'Explain passage ' || doc_id || '.', array_to_string(list_filter(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')[1:20], ' ') from documents where n_chars < 3000
+ union all select 'commentary', 'v' || doc_id, 'Explain passage ' || doc_id || '.', array_to_string(list_filter(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')[1:500], ' ') from documents
  union all select 'cross', 'x' || d.doc_id, 'Which label does passage ' || d.doc_id || ' of ' || source || ' have?', 'Quality ' || quality || ', toxicity ' || toxic || '.' from documents d join labels l using (doc_id))
  select category, key, {_SPLIT} as split, md5(question) as question, md5(answer) as answer from x"""
 )
@@ -222,7 +219,7 @@ def training_categories(spark, sf_dir):
         "chain": training.chain_pairs(named),
         "structure": training.structure_pairs(c),
         "retrieval": training.retrieval_pairs(turns.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("text").alias("context"), "answer")),
-        "commentary": training.commentary_pairs(t.documents.where("n_chars < 3000").select(F.col("doc_id").alias("id"), "text"), 20),
+        "commentary": training.commentary_pairs(t.documents.select(F.col("doc_id").alias("id"), "text"), 500),
         "cross": training.label_pairs(t.documents.join(t.labels, "doc_id").select(F.col("doc_id").alias("id"), "source", "quality", "toxic")),
     }
     rows = training.with_split(parts)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import guards, resolve
+from ..operators import guards, resolve, scan, skew
 from ..sources import seeds
 from ..sources.fixtures import Tables
 from .text_queries import _DECODE
@@ -92,8 +91,8 @@ def heading_bounds(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     ends = d.groupBy(F.col("source").alias("book")).agg((F.max("doc_id") + 1).alias("stop"))
     heads = d.where("n_chars % 5 = 0").select(F.col("source").alias("book"), F.col("doc_id").alias("first"), F.format_string("heading %d", "doc_id").alias("title"))
-    following = F.lead("first").over(Window.partitionBy("book").orderBy("first"))
-    return heads.join(ends, "book").select("book", "title", "first", (F.coalesce(following, "stop") - 1).alias("last"))
+    ahead = skew.meet(scan.following(heads, "book", "first", "next"), ends, ["book"], "first")
+    return ahead.select("book", "title", "first", (F.coalesce("next", "stop") - 1).alias("last"))
 
 
 @query(
