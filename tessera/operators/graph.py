@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .storage import materialize
 
 
@@ -48,24 +49,9 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("family", "src", "dst").distinct()
 
 
-def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(family, src, dst): all dst that src reaches by one step or more; cycles include src itself.
-
-    Path doubling: a pair at distance between d and 2d goes through a node at distance d, and pairs at that
-    distance are new in the round before. So new pairs alone meet the closure, and on one side; rounds grow with
-    the logarithm of the longest path. Every join is on (family, node). Each round stores its new pairs; the closure is their union.
-    """
-    fresh = materialize(distinct_edges(edges))
-    reach = fresh
-    for _ in range(most_rounds):
-        left = fresh.select("family", "src", F.col("dst").alias("mid"))
-        right = reach.select("family", F.col("src").alias("mid"), "dst")
-        found = left.join(right, ["family", "mid"]).select("family", "src", "dst").distinct()
-        fresh = materialize(found.join(reach, ["family", "src", "dst"], "left_anti"))
-        if fresh.isEmpty():
-            return reach
-        reach = reach.unionAll(fresh)
-    raise RuntimeError(f"the closure has not settled after {most_rounds} rounds")
+def closure(edges: DataFrame) -> DataFrame:
+    """(family, src, dst): all dst that src reaches by one step or more; cycles include src itself. For those who want the pairs; see bitmaps.reach."""
+    return bitmaps.reach(edges).pairs()
 
 
 def reachable(closed: DataFrame) -> DataFrame:
@@ -99,40 +85,6 @@ def degrees(chains: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def terminals(closed_down: DataFrame, degree: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(family, node, terminals): distinct students without students that a node's knowledge reaches, of all nodes or the given (family, node)."""
-    ends = degree.where("students = 0").select("family", F.col("node").alias("src"))
-    found = reachable(closed_down)
-    if nodes is not None:
-        found = found.join(nodes.select("family", F.col("node").alias("dst")), ["family", "dst"], "left_semi")
-    found = found.join(ends, ["family", "src"])
-    return found.groupBy("family", F.col("dst").alias("node")).agg(F.count_distinct("src").alias("terminals"))
-
-
-def single_strand_ratio(closed: DataFrame, degree: DataFrame) -> DataFrame:
-    """Per node the share of its teachers, at any remove, that have just one student."""
-    single = degree.select("family", F.col("node").alias("dst"), (F.col("students") == 1).cast("double").alias("single"))
-    return closed.join(single, ["family", "dst"]).groupBy("family", F.col("src").alias("node")).agg(F.avg("single").alias("ratio"))
-
-
-def bypasses(chains: DataFrame, closed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(family, node, bypasses, ratio): variants without the node that hold one of its teachers and one of its
-    students, at any remove, and their share of the family's variants. Of all nodes or the given (family, node)."""
-    member = memberships(chains)
-    pairs = reachable(closed)
-    up = pairs.select("family", F.col("src").alias("n"), F.col("dst").alias("node"))
-    down = pairs.select("family", F.col("dst").alias("n"), F.col("src").alias("node"))
-    if nodes is not None:
-        wanted = nodes.select("family", F.col("node").alias("n"))
-        up, down = (x.join(wanted, ["family", "n"], "left_semi") for x in (up, down))
-    above, below = (x.join(member, ["family", "node"]).select("family", "n", "variant").distinct() for x in (up, down))
-    own = member.select("family", F.col("node").alias("n"), "variant")
-    around = above.join(below, ["family", "n", "variant"], "left_semi").join(own, ["family", "n", "variant"], "left_anti")
-    found = around.groupBy("family", F.col("n").alias("node")).agg(F.count("*").alias("bypasses"))
-    variants = chains.groupBy("family").agg(F.count_distinct("variant").alias("_all"))
-    return found.join(variants, "family").select("family", "node", "bypasses", (F.col("bypasses") / F.col("_all")).alias("ratio"))
-
-
 def chronology_ratio(edges: DataFrame) -> DataFrame:
     """Per family and node the share of its edges on which the student's generation is the earlier one."""
     conflict = F.coalesce(F.col("src_gen") < F.col("dst_gen"), F.lit(False)).cast("double")
@@ -142,19 +94,6 @@ def chronology_ratio(edges: DataFrame) -> DataFrame:
     )
 
 
-def provenance_completeness(chains: DataFrame, closed: DataFrame, known: DataFrame) -> DataFrame:
-    """Per node the share of itself and all its teachers and students, at any remove, that are among `known` (node)."""
-    pairs = reachable(closed)
-    own = family_nodes(chains).select("family", "node", F.col("node").alias("other"))
-    around = (
-        own.unionAll(pairs.select("family", F.col("src").alias("node"), F.col("dst").alias("other")))
-        .unionAll(pairs.select("family", F.col("dst").alias("node"), F.col("src").alias("other")))
-        .distinct()
-    )
-    marked = around.join(known.select(F.col("node").alias("other"), F.lit(1.0).alias("_known")).distinct(), "other", "left")
-    return marked.groupBy("family", "node").agg(F.avg(F.coalesce("_known", F.lit(0.0))).alias("completeness"))
-
-
 def shortest_paths(edges: DataFrame, start: int, most_levels: int = 6) -> DataFrame:
     """(node, level, parent, path) of all nodes within most_levels undirected steps of start.
 
@@ -204,10 +143,52 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
+def induced_edges(chains: DataFrame, edges: DataFrame) -> DataFrame:
+    """(family, variant, src, dst): the family's edges, whichever variant they come from, between two nodes of each variant."""
+    member = memberships(chains)
+    starts = member.withColumnRenamed("node", "src").join(distinct_edges(edges), ["family", "src"])
+    return starts.join(member.withColumnRenamed("node", "dst"), ["family", "variant", "dst"], "left_semi").select("family", "variant", "src", "dst")
+
+
+def first_neighbours(edges: DataFrame, node: str, other: str, most: int = 25) -> DataFrame:
+    """(node, shown, total): of distinct edges, each node's first `most` neighbours and how many it has.
+
+    Neighbours are ranked before they are gathered, and every task of the ranking passes on `most` of a node at
+    most, so that no list of a hub is ever longer.
+    """
+    place = F.row_number().over(Window.partitionBy("node").orderBy("other"))
+    one = edges.select(F.col(node).alias("node"), F.col(other).alias("other"))
+    first = one.withColumn("_place", place).where(F.col("_place") <= most).groupBy("node").agg(F.sort_array(F.collect_list("other")).alias("shown"))
+    return first.join(one.groupBy("node").agg(F.count("*").alias("total")), "node").select("node", "shown", "total")
+
+
+def ego_graphs(nodes: DataFrame, edges: DataFrame, most: int = 25) -> DataFrame:
+    """(node, teachers, students, total_teachers, total_students, links) for each of nodes (node).
+
+    edges: distinct (src, dst), src having heard from dst. The first `most` of either side are shown; links:
+    (src, dst) of all edges between any two nodes that are shown, the middle one included. Pairs of shown nodes,
+    of which a graph has no more than their bound, look for their edge; a hub's edges are not listed.
+    """
+    up = first_neighbours(edges, "src", "dst", most).select("node", F.col("shown").alias("teachers"), F.col("total").alias("total_teachers"))
+    down = first_neighbours(edges, "dst", "src", most).select("node", F.col("shown").alias("students"), F.col("total").alias("total_students"))
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
+    shown = materialize(
+        nodes.select("node").join(up, "node", "left").join(down, "node", "left").select(
+            "node", F.coalesce("teachers", none).alias("teachers"), F.coalesce("students", none).alias("students"),
+            F.coalesce("total_teachers", zero).alias("total_teachers"), F.coalesce("total_students", zero).alias("total_students"),
+        )
+    )
+    each = F.array_union(F.array("node"), F.array_union("teachers", "students"))
+    pairs = shown.select("node", each.alias("_all")).select("node", "_all", F.explode("_all").alias("src")).select("node", "src", F.explode("_all").alias("dst"))
+    links = pairs.where("src <> dst").join(edges, ["src", "dst"], "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("links"))
+    return shown.join(links, "node", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<src:bigint,dst:bigint>>")))
+
+
 def greedy_walks(chains: DataFrame, edges: DataFrame) -> DataFrame:
     """(family, variant, step, node): a walk inside each variant from its least leaf by least unvisited teacher to a root.
 
-    A leaf has no students in the variant. A variant without a leaf (a cycle) lists its nodes in order.
+    It goes along the family's edges between members of the variant. A leaf has no students among them. A variant without a leaf (a
+    cycle) lists its nodes in order.
     """
 
     def walk(family, variant, nodes, steps):
@@ -242,7 +223,7 @@ def greedy_walks(chains: DataFrame, edges: DataFrame) -> DataFrame:
         if key:
             yield pd.DataFrame(walk(*key, nodes, steps), columns=["family", "variant", "step", "node"])
 
-    inside = edges.select("family", "variant", F.col("src").alias("node"), "dst").distinct()
+    inside = induced_edges(chains, edges).withColumnRenamed("src", "node")
     rows = memberships(chains).join(inside, ["family", "variant", "node"], "left")
     rows = rows.select("family", "variant", "node", F.coalesce("dst", F.lit(-1)).alias("dst"))
     # one pass over sorted partitions: a variant's rows follow each other, however batches cut them

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, structure
+from ..operators import bitmaps, graph, structure
 from ..operators.storage import fresh_path, materialize
 from ..sources.fixtures import CHAIN_SQL, EDGE_SQL, NODE_SQL, Tables, chains, nodes
 
@@ -47,10 +47,6 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame, DataFr
     return t, c, materialize(graph.chain_edges(c))
 
 
-def _closed(edges: DataFrame) -> DataFrame:
-    return graph.closure(edges)
-
-
 @query(f"with {EDGE_SQL} select family, variant, src, dst, src_gen, dst_gen, pos from edge")
 def chain_edges(spark, sf_dir):
     return _base(spark, sf_dir)[2]
@@ -108,8 +104,7 @@ def teachers_students(spark, sf_dir):
 def ego_graph_capped(spark, sf_dir):
     """Each node's teachers: the first 25 and how many there are in all."""
     one = _base(spark, sf_dir)[2].select("src", "dst").distinct()
-    rows = one.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("all"))
-    return rows.select("node", F.slice("all", 1, 25).alias("teachers"), F.size("all").cast("long").alias("total"))
+    return graph.first_neighbours(one, "src", "dst").select("node", F.col("shown").alias("teachers"), "total")
 
 
 @query(
@@ -132,7 +127,7 @@ def chronology_ratio(spark, sf_dir):
 
 @query(f"with recursive {CLOSURE_SQL} select family, src, dst from closed where src <> dst")
 def reachable_set(spark, sf_dir):
-    return graph.reachable(_closed(_base(spark, sf_dir)[2]))
+    return graph.reachable(graph.closure(_base(spark, sf_dir)[2]))
 
 
 @query(
@@ -142,7 +137,7 @@ def reachable_set(spark, sf_dir):
 )
 def reachable_terminals(spark, sf_dir):
     _, c, edges = _base(spark, sf_dir)
-    return graph.terminals(_closed(edges), graph.degrees(c, edges))
+    return bitmaps.terminals(bitmaps.reach(edges, c), graph.degrees(c, edges))
 
 
 @query(
@@ -152,7 +147,7 @@ def reachable_terminals(spark, sf_dir):
 )
 def pre_single_strand(spark, sf_dir):
     _, c, edges = _base(spark, sf_dir)
-    return graph.single_strand_ratio(_closed(edges), graph.degrees(c, edges)).withColumn("ratio", F.round("ratio", 6))
+    return bitmaps.single_strand_ratio(bitmaps.reach(edges, c), graph.degrees(c, edges)).withColumn("ratio", F.round("ratio", 6))
 
 
 BYPASS_SQL = """, above as (select distinct c.family, c.src as n, m.variant from closed c join member m on m.family = c.family and m.node = c.dst where c.src <> c.dst),
@@ -164,7 +159,7 @@ BYPASS_SQL = """, above as (select distinct c.family, c.src as n, m.variant from
 @query(f"with recursive {CLOSURE_SQL}{DEGREE_SQL}{BYPASS_SQL}, v as (select family, count(distinct variant) as variants from chain group by family) select family, node, bypasses, round(bypasses / variants, 6) as ratio from passed join v using (family)")
 def bypass_count(spark, sf_dir):
     _, c, edges = _stored(spark, sf_dir)
-    return graph.bypasses(c, _closed(edges)).withColumn("ratio", F.round("ratio", 6))
+    return bitmaps.bypasses(c, bitmaps.reach(edges, c)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(
@@ -176,7 +171,7 @@ def provenance(spark, sf_dir):
     """Suppliers with a positive balance are the nodes with a known biography."""
     t, c, edges = _base(spark, sf_dir)
     known = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
-    return graph.provenance_completeness(c, _closed(edges), known).withColumn("completeness", F.round("completeness", 6))
+    return bitmaps.provenance_completeness(bitmaps.reach(edges, c), known).withColumn("completeness", F.round("completeness", 6))
 
 
 def _levels_sql(n: int = 6) -> str:
@@ -233,7 +228,7 @@ PIVOT_SQL = f"""with recursive {CLOSURE_SQL}{DEGREE_SQL}{BYPASS_SQL}, v as (sele
 @query(PIVOT_SQL)
 def pivots(spark, sf_dir):
     _, c, edges = _stored(spark, sf_dir)
-    return structure.pivots(c, edges, _closed(edges)).withColumn("coverage", F.round("coverage", 6))
+    return structure.pivots(c, edges, bitmaps.reach(edges, c)).withColumn("coverage", F.round("coverage", 6))
 
 
 @query(
@@ -263,34 +258,72 @@ def defect_flags(spark, sf_dir):
     return structure.conflicts(_base(spark, sf_dir)[2])
 
 
-@query(
-    f"""with {EDGE_SQL}, have as (select distinct variant, src, dst from edge),
- p as (select s.*, case when node2 is not null and h.src is null then greatest(coalesce(abs(gen2 - gen) - 1, 0), 0) else 0 end as missing
- from step s left join have h on h.variant = s.variant and h.src = s.node and h.dst = s.node2),
- q as (select *, sum(case when missing = 0 then 1 else 0 end) over (partition by variant order by pos) as row_id from p),
+#: The family's edges between two members of a variant, and the walk along them.
+WALK_SQL = f"""{EDGE_SQL}, own as (select distinct family, variant, node from chain), pair as (select distinct family, src, dst from edge),
+ inside as (select a.family, a.variant, p.src, p.dst from own a join pair p on p.family = a.family and p.src = a.node join own b on b.family = a.family and b.variant = a.variant and b.node = p.dst),
+ t as (select family, variant, src as node, list(dst order by dst) as teachers from inside group by all),
+ leaf as (select family, variant, min(node) filter (where not exists (select 1 from inside i where i.family = own.family and i.variant = own.variant and i.dst = own.node)) as node from own group by all),
+ walk as (select family, variant, 0 as step, node, [node] as path from leaf where node is not null union all
+ select family, variant, step + 1, nxt, list_append(path, nxt) from (select w.*, list_filter(t.teachers, lambda x: not list_contains(w.path, x))[1] as nxt from walk w join t on t.family = w.family and t.variant = w.variant and t.node = w.node) where nxt is not null),
+ walked as (select family, variant, step, node from walk union all
+ select family, variant, cast(row_number() over (partition by family, variant order by own.node) - 1 as int), own.node from own join leaf using (family, variant) where leaf.node is null)"""
+
+_ASSESSED = f"""{WALK_SQL}, g as (select family, node, max(gen) as gen from chain group by all),
+ steps as (select family, variant, step, node, gen, lead(node) over w as next, lead(gen) over w as next_gen from walked join g using (family, node) window w as (partition by family, variant order by step)),
+ link as (select family, src, dst, coalesce(bool_or(src_gen < dst_gen), false) as conflict from edge group by all),
+ p as (select s.*, coalesce(conflict, false) as conflict, case when next is not null and link.src is null then greatest(coalesce(abs(next_gen - gen) - 1, 0), 0) else 0 end as missing
+ from steps s left join link on link.family = s.family and link.src = s.node and link.dst = s.next),
+ q as (select *, sum(case when missing = 0 then 1 else 0 end) over (partition by family, variant order by step) as row_id from p),
  runs as (select family, variant, row_id, sum(missing) as run from q group by all),
  tot as (select family, variant, cast(sum(run) as bigint) as missing, cast(max(run) as bigint) as longest from runs group by all),
- e as (select variant, arg_max(gen, pos) as last_gen, arg_max(node, pos) as last_node, arg_min(coalesce(gen, -1), pos) as first_gen from chain group by variant)
- select tot.family, tot.variant, missing, longest, case when missing = 0 and last_gen = 2 and not exists (select 1 from edge where edge.family = tot.family and edge.src = e.last_node) then 'mursal'
- when missing = 0 then 'muttasil' when longest >= 2 then 'mudal' when first_gen = -1 then 'muallaq' else 'munqati' end as continuity from tot join e using (variant)"""
-)
+ e as (select family, variant, arg_max(gen, step) as last_gen, arg_max(node, step) as last_node, arg_min(coalesce(gen, -1), step) as first_gen, list(node order by step) as nodes, bool_or(conflict) as conflict from p group by all),
+ told as (select family, variant, missing, longest, case when missing = 0 and last_gen = 2 and not exists (select 1 from pair where pair.family = tot.family and pair.src = e.last_node) then 'mursal'
+ when missing = 0 then 'muttasil' when longest >= 2 then 'mudal' when first_gen = -1 then 'muallaq' else 'munqati' end as continuity, nodes, conflict from tot join e using (family, variant))"""
+
+
+@query(f"with recursive {_ASSESSED} select family, variant, missing, longest, continuity from told")
 def continuity(spark, sf_dir):
-    _, c, edges = _base(spark, sf_dir)
+    _, c, edges = _stored(spark, sf_dir)
     return structure.continuity(c, edges)
 
 
+@query(f"with recursive {WALK_SQL} select family, variant, step, node from walked")
+def chain_walk(spark, sf_dir):
+    _, c, edges = _stored(spark, sf_dir)
+    return graph.greedy_walks(c, edges)
+
+
 @query(
-    f"""with recursive {EDGE_SQL}, own as (select distinct family, variant, node from chain), inside as (select distinct family, variant, src, dst from edge),
- t as (select family, variant, src as node, list(dst order by dst) as teachers from inside group by all),
- leaf as (select family, variant, min(node) filter (where not exists (select 1 from inside i where i.family = own.family and i.variant = own.variant and i.dst = own.node)) as node from own group by all),
- walk as (select family, variant, 0 as step, node, [node] as path from leaf where node is not null union all
- select family, variant, step + 1, nxt, list_append(path, nxt) from (select w.*, list_filter(t.teachers, lambda x: not list_contains(w.path, x))[1] as nxt from walk w join t on t.family = w.family and t.variant = w.variant and t.node = w.node) where nxt is not null)
- select family, variant, step, node from walk union all
- select family, variant, cast(row_number() over (partition by family, variant order by own.node) - 1 as int), own.node from own join leaf using (family, variant) where leaf.node is null"""
+    f"""with {EDGE_SQL}, p as (select distinct src, dst from edge), up as (select src as node, dst as other, row_number() over (partition by src order by dst) as rn from p),
+ down as (select dst as node, src as other, row_number() over (partition by dst order by src) as rn from p),
+ n as (select id as node, coalesce((select list(other order by other) from up where up.node = id and rn <= 25), []) as teachers, coalesce((select list(other order by other) from down where down.node = id and rn <= 25), []) as students,
+ (select count(*) from p where src = id) as total_teachers, (select count(*) from p where dst = id) as total_students from node),
+ m as (select node, unnest(list_distinct(list_concat([node], list_concat(teachers, students)))) as other from n),
+ l as (select a.node, list({{src: p.src, dst: p.dst}} order by p.src, p.dst) as links from m a join p on p.src = a.other join m b on b.node = a.node and b.other = p.dst group by a.node)
+ select node, teachers, students, total_teachers, total_students, coalesce(len(links), 0)::bigint as links,
+ md5(coalesce(array_to_string(list_transform(links, lambda x: x.src || '>' || x.dst), ','), '')) as links_md5 from n left join l using (node)"""
 )
-def chain_walk(spark, sf_dir):
+def ego_graph(spark, sf_dir):
+    """Each node with its first 25 teachers and students, all edges among them by number and checksum, and the totals of both sides."""
+    t, _, edges = _base(spark, sf_dir)
+    rows = graph.ego_graphs(nodes(t).select(F.col("id").alias("node")), edges.select("src", "dst").distinct())
+    names = F.array_join(F.transform("links", lambda x: F.concat_ws(">", x["src"], x["dst"])), ",")
+    return rows.select(
+        "node", "teachers", "students", "total_teachers", "total_students", F.size("links").cast("long").alias("links"), F.md5(names.cast("binary")).alias("links_md5")
+    )
+
+
+@query(
+    f"""with {EDGE_SQL}, m as (select variant, list(distinct node order by node) as nodes from chain group by variant), e as (select variant, list({{source: src, target: dst, chain_position: pos}} order by pos) as edges from edge group by variant)
+ select m.variant, nodes, coalesce(array_to_string(list_transform(edges, lambda x: x.source || '>' || x.target || '@' || x.chain_position), ','), '') as edges from m left join e using (variant)"""
+)
+def chain_graphs(spark, sf_dir):
+    """Each variant's graph: its distinct nodes and its edges in the order of their places."""
     _, c, edges = _base(spark, sf_dir)
-    return graph.greedy_walks(c, edges)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "src", "dst")))
+    links = edges.groupBy("variant").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.concat_ws(">", x["src"], x["dst"]), F.lit("@"), x["pos"].cast("string"))), ",").alias("edges"))
+    members = c.groupBy("variant").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    return members.join(links, "variant", "left").select("variant", "nodes", F.coalesce("edges", F.lit("")).alias("edges"))
 
 
 @query(
@@ -324,8 +357,9 @@ def filtered_edge_count(spark, sf_dir):
 def hubs(spark, sf_dir):
     """Nodes in at least ten chains, with a capped sample of them."""
     c = _base(spark, sf_dir)[1]
-    rows = c.groupBy("node").agg(F.count_distinct("variant").alias("variants"), F.avg("pos").alias("mean_place"), F.sort_array(F.collect_set("variant")).alias("v"))
-    return rows.where("variants >= 10").select("node", "variants", F.round("mean_place", 6).alias("mean_place"), F.slice("v", 1, 20).alias("sample"))
+    first = graph.first_neighbours(c.select("node", "variant").distinct(), "node", "variant", 20).where("total >= 10")
+    places = c.groupBy("node").agg(F.avg("pos").alias("mean_place"))
+    return first.join(places, "node").select("node", F.col("total").alias("variants"), F.round("mean_place", 6).alias("mean_place"), F.col("shown").alias("sample"))
 
 
 @query(
@@ -387,13 +421,9 @@ def family_analysis(spark, sf_dir):
     return structure.analyse_families(c, edges, fresh_path(spark, "analysis"))["families"]
 
 
-_CONTINUITY = ORACLE_SQL["continuity"]
-
-
 @query(
-    f"""with k as ({_CONTINUITY}), w as (with {_TWO_SQL} select family, variant, list(node order by pos) as nodes, family in (select family from many) as kept from chain group by family, variant),
- x as (with {EDGE_SQL} select variant, bool_or(src_gen < dst_gen) as conflict from edge group by variant)
- select family, variant, continuity, len(nodes) as node_count, coalesce(conflict, false) as conflict, nodes from k join w using (family, variant) left join x using (variant) where kept"""
+    f"""with recursive {_ASSESSED}, many as (select family from chain group by family having count(distinct variant) > 1)
+ select family, variant, continuity, len(nodes) as node_count, conflict, nodes from told where family in (select family from many)"""
 )
 def chain_assessments(spark, sf_dir):
     """The table of chains that the analysis stores."""

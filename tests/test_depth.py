@@ -112,3 +112,80 @@ def test_contexts_are_gathered_up_to_their_bound(spark, most):
         size = len(whole.encode())
         cut = whole.encode()[:most].decode(errors="ignore") + "\n... (content truncated)\n" if size > most else whole
         assert got[g] == (size, cut)
+
+
+def edge_rows(spark, rows):
+    """family, variant, src, dst with generations that run against each other where src < dst."""
+    return spark.createDataFrame([(f, v, s, d, s, d, 0) for f, v, s, d in rows], "family long, variant long, src long, dst long, src_gen long, dst_gen long, pos long")
+
+
+def test_another_variants_edge_leads_through_a_chain(spark):
+    from tessera.operators import graph, structure
+
+    chain = [(1, 10, 7, 4, 0), (1, 10, 5, 1, 1), (1, 11, 7, 4, 0), (1, 11, 5, 1, 1), (1, 11, 3, 2, 2), (2, 20, 1, 1, 0), (2, 20, 2, 5, 1)]
+    chains = spark.createDataFrame(chain, "family long, variant long, node long, gen int, pos int")
+    edges = edge_rows(spark, [(1, 11, 7, 5), (1, 11, 5, 3), (2, 20, 1, 2), (2, 20, 2, 1)])
+    walk = sorted(map(tuple, graph.greedy_walks(chains, edges).collect()))
+    assert walk == [(1, 10, 0, 7), (1, 10, 1, 5), (1, 11, 0, 7), (1, 11, 1, 5), (1, 11, 2, 3), (2, 20, 0, 1), (2, 20, 1, 2)]
+    facts = {r["variant"]: r for r in structure.chain_facts(chains, edges).collect()}
+    assert (facts[10]["continuity"], facts[10]["nodes"], facts[10]["conflict"]) == ("muttasil", [7, 5], False)
+    assert facts[20]["conflict"] and facts[20]["node_count"] == 2
+    missing = {r["variant"]: (r["missing"], r["continuity"]) for r in structure.continuity(chains, edge_rows(spark, [(1, 11, 5, 3)])).collect()}
+    assert missing[10] == (0, "muttasil") and missing[20] == (0, "muttasil")  # each walks to one node alone, without a gap
+
+
+def test_ego_graphs(spark):
+    from tessera.operators import graph
+
+    rng = random.Random(9)
+    pairs = {(0, i) for i in range(1, 60)} | {(i, 1) for i in range(30, 80)} | {(rng.randrange(80), rng.randrange(80)) for _ in range(300)}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    nodes = spark.range(90).withColumnRenamed("id", "node")
+    got = {r["node"]: r for r in graph.ego_graphs(nodes, spark.createDataFrame(sorted(pairs), "src long, dst long"), 25).collect()}
+    assert len(got) == 90
+    for n, r in got.items():
+        up, down = sorted(b for a, b in pairs if a == n), sorted(a for a, b in pairs if b == n)
+        shown = {n, *up[:25], *down[:25]}
+        assert (r["teachers"], r["students"], r["total_teachers"], r["total_students"]) == (up[:25], down[:25], len(up), len(down))
+        assert [tuple(x) for x in r["links"]] == sorted((a, b) for a, b in pairs if a in shown and b in shown)
+
+
+def test_bitmaps_against_plain_closures(spark):
+    """Families of up to 150 nodes, cycles, and nodes without an edge."""
+    from tessera.operators import bitmaps, graph
+
+    rng = random.Random(12)
+    pairs = {(1, a, a + rng.randrange(1, 5)) for a in range(0, 140, 2)} | {(1, 100, 90), (2, 5, 6), (2, 6, 5), (3, 1, 2)} | {(4, rng.randrange(70), rng.randrange(70)) for _ in range(80)}
+    chain = [(f, f * 10 + k % 7, n, n % 5, k) for f in (1, 2, 3, 4) for k, n in enumerate(sorted({x for g, a, b in pairs if g == f for x in (a, b)} | {200}))]
+    chains = spark.createDataFrame(chain, "family long, variant long, node long, gen int, pos int")
+    edges = edge_rows(spark, [(f, 0, a, b) for f, a, b in pairs])
+    up = {}
+    for f, n in {(r[0], r[2]) for r in chain}:
+        seen, todo = set(), [n]
+        while todo:
+            for g, a, b in pairs:
+                if (g, a) == (f, todo[-1]) and b not in seen:
+                    seen.add(b)
+                    todo.insert(0, b)
+            todo.pop()
+        up[f, n] = seen
+    down = {k: {n for (f, n), s in up.items() if f == k[0] and k[1] in s} for k in up}
+    assert {(r["family"], r["src"], r["dst"]) for r in graph.closure(edges).collect()} == {(f, n, x) for (f, n), s in up.items() for x in s}
+    found = bitmaps.reach(edges, chains)
+    degree = graph.degrees(chains, edges)
+    students = {k: len({a for f, a, b in pairs if (f, b) == k}) for k in up}
+    ends = {k: sum(students[k[0], x] == 0 for x in s) for k, s in down.items()}
+    assert {(r["family"], r["node"]): r["terminals"] for r in bitmaps.terminals(found, degree).collect()} == {k: n for k, n in ends.items() if n}
+    single = {k: sum(students[k[0], x] == 1 for x in s) / len(s) for k, s in up.items() if s}
+    assert {(r["family"], r["node"]): round(r["ratio"], 9) for r in bitmaps.single_strand_ratio(found, degree).collect()} == {k: round(v, 9) for k, v in single.items()}
+    held = {}
+    for f, v, n, *_ in chain:
+        held.setdefault((f, v), set()).add(n)
+    passed = {k: sum(k[1] not in s and bool(s & (up[k] - {k[1]})) and bool(s & (down[k] - {k[1]})) for (f, _), s in held.items() if f == k[0]) for k in up}
+    assert {(r["family"], r["node"]): r["bypasses"] for r in bitmaps.bypasses(chains, found).collect()} == {k: n for k, n in passed.items() if n}
+    some = spark.createDataFrame([(1, 40), (4, 3)], "family long, node long")
+    assert {(r["family"], r["node"]) for r in bitmaps.bypasses(chains, found, some).collect()} <= {(1, 40), (4, 3)}
+    known = spark.createDataFrame([(n,) for n in range(0, 201, 3)], "node long")
+    around = {k: up[k] | down[k] | {k[1]} for k in up}
+    share = {k: round(sum(x % 3 == 0 and x < 201 for x in s) / len(s), 9) for k, s in around.items()}
+    assert {(r["family"], r["node"]): round(r["completeness"], 9) for r in bitmaps.provenance_completeness(found, known).collect()} == share
