@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rrf_term, tokenize
+from .near import neighbours  # noqa: F401  (part of the search interface)
 from .storage import materialize
 
 K1, B = 1.2, 0.75
@@ -127,52 +128,6 @@ def knn(vectors: DataFrame, key: str, vector: str, query: Sequence[float]) -> Da
     return vectors.select(F.col(key).alias("id"), cosine(as_double(F.col(vector)), q).alias("score")).where("score is not null")
 
 
-#: Vectors in one part of the all-pairs search: a block holds two parts and a strip of their products.
-PART_ROWS, STRIP = 4096, 512
-
-
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int, part_rows: int = PART_ROWS, parts: int | None = None) -> DataFrame:
-    """(id, other, score, rank): the exact k nearest of every vector, itself among them, ties by id.
-
-    Vectors are dealt into parts of about part_rows (or as many as given) and every pair of parts is one block, worked
-    through in strips of matrix products; a block keeps k candidates for each row, so k rows for
-    each vector and part are shuffled, not all pairs. Blocks grow with the square of the parts, as an exact search must.
-    """
-    import numpy as np
-    import pandas as pd
-
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), as_double(F.col(vector)).alias("v"))
-    parts = parts or max(1, -(-rows.count() // part_rows))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    left = rows.select("*", F.explode(every).alias("with")).select("id", "v", F.col("own").alias("a"), F.col("with").alias("b"))
-    right = rows.select("*", F.explode(every).alias("with")).select("id", "v", F.col("with").alias("a"), F.col("own").alias("b"))
-
-    def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        columns = {"id": [], "other": [], "score": []}
-        if len(x) and len(y):
-            p, q, ids = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), y["id"].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            q, ids = q[by_id], ids[by_id]  # equal scores keep the order of ids
-            with np.errstate(invalid="ignore", divide="ignore"):
-                p_norm, q_norm = np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1)
-                for at in range(0, len(p), STRIP):
-                    s = (p[at : at + STRIP] @ q.T) / (p_norm[at : at + STRIP, None] * q_norm[None, :])
-                    s = np.round(np.where(np.isfinite(s), s, -np.inf), 12)
-                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    scores = np.take_along_axis(s, order, axis=1)
-                    keep = np.isfinite(scores)
-                    columns["id"].append(np.repeat(x["id"].to_numpy()[at : at + STRIP], order.shape[1])[keep.ravel()])
-                    columns["other"].append(ids[order][keep])
-                    columns["score"].append(scores[keep])
-            columns = {c: np.concatenate(v) for c, v in columns.items()}
-        return pd.DataFrame(columns).astype({"id": "int64", "other": "int64", "score": "float64"})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(block, "id bigint, other bigint, score double")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def fuse(lists: Sequence[DataFrame], limit: int, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, rank, ...): (id, score), the best `limit`, ties by id."""
     every = lists[0].select("id", "rank")

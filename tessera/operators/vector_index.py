@@ -3,57 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors from which centroids are chosen, at most; all vectors are then assigned.
-SAMPLE = 20_000
-
-
-def _units(values) -> np.ndarray:
-    x = np.stack(values).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def choose_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
-    """Unit centroids by a few rounds of k-means on unit vectors; the first are evenly spaced rows of the sample."""
-    centres = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)]
-    for _ in range(rounds):
-        own = np.argmax(sample @ centres.T, axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, sample)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
-    return centres
-
+from . import near
 
 def write_vector_index(vectors: DataFrame, key: str, vector: str, path: str, lists: int | None = None) -> None:
     """Lists (id, v) in folders by list, and one row for each list: its centroid, radius and size.
 
-    Centroids come from the first SAMPLE vectors by a hash of their ids; every vector that has a
-    direction is in a list. Null and zero vectors are left out, as they have no neighbours.
+    Every vector that has a direction is in a list. Null and zero vectors are left out, as they have no neighbours.
+    lists: the root of the vectors' number if not given, and no more than near.MOST_LISTS.
     """
     spark = vectors.sparkSession
-    norm = F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x * x)
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(norm > 0)
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    if lists is None:
-        lists = max(1, math.isqrt(rows.count()))
-    centres = choose_centroids(_units(taken["v"]), lists) if len(taken) else np.zeros((1, 1))
-    shared = spark.sparkContext.broadcast(centres)
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                x = _units(f["v"])
-                own = np.argmax(x @ shared.value.T, axis=1)
-                yield f.assign(list=own, far=np.linalg.norm(x - shared.value[own], axis=1))
-
-    assigned = rows.mapInPandas(assign, "id bigint, v array<double>, list bigint, far double")
+    rows = near.with_direction(vectors, key, vector)
+    centres = near.centroids(rows, min(lists or max(1, math.isqrt(rows.count())), near.MOST_LISTS))
+    assigned = near.assigned(rows, centres) if len(centres) else rows.selectExpr("id", "v", "0L as list", "0d as far")
     assigned.repartition("list", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("list").parquet(f"{path}/lists")
     stored = spark.read.parquet(f"{path}/lists")
     radii = {r["list"]: (r["radius"], r["size"]) for r in stored.groupBy("list").agg(F.max("far").alias("radius"), F.count("*").alias("size")).collect()}

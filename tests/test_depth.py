@@ -189,3 +189,38 @@ def test_bitmaps_against_plain_closures(spark):
     around = {k: up[k] | down[k] | {k[1]} for k in up}
     share = {k: round(sum(x % 3 == 0 and x < 201 for x in s) / len(s), 9) for k, s in around.items()}
     assert {(r["family"], r["node"]): round(r["completeness"], 9) for r in bitmaps.provenance_completeness(found, known).collect()} == share
+
+
+@pytest.mark.parametrize("clustered,rows,part", [(True, 1500, 60), (False, 300, 40), (True, 300, 4096)])
+def test_pruned_neighbours_are_exact(spark, clustered, rows, part):
+    import numpy as np
+
+    from tessera.operators import near
+
+    rng = np.random.default_rng(5)
+    if clustered:
+        x = rng.normal(size=(25, 16))[rng.integers(0, 25, rows)] + 0.05 * rng.normal(size=(rows, 16))
+    else:
+        x = rng.normal(size=(rows, 16))
+    x[7] = x[8]  # equal scores
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, [0.0] * 16), (9002, None), (9003, [float("nan")] * 16), (None, [1.0] * 16)]
+    told = {}
+    got = near.neighbours(spark.createDataFrame(data, "id long, v array<double>"), "id", "v", 6, part_rows=part, told=told)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 9)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["other"], round(r["score"], 9)))
+    assert len(found) == rows
+    for i, list_ in found.items():
+        want = sorted(range(rows), key=lambda j: (-scores[i, j], j))[:6]
+        assert [o for _, o, _ in sorted(list_)] == want or [s for *_, s in sorted(list_)] == pytest.approx([scores[i, j] for j in want], abs=1e-8)
+    if clustered and part < rows:
+        assert told["compared"] < 0.5 * told["blocks"]
+
+
+def test_neighbours_of_nothing(spark):
+    from tessera.operators import near
+
+    empty = spark.createDataFrame([], "id long, v array<double>")
+    assert near.neighbours(empty, "id", "v", 3).collect() == []
