@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import numbered as number_all
 from ..operators.storage import materialize
+from . import split_json
 
 NARRATOR = (
     "popularName string, name string, teknonym string, generation string, lineage string, residence string, deathYear string,"
@@ -25,18 +26,18 @@ RECORD = (
     " mentions array<string>, quranVerses array<string>, similar array<string>, stronglySimilar array<string>, seeAlso array<string>, textAr string, textEn string"
 )
 VERSE = "surah bigint, ayah bigint, text_ar string, text_en string, tafsir_en string"
-GRAPH = f"narrators map<string,struct<{NARRATOR.replace(' ', ':').replace(',:', ',')}>>, hadiths map<string,struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>, bookNames map<string,string>"
 
 
 def read_graph_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """narrators, records and books of a graph file: one object with three maps. Empty English texts are null."""
-    whole = spark.read.schema(GRAPH).json(path, multiLine=True)
-    records = whole.select(F.explode("hadiths").alias("id", "r")).select("id", "r.*")
-    return {
-        "narrators": whole.select(F.explode("narrators").alias("id", "n")).select("id", "n.*"),
-        "records": records.withColumn("textEn", F.nullif("textEn", F.lit(""))),
-        "books": whole.select(F.explode("bookNames").alias("id", "name")),
-    }
+    """narrators, records and books of a graph file: one object with three maps. Empty English texts are null.
+
+    A file is read by as many tasks as it has blocks.
+    """
+    entries, maps = split_json.read_maps(spark, path)
+    entries = materialize(entries)
+    of = lambda section, schema: entries.where(F.col("section") == section).select("id", F.from_json("value", schema).alias("x")).select("id", "x.*")
+    books = maps.where("section = 'bookNames'").select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name"))
+    return {"narrators": of("narrators", NARRATOR), "records": of("hadiths", RECORD).withColumn("textEn", F.nullif("textEn", F.lit(""))), "books": books}
 
 
 def read_csv_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
