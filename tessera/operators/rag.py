@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import honorifics_of_names, truncate_bytes
+from ..functions.text import honorifics_of_names, line_numbers, truncate_bytes
 from . import scan
+from .calls import Model, ask_in_stages
 from .context import ordered_join, parse_intent
+from .storage import materialize
 
 #: Lines that a section without a following one is taken to have, a whole chapter's, and what a fruitless range is widened by.
 SECTION_LINES, CHAPTER_LINES, WIDER = 200, 500, 200
@@ -111,6 +113,41 @@ def choose_chapters(chapters: DataFrame, replies: DataFrame, most: int = 3, usua
     return every.withColumn("_b", best).where(F.col("step") == F.col("_b")).select("question", F.col("line").alias("chapter"), "place")
 
 
+#: What is asked for the first time, and again of those whose reply named no chapter: # stands for the question.
+ASK_CHAPTERS = ("Question: #\nWhich chapters bear on it? Answer with a list of their line numbers.\n\n", "Answer with line numbers from this list alone, as [1, 2].\nQuestion: #\n\n")
+
+
+def navigate(
+    questions: DataFrame, chapters: DataFrame, model: Model, most: int = 3, usual: int = 2, at_once: int = 4, deadline: float = 180.0
+) -> tuple[DataFrame, DataFrame]:
+    """(question, chapter, place) and, of every call, (question, stage, reply, reason): chapters that a model picks for each question.
+
+    questions: (question, book, text); chapters: (book, line, place, title). The prompt lists the book's chapters, cut at
+    PROMPT_BYTES. A reply that names no chapter of the book, a failed call and a late one are asked again,
+    in other words and for those questions alone; without a sound reply the book's first chapters are taken, as choose_chapters does.
+    """
+    listed = answer_context_lines(chapters)
+    rows = materialize(questions.join(listed, "book", "left").select("question", "book", "text", F.coalesce("list", F.lit("")).alias("list")))
+    prompt = lambda ask: F.concat(F.replace(F.lit(ask), F.lit("#"), F.coalesce("text", F.lit(""))), F.col("list"))
+    books = rows.select("question", "book")
+
+    def named(told: DataFrame) -> DataFrame:
+        lines = told.select("question", F.explode(F.slice(line_numbers(F.col("reply")), 1, most)).alias("line")).join(books, "question")
+        return lines.join(chapters.select("book", "line"), ["book", "line"], "left_semi")
+
+    told = ask_in_stages(rows, "question", [(prompt(a), model) for a in ASK_CHAPTERS], named, at_once, deadline)
+    lines = lambda stage: told.where(F.col("stage") == stage).select("question", line_numbers(F.col("reply")).alias("lines" if stage == 0 else "again"))
+    replies = books.join(lines(0), "question", "left").join(lines(1), "question", "left")
+    return choose_chapters(chapters, replies, most, usual), told
+
+
+def answer_context_lines(chapters: DataFrame, most_bytes: int = PROMPT_BYTES) -> DataFrame:
+    """(book, list): a line for each chapter (book, line, place, title) in order, `line: title`, as many as most_bytes hold."""
+    entry = F.concat(F.col("line").cast("string"), F.lit(": "), F.col("title"), F.lit("\n"))
+    sized = scan.running_sum(chapters.select("book", "line", "place", "title"), "book", ["place", "line"], F.octet_length(entry).cast("long"), "_until")
+    return sized.where(F.col("_until") <= most_bytes).groupBy("book").agg(ordered_join(F.struct("place", "line"), entry, "").alias("list"))
+
+
 def choose_sections(chosen: DataFrame, sections: DataFrame, replies: DataFrame, each: int = 3, most: int = 5) -> DataFrame:
     """(question, place, start, stop): line ranges, at most `most`, chapter by chapter.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as fx
 from ..operators import context, graph, rag, training
 from ..sources.fixtures import CHAIN_SQL, EDGE_SQL, Tables, chains, nodes
 
@@ -111,12 +114,57 @@ def _navigation(t: Tables):
     return chapters, replies
 
 
+def _questions(t: Tables):
+    """Pages as questions to the book of their number, and the books' chapters with titles."""
+    chapters, replies = _navigation(t)
+    titled = chapters.withColumn("title", F.format_string("heading %d", "line"))
+    return replies.select("question", "book", F.col("question").cast("string").alias("text")), titled
+
+
 @query(f"with {_CHAPTERS}, {_REPLIES}, {_CHOSEN} select question, chapter, place from chosen")
 def navigate_chapters(spark, sf_dir):
     """Chapters of a book for each question: a reply's, or the second reply's, or the first two."""
     return rag.choose_chapters(*_navigation(Tables(spark, sf_dir)))
 
 
+def _guess(prompt: str) -> str:
+    """Stands for a model: picks by arithmetic, is at a loss when asked loosely about every third question and fails on every fifth."""
+    question = int(re.search(r"Question: (\d+)", prompt)[1])
+    lines = [int(x) for x in re.findall(r"(?m)^(\d+): ", prompt)]
+    if prompt.startswith("Question") and question % 5 == 0:
+        raise RuntimeError("no answer")
+    if prompt.startswith("Question") and question % 3 == 0 or question % 15 == 7:
+        return "I can not tell"
+    return str([x for x in lines if (x + question) % 7 == 0])
+
+
+_NAVIGATED = f"""{_CHAPTERS}, q as (select page_id as question, 'src' || page_id % 20 as book from pages),
+ seen as (select book, line, place from (select *, sum(strlen(line::varchar) + 11 + strlen(line::varchar)) over (partition by book order by line) as until from ch) where until <= 25000),
+ picks as (select question, q.book, seen.line, row_number() over (partition by question order by seen.line) as nth from q join seen using (book) where (seen.line + question) % 7 = 0 and question % 15 <> 7),
+ told as (select question, min(line) as found from picks where nth <= 3 group by question),
+ calls as (select question, 0 as stage, case when question % 5 = 0 then 'failed' when question % 3 = 0 or question % 15 = 7 then 'none' when told.question is null then 'none' else 'sound' end as result from q left join told using (question)),
+ again as (select question, 1, case when told.question is null then 'none' else 'sound' end from calls left join told using (question) where result <> 'sound'),
+ result as (select question, line as chapter, nth - 1 as place from picks where nth <= 3 union all select q.question, ch.line, ch.place from q join ch using (book) where ch.place < 2 and q.question not in (select question from told))"""
+
+
+@query(f"with {_NAVIGATED} select question, chapter, place from result")
+def navigated(spark, sf_dir):
+    """Chapters that a stand-in for a model picks for each question, asked a second time where it failed or named none."""
+    return rag.navigate(*_questions(Tables(spark, sf_dir)), _guess)[0]
+
+
+@query(f"with {_NAVIGATED}, every as (select * from calls union all select * from again) select stage, result, count(*) as calls from every group by all")
+def navigation_calls(spark, sf_dir):
+    """How the calls of each stage went: the second stage asks the questions alone that the first left open."""
+    questions, chapters = _questions(Tables(spark, sf_dir))
+    chosen, told = rag.navigate(questions, chapters, _guess)
+    named = told.select("question", "stage", "reason", F.explode_outer(fx.line_numbers(F.col("reply"))).alias("line")).join(questions.select("question", "book"), "question")
+    named = named.join(chapters.select("book", "line", F.lit(True).alias("_is")), ["book", "line"], "left")
+    per = named.groupBy("question", "stage").agg(F.max(F.col("reason").isNotNull()).alias("failed"), F.max(F.coalesce("_is", F.lit(False))).alias("sound"))
+    result = F.when(F.col("failed"), "failed").when(F.col("sound"), "sound").otherwise("none")
+    return per.groupBy("stage", result.alias("result")).agg(F.count("*").alias("calls"))
+
+
 @query(
     f"""with {_CHAPTERS}, {_REPLIES}, {_CHOSEN}, sec as (select line as chapter, line + i as line from ch, (select unnest(range(1, 6)) as i)),
  rr as (select question, chapter, unnest([{{a: chapter + 1, b: chapter + 40}}, {{a: chapter + 3, b: 0}}, {{a: chapter + 9, b: chapter + 90}}, {{a: chapter + 2, b: chapter + 9}}][1:3]) as r, unnest([0, 1, 2]) as i from chosen where (question + chapter) % 3 <> 0),
