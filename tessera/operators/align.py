@@ -95,18 +95,50 @@ def words_of(texts: DataFrame, *keys: str) -> DataFrame:
     return texts.select(*keys, F.explode(F.array_distinct(F.split("text", " "))).alias("_w")).where("_w <> ''")
 
 
+#: Longest runs of characters by which fragments meet words: anywhere in a word, and at its ends.
+RUN, EDGE = 3, 4
+
+
+def _runs(text: str, sizes: Sequence[int]) -> Column:
+    """One row for each distinct run of characters of these sizes."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n)))).otherwise(F.array())
+    return F.explode(F.array_distinct(F.concat(*[of(n) for n in sizes])))
+
+
+def _inside_words(vocabulary: DataFrame, fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fragment, _w): words that hold the fragment; a fragment asks for its rarest run among the words' alone."""
+    held = vocabulary.select(*keys, "_w", _runs("_w", range(1, RUN + 1)).alias("_k"))
+    rarity = held.groupBy(*keys, "_k").agg(F.count("*").alias("_n"))
+    size = F.least(F.length("fragment"), F.lit(RUN))
+    own = fragments.select(*keys, "fragment", _runs("fragment", range(1, RUN + 1)).alias("_k")).where(F.length("_k") == size)
+    best = own.join(rarity, [*keys, "_k"], "left").groupBy(*keys, "fragment").agg(F.min_by("_k", F.struct(F.coalesce("_n", F.lit(0)), "_k")).alias("_k"))
+    return best.join(held, [*keys, "_k"]).where(F.contains("_w", "fragment")).select(*keys, "fragment", "_w")
+
+
+def _at_ends(vocabulary: DataFrame, fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fragment, _w): words that end as the fragment begins, or begin as it ends, by the longer of both sides."""
+    head, tail = F.substring_index("fragment", " ", 1), F.substring_index("fragment", " ", -1)
+    first = F.length(head) >= F.length(tail)
+    edge = lambda end, text: F.concat(F.lit("e" if end else "s"), F.right(text, F.least(F.length(text), F.lit(EDGE))) if end else F.left(text, F.least(F.length(text), F.lit(EDGE))))
+    asked = fragments.withColumns({"_head": F.when(first, head), "_tail": F.when(~first, tail)}).withColumn("_k", F.coalesce(edge(True, F.col("_head")), edge(False, F.col("_tail"))))
+    sides = [F.when(F.length("_w") >= n, F.concat(F.lit(kind), side(F.col("_w"), F.lit(n)))) for n in range(EDGE + 1) for kind, side in (("e", F.right), ("s", F.left))]
+    held = vocabulary.select(*keys, "_w", F.explode(F.array_compact(F.array(*sides))).alias("_k"))
+    met = asked.join(held, [*keys, "_k"])
+    return met.where(F.coalesce(F.endswith("_w", "_head"), F.startswith("_w", "_tail"))).select(*keys, "fragment", "_w")
+
+
 def short_hits(words: DataFrame, short: DataFrame, *group: str) -> DataFrame:
     """words ⋈ short: which fragments (group, fragment, ...) without an inner word a word may stand for.
 
-    The end of a text's word begins a fragment of two words, and a fragment of one stands inside a word. Fragments meet the
-    group's distinct words, not its texts.
+    A fragment of one word stands inside a word of the text; of one with blanks the beginning ends a word, and the end begins one. Both
+    meet the group's distinct words by equal runs of characters, so no fragment is compared with the whole vocabulary.
     """
-    vocabulary = words.select(*group, "_w").distinct()
-    head = F.substring_index("fragment", " ", 1)
+    keys = list(group)
+    vocabulary = words.select(*keys, "_w").distinct()
+    fragments = short.select(*keys, "fragment").distinct()
     alone = F.instr("fragment", " ") == 0
-    fits = F.when(alone, F.contains("_w", "fragment")).when(head == "", F.lit(True)).otherwise(F.endswith("_w", head))
-    met = vocabulary.join(short, list(group)) if group else vocabulary.crossJoin(F.broadcast(short))
-    return words.join(met.where(fits), [*group, "_w"])
+    met = _inside_words(vocabulary, fragments.where(alone), keys).unionAll(_at_ends(vocabulary, fragments.where(~alone), keys))
+    return words.join(short.join(met, [*keys, "fragment"]), [*keys, "_w"])
 
 
 def containment_join(texts: DataFrame, probes: DataFrame, size: int = 80, skip: int = 20, least_bytes: int = 20) -> DataFrame:

@@ -14,7 +14,7 @@ from .storage import materialize
 Model = Callable[[str], str]
 
 
-def _answered(prompts: Sequence[str], model: Model, at_once: int, deadline: float) -> list[tuple[str | None, str | None]]:
+def answered(prompts: Sequence[str], model: Model, at_once: int, deadline: float) -> list[tuple[str | None, str | None]]:
     """(reply, reason why there is none) for each prompt. A call that is past its deadline is left to itself and takes no place any more."""
     out: list = [(None, None)] * len(prompts)
     running: dict[int, tuple[threading.Thread, float, list]] = {}
@@ -61,7 +61,7 @@ def ask(rows: DataFrame, key: str, prompt: Column, model: Model, at_once: int =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            told = _answered(f["_prompt"].tolist(), model, at_once, deadline)
+            told = answered(f["_prompt"].tolist(), model, at_once, deadline)
             yield pd.DataFrame({key: f[key], "reply": pd.Series([r for r, _ in told], dtype="object", index=f.index), "reason": pd.Series([w for _, w in told], dtype="object", index=f.index)})
 
     some = rows.select(key, F.coalesce(prompt, F.lit("")).alias("_prompt"))

@@ -21,8 +21,8 @@ from .storage import materialize
 
 #: Sets that an element may have for its pairs to be listed.
 LIGHT = 32
-#: Classes of one side of a tile.
-TILE = 16_384
+#: Classes whose best partners a tile looks for, and those that it looks among.
+PROBES, TILE = 16_384, 65_536
 
 
 def _classes(rows: DataFrame, best: int) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +72,7 @@ def _through_light(classes: DataFrame, light: int, best: int) -> tuple[DataFrame
 
 def _tile(best: int):
     def run(probes: pd.DataFrame, holders: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        a_found, best_found = [], []
         if len(probes) and len(holders):
             holders = holders.sort_values("b")
             cid = holders["b"].to_numpy()
@@ -90,21 +90,41 @@ def _tile(best: int):
                 found = found[cid[found] != a]
                 found = found[np.lexsort((cid[found], -count[found]))[:best]]
                 if len(found):
-                    out.append(pd.DataFrame({"a": a, "b": cid[found], "shared": count[found]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "shared": []}).astype("int64")
+                    a_found.append(a)
+                    best_found.append([{"less": -int(n), "b": int(b)} for n, b in zip(count[found], cid[found])])
+        return pd.DataFrame({"a": pd.Series(a_found, dtype="int64"), "best": pd.Series(best_found, dtype="object")})
 
     return run
 
 
 def _through_tiles(classes: DataFrame, open_: DataFrame, best: int, tile: int) -> DataFrame:
-    """(a, b, shared): for each open class and each part of all classes its best partners in that part."""
+    """(a, b, shared): each open class's best partners. A tile gives one row for a class, so that lists meet and not pairs."""
     parts = max(1, -(-classes.count() // tile))
-    sides = max(1, -(-open_.count() // tile))
+    sides = max(1, -(-open_.count() // min(tile, PROBES)))
     part = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     probes = classes.join(open_, F.col("cid") == F.col("a")).select("a", "bound", "hashes", part(sides).alias("p"), every(parts).alias("q"))
     holders = classes.select(F.col("cid").alias("b"), F.col("hashes").alias("terms"), part(parts).alias("q"), every(sides).alias("p"))
-    return probes.groupBy("p", "q").cogroup(holders.groupBy("p", "q")).applyInPandas(_tile(best), "a bigint, b bigint, shared bigint")
+    lists = probes.groupBy("p", "q").cogroup(holders.groupBy("p", "q")).applyInPandas(_tile(best), "a bigint, best array<struct<less:bigint,b:bigint>>")
+    merged = lists.groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, best).alias("best"))
+    return merged.select("a", F.explode("best").alias("x")).select("a", "x.b", (-F.col("x.less")).alias("shared"))
+
+
+def at_least(rows: DataFrame, group: str, key: str, element: str, least: int) -> DataFrame:
+    """(group, a, b, shared): pairs a < b of a group's keys that have `least` elements or more in common.
+
+    rows: distinct (group, key, element). Sets that share so many meet in all but the least - 1 most frequent elements of
+    either, so each set is listed under those alone; what an element of nearly every set would pair is never made.
+    """
+    counted = rows.groupBy(group, element).agg(F.count("*").alias("_n")).where("_n > 1")
+    ordered = F.array_sort(F.collect_list(F.struct("_n", F.col(element).alias("e"))))
+    sets = rows.join(counted, [group, element]).groupBy(group, key).agg(F.transform(ordered, lambda x: x["e"]).alias("_set")).where(F.size("_set") >= least)
+    listed = materialize(sets.select(group, F.col(key).alias("k"), "_set", F.explode(F.slice("_set", F.lit(1), F.size("_set") - (least - 1))).alias("e")))
+    a, b = listed.select(group, F.col("k").alias("a"), "e", F.col("_set").alias("_x")), listed.select(group, F.col("k").alias("b"), "e", F.col("_set").alias("_y"))
+    met = a.join(b, [group, "e"]).where("a < b").withColumn("_common", F.array_intersect("_x", "_y"))
+    # a pair is told once, in the first element that it meets in
+    first = F.array_position("_x", F.col("e")) == F.array_min(F.transform(F.array_intersect(F.slice("_x", F.lit(1), F.size("_x") - (least - 1)), F.slice("_y", F.lit(1), F.size("_y") - (least - 1))), lambda e: F.array_position(F.col("_x"), e)))
+    return met.where((F.size("_common") >= least) & first).select(group, "a", "b", F.size("_common").cast("long").alias("shared"))
 
 
 def top_overlaps(rows: DataFrame, most: int = 5, light: int = LIGHT, tile: int = TILE) -> DataFrame:

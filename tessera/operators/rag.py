@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import honorifics_of_names, line_numbers, truncate_bytes
 from . import scan
-from .calls import Model, ask_in_stages
+from .calls import Model, answered, ask_in_stages
 from .context import ordered_join, parse_intent
 from .storage import materialize
 
@@ -22,18 +22,13 @@ SECTION_LINES, CHAPTER_LINES, WIDER = 200, 500, 200
 PROMPT_BYTES = 25_000
 
 
-def reply_of(rows: DataFrame, prompt: Column, model: Callable[[str], str], name: str = "reply") -> DataFrame:
-    """rows with a model's reply to each prompt; a failing call gives null, not a failed job."""
+def reply_of(rows: DataFrame, prompt: Column, model: Callable[[str], str], name: str = "reply", at_once: int = 4, deadline: float = 180.0) -> DataFrame:
+    """rows with a model's reply to each prompt; a call that fails or is late gives null, not a failed job."""
     import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for text in f["_prompt"]:
-                try:
-                    out.append(model(text))
-                except Exception:
-                    out.append(None)
+            out = [reply for reply, _ in answered(f["_prompt"].tolist(), model, at_once, deadline)]
             yield f.drop(columns="_prompt").assign(**{name: pd.Series(out, dtype="object", index=f.index)})
 
     fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 
 def resolve_pairs(references: DataFrame, records: DataFrame, keys: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     """references with the id of the record that has both keys (of several the least), and those that no record has."""
@@ -47,7 +49,7 @@ def resolve_names(names: DataFrame, forms: DataFrame, least: int = 8) -> DataFra
     asked = names.select("id", F.explode(F.array_distinct(F.array("short", "full"))).alias("form")).where("form <> ''")
     exact = asked.join(forms, "form").select("id", "other").distinct()
     count = Window.partitionBy("id")
-    exact = exact.withColumn("n", F.count("*").over(count))
+    exact = materialize(exact.withColumn("n", F.count("*").over(count)))
     single = exact.where("n = 1").select("id", "other", F.lit("exact").alias("step"), F.lit(1).cast("bigint").alias("candidates"))
     full = forms.select("other", "name").distinct()
     open_ = exact.where("n > 1").select("id", "other").join(names.select("id", "full"), "id").join(full, "other")
@@ -62,7 +64,7 @@ def resolve_names(names: DataFrame, forms: DataFrame, least: int = 8) -> DataFra
     rest = asked.join(exact.select("id").distinct(), "id", "left_anti").where(F.length("form") >= least)
     asked_for, listed = rest.select("id", F.col("form").alias("asked")), own.select("other", "form")
     hits = substring_pairs(asked_for, "asked", listed, "form", least).select("id", "other")
-    hits = hits.unionAll(substring_pairs(listed, "form", asked_for, "asked", least).select("id", "other")).distinct()
+    hits = materialize(hits.unionAll(substring_pairs(listed, "form", asked_for, "asked", least).select("id", "other")).distinct())
     found = hits.groupBy("id").agg(F.count("*").alias("candidates"), F.min("other").alias("other"))
     partial = found.select("id", F.when(F.col("candidates") == 1, F.col("other")).alias("other"), F.lit("substring").alias("step"), "candidates")
     done = single.unionByName(filtered).unionByName(partial)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import overlap
 from ..sources.fixtures import CHAIN_SQL, Tables, chains
 
 QUERIES: dict = {}
@@ -211,9 +212,7 @@ def reverse_map(spark, sf_dir):
 def set_overlap_join(spark, sf_dir):
     """Variants of one family with at least two common nodes, through the nodes instead of all pairs."""
     own = chains(Tables(spark, sf_dir)).select("family", "variant", "node").distinct()
-    a, b = own.withColumnRenamed("variant", "a"), own.withColumnRenamed("variant", "b")
-    pairs = a.join(b, ["family", "node"]).where("a < b").groupBy("family", "a", "b").agg(F.count("*").alias("shared"))
-    return pairs.where("shared >= 2")
+    return overlap.at_least(own, "family", "variant", "node", 2).select("family", "a", "b", "shared")
 
 
 @query(

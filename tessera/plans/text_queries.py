@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import align, context, diff, tree, verify
+from ..operators import align, context, diff, tree, verify, words
 from ..sources.fixtures import Tables
 
 QUERIES: dict = {}
@@ -128,9 +128,9 @@ def quote_verify(spark, sf_dir):
     t = Tables(spark, sf_dir)
     items = t.benchmark.select("item_id", fx.normalize_quote(F.col("text")).alias("fragment")).withColumn("_w", align.inner_word(F.col("fragment")))
     docs = t.documents.select("doc_id", fx.normalize_quote(F.col("text")).alias("text"))
-    words = align.words_of(docs, "doc_id")
-    near = words.join(items.where("_w is not null"), "_w").select("item_id", "doc_id", "fragment")
-    short = align.short_hits(words, items.where("_w is null and fragment <> ''").drop("_w")).select("item_id", "doc_id", "fragment")
+    own = align.words_of(docs, "doc_id")
+    near = own.join(items.where("_w is not null"), "_w").select("item_id", "doc_id", "fragment")
+    short = align.short_hits(own, items.where("_w is null and fragment <> ''").drop("_w")).select("item_id", "doc_id", "fragment")
     near = near.unionAll(short).distinct().join(docs, "doc_id").where(verify.quote_is_verbatim(F.col("fragment"), F.col("text")))
     hits = near.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
     # an empty item stands in every text
@@ -221,6 +221,33 @@ def segment_group(spark, sf_dir):
     )
 
 
+#: Feature strings of segments, # for a root: a prefix, two stems and a suffix, and what a stem says beside root and lemma.
+SEGMENTS = (("PREF|CONJ", None), ("ROOT:#|LEM:#-a|M|GEN", "case=GEN,gender=M"), ("SUFF|3MS", None), ("LEM:b|IMPF|2FP", "aspect=IMPF,gender=F,number=P,person=2"))
+
+
+def _segment_sql(k: int) -> str:
+    value = lambda s: "null" if s is None else f"replace('{s}', '#', event_type)"
+    pick = [(v[1], "#" if "ROOT" in v[0] else None, v[0].split("LEM:")[1].split("|")[0] if "LEM" in v[0] else None, "PREF" if "PREF" in v[0] else "SUFF" if "SUFF" in v[0] else None)[k] for v in SEGMENTS]
+    return "case (event_id * 7) % 4 " + " ".join(f"when {i} then {value(v)}" for i, v in enumerate(pick)) + " end"
+
+
+@query(
+    f"""with s as (select event_id // 4 as word, event_id % 4 as pos, substr(event_type, 1, 2) as form, event_type as tag, {_segment_sql(0)} as features, {_segment_sql(1)} as root, {_segment_sql(2)} as lemma, {_segment_sql(3)} as affix,
+ coalesce({_segment_sql(3)}, '') as side from events where (event_id // 4) % 3 <> 1 or event_id % 4 < 2),
+ t as (select *, case when affix = 'PREF' then 'type=CONJ' when affix = 'SUFF' then 'gender=M,number=S,person=3' else features end as said, row_number() over (partition by word order by affix is not null, pos) as rn from s),
+ w as (select word, string_agg(form, '' order by pos) as text, string_agg(form || ':' || side || ':' || coalesce(root, ''), ' ' order by pos) as segments from s group by word)
+ select word, text, tag as pos, root, lemma, said as features, segments from w join t using (word) where rn = 1"""
+)
+def folded_words(spark, sf_dir):
+    """Events as segments of words: their text, and root, lemma and features of the main segment."""
+    e = Tables(spark, sf_dir).events.where("(event_id div 4) % 3 <> 1 or event_id % 4 < 2")
+    said = F.replace(F.get(F.array(*[F.lit(x) for x, _ in SEGMENTS]), ((F.col("event_id") * 7) % 4).cast("int")), F.lit("#"), F.col("event_type"))
+    rows = e.select(F.expr("event_id div 4").alias("word"), (F.col("event_id") % 4).alias("seg"), F.substring("event_type", 1, 2).alias("form"), F.col("event_type").alias("tag"), fx.parse_features(said).alias("features"))
+    pairs = F.array_sort(F.transform(F.map_entries("features"), lambda x: F.concat_ws("=", x["key"], x["value"])))
+    each = F.transform("segments", lambda x: F.concat_ws(":", x["form"], F.coalesce(x["affix"], F.lit("")), F.coalesce(x["root"], F.lit(""))))
+    return words.fold_segments(rows, ["word"], "seg").select("word", "text", "pos", "root", "lemma", F.array_join(pairs, ",").alias("features"), F.array_join(each, " ").alias("segments"))
+
+
 @query(
     """with h as (select source as book, doc_id as line, cast(n_chars % 3 + 1 as int) as level from documents),
  l as (select *, last_value(case when level = 1 then line end ignore nulls) over w as l1, last_value(case when level = 2 then line end ignore nulls) over w as l2 from h

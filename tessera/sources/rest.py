@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.storage import materialize
+
 
 class Keys(InputPartition):
     def __init__(self, keys: list[str]):
@@ -112,14 +114,18 @@ def fetch_missing(spark, url: str, pages: int, path: str, chunk: int = 200, **op
     spark.dataSource.register(RestSource)
     schema = "page int, body string"
     try:
-        have = {r["page"] for r in spark.read.schema(schema).parquet(path).select("page").collect()}
+        have = spark.read.schema(schema).parquet(path).select("page")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        have = set()
-    missing = [p for p in range(1, pages + 1) if p not in have]
-    for at in range(0, len(missing), chunk):
-        reader = spark.read.format("paged_rest").options(url=url, keys=",".join(map(str, missing[at : at + chunk])), **options)
+        have = spark.createDataFrame([], "page int")
+    missing = materialize(spark.range(1, pages + 1).select(F.col("id").cast("int").alias("page")).join(have, "page", "left_anti"))
+    count, last = missing.count(), 0
+    for _ in range(-(-count // chunk)):
+        # the driver sees one chunk of numbers at a time
+        some = [r["page"] for r in missing.where(F.col("page") > last).orderBy("page").limit(chunk).collect()]
+        last = some[-1]
+        reader = spark.read.format("paged_rest").options(url=url, keys=",".join(map(str, some)), **options)
         rows = reader.load().select(F.col("key").cast("int").alias("page"), "body").where("body not in ('{}', 'null', '[]')")
         rows.write.mode("append").parquet(path)
-    return len(missing)
+    return count

@@ -40,8 +40,8 @@ def test_calls_under_way_are_bounded():
             now[0] -= 1
         return prompt
 
-    assert calls._answered([str(i) for i in range(40)], model, 3, 10.0) == [(str(i), None) for i in range(40)]
-    assert most[0] == 3 and calls._answered([], model, 3, 1.0) == []
+    assert calls.answered([str(i) for i in range(40)], model, 3, 10.0) == [(str(i), None) for i in range(40)]
+    assert most[0] == 3 and calls.answered([], model, 3, 1.0) == []
 
 
 def test_only_failures_are_asked_again(spark, tmp_path):

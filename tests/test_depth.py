@@ -224,3 +224,39 @@ def test_neighbours_of_nothing(spark):
 
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert near.neighbours(empty, "id", "v", 3).collect() == []
+
+
+def test_short_fragments_meet_words_by_their_runs(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(0, 7)))
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    cuts = [t[k : k + n] for t in texts for k, n in ((0, 1), (1, 4), (2, 7))] + ["zz", "a z", " ", "  "]
+    short = [f for f in cuts if f and len(f.strip(" ").split(" ")) < 3]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    fragments = spark.createDataFrame(list(enumerate(short)), "probe long, fragment string")
+    plain = fragments.where(align.inner_word(F.col("fragment")).isNull())
+    met = align.short_hits(align.words_of(docs, "id"), plain).select("id", "probe", "fragment").distinct()
+    got = {(r["id"], r["probe"]) for r in met.join(docs, "id").where(F.contains("text", "fragment")).collect()}
+    kept = {r["probe"] for r in plain.collect()}
+    blank = {i for i, f in enumerate(short) if not f.strip(" ")}  # a text of blanks alone has no word
+    want = {(i, j) for i, t in enumerate(texts) for j, f in enumerate(short) if j in kept and f in t and t.strip(" ")}
+    assert {x for x in got if x[1] not in blank} == {x for x in want if x[1] not in blank} and got <= want
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_overlaps_of_at_least(spark, least):
+    rng = random.Random(14)
+    sets = {(g, k): set(rng.sample(range(14), rng.randrange(0, 7))) | ({99} if k % 4 else set()) for g in (1, 2) for k in range(30)}
+    rows = spark.createDataFrame([(g, k, e) for (g, k), s in sets.items() for e in s], "g long, k long, e long")
+    got = sorted(map(tuple, overlap.at_least(rows, "g", "k", "e", least).collect()))
+    assert got == sorted((g, a, b, len(s & t)) for (g, a), s in sets.items() for (h, b), t in sets.items() if g == h and a < b and len(s & t) >= least)
+
+
+def test_words_from_segments(spark):
+    from tessera.operators import words
+
+    rows = [(1, 2, "c", "N", {"ROOT": "r", "LEM": "l", "gender": "M"}), (1, 1, "b", "P", {"affix": "PREF", "type": "CONJ"}), (1, 3, "d", "PRON", {"affix": "SUFF"}), (2, 1, "x", "P", {"affix": "PREF", "case": "GEN"}), (3, 1, "y", "V", {})]
+    got = {r["w"]: r for r in words.fold_segments(spark.createDataFrame(rows, "w long, s long, form string, tag string, features map<string,string>"), ["w"], "s").collect()}
+    assert (got[1]["text"], got[1]["pos"], got[1]["root"], got[1]["lemma"], got[1]["features"]) == ("bcd", "N", "r", "l", {"gender": "M"})
+    assert [tuple(x) for x in got[1]["segments"]] == [("b", "P", "PREF", None), ("c", "N", None, "r"), ("d", "PRON", "SUFF", None)]
+    assert (got[2]["pos"], got[2]["features"]) == ("P", {"case": "GEN"}) and (got[3]["root"], got[3]["features"]) == (None, {})

@@ -255,6 +255,19 @@ def test_seeds(spark):
     assert len(rows) == 114 and sum(r["verses"] for r in rows) == 6236 and rows[1]["first"] == 8 and rows[-1]["first"] == 6231
     assert [r["code"] for r in seeds.collections(spark).orderBy("collection").collect()] == ["SB", "SM", "SD", "JT", "SN", "IM"]
     assert {r["kbps"] for r in seeds.reciters(spark).collect()} == {40, 128, 192} and seeds.reciters(spark).count() == 13
+    assert sum(r["revelation"] == "Medinan" for r in rows) == 28 and rows[0]["revelation"] == "Meccan"
+    assert [r["style"] for r in seeds.reciters(spark).orderBy("reciter").collect()][2:5] == ["Mujawwad", "Murattal", "Teaching"]
+
+
+def test_chapter_names_come_from_a_file(spark, tmp_path):
+    lines = ["chapter,name_ar,name_en,name_latin"] + [f'{i},ا{i},"Name, {i}",n{i}' for i in range(1, 115)]
+    (tmp_path / "names.csv").write_text("\n".join(lines), encoding="utf-8")
+    names = seeds.read_chapter_names(spark, str(tmp_path / "names.csv"))
+    rows = seeds.chapters(spark, names).orderBy("chapter").collect()
+    assert rows[113]["name_en"] == "Name, 114" and rows[1]["revelation"] == "Medinan"
+    (tmp_path / "few.csv").write_text("\n".join(lines[:-1]), encoding="utf-8")
+    with pytest.raises(ValueError):
+        seeds.read_chapter_names(spark, str(tmp_path / "few.csv"))
 
 
 def test_analysis_is_stored(spark, tmp_path):
