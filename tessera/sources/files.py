@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.order import numbered as number_all
 from ..operators.storage import materialize
 from . import split_json
+from .turtle import read_turtle, turtle_triples  # noqa: F401  (readers of this module's interface)
 
 NARRATOR = (
     "popularName string, name string, teknonym string, generation string, lineage string, residence string, deathYear string,"
@@ -108,80 +109,6 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(part(3).startswith('"'), literal).otherwise(bare(part(3))).alias("o"))
 
 
-_TURTLE = re.compile(
-    r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<text>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|"(?:[^"\\\n]|\\.)*")(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w-]*:[\w-]+))?"""
-    r"""|(?P<word>@prefix|@base|PREFIX|BASE)(?=\s)|(?P<blank>_:[\w.-]*[\w-])|(?P<name>[\w-]*:(?:[\w%-](?:[\w.%-]*[\w%-])?)?)|(?P<value>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false)|(?P<a>a)(?=[\s<])|(?P<end>[;,.])""",
-    re.S,
-)
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "'": "'", "\\": "\\"}
-_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-
-
-def turtle_triples(text: str) -> Iterator[tuple[str, str, str]]:
-    """Subject, predicate and object of a Turtle document's statements: prefixes, `a`, `;` and `,` lists; no brackets or collections.
-
-    Literals are their text, without language or type. What does not fit raises an error that says where.
-    """
-    prefixes, base, at, said = {}, "", 0, []
-
-    def tokens() -> Iterator[tuple[str, str]]:
-        nonlocal at
-        while at < len(text):
-            m = _TURTLE.match(text, at)
-            if not m:
-                raise ValueError(f"no Turtle at character {at}: {text[at : at + 40]!r}")
-            at = m.end()
-            if m.lastgroup:
-                yield m.lastgroup, m[m.lastgroup]
-
-    def term(kind: str, value: str) -> str:
-        if kind == "iri":
-            return value[1:-1] if ":" in value else base + value[1:-1]
-        if kind == "name":
-            prefix, _, rest = value.partition(":")
-            if prefix not in prefixes:
-                raise ValueError(f"prefix {prefix}: is not declared")
-            return prefixes[prefix] + rest
-        if kind == "text":
-            inner = value[3:-3] if value.startswith('"""') else value[1:-1]
-            return re.sub(r"\\(u[0-9A-Fa-f]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] == "u" and len(m[1]) == 5 else _ESCAPES.get(m[1], m[1]), inner, flags=re.S)
-        return _TYPE if kind == "a" else value
-
-    stream = tokens()
-    for kind, value in stream:
-        if kind == "word":
-            if value.lower().endswith("prefix"):
-                prefix, iri = next(stream)[1], next(stream)[1]
-                prefixes[prefix[:-1]] = term("iri", iri)
-            else:
-                base = next(stream)[1][1:-1]
-            if value.startswith("@") and next(stream)[1] != ".":
-                raise ValueError("a directive ends with a full stop")
-        elif kind == "end":
-            if len(said) == 3:
-                yield tuple(said)
-            elif said and not (value == "." and len(said) == 1) and not (value == ";" and len(said) == 1):
-                raise ValueError(f"{said} is no statement")
-            said = said[: {";": 1, ",": 2, ".": 0}[value]]
-        else:
-            said.append(term(kind, value))
-    if said:
-        raise ValueError("the last statement has no full stop")
-
-
-def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o) of Turtle files; a file is read by one task, because its prefixes hold for the whole of it."""
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            for text in f["value"]:
-                yield pd.DataFrame(turtle_triples(text), columns=["s", "p", "o"], dtype="object")
-
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "s string, p string, o string")
-
-
 def follow_chain(triples: DataFrame, predicate: str) -> DataFrame:
     """(head, node, pos) of linked lists: heads follow nothing; each round steps all lists at once.
 
