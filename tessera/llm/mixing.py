@@ -81,11 +81,11 @@ def source_targets(
 
 
 def sizes_of(docs: DataFrame, *more: Column) -> DataFrame:
-    """id, source, size, tie (a hash of the text) and any further columns of docs: a null text has no words."""
+    """id, source, size, tie (the md5 of the text) and any further columns of docs: a null text has no words."""
     text = text_or_empty(docs)
     return docs.select(
         docs["doc_id"].cast("string").alias("id"), F.concat(F.lit("="), docs["source"].cast("string")).alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"), *more,
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(text.cast("binary")).alias("tie"), *more,
     )
 
 
@@ -97,11 +97,11 @@ def plan_mix(
     uses: an array of (position, words), one entry for each pass of the source that takes the
     document; only the last document of a source's last pass is taken in part. position: the
     time, from 0 to 1, at which the source's integrated schedule has used the words before the
-    middle of the use. The order within a source is that of md5 of seed and id, so reruns agree.
-    Rows without words are never taken; null sources are one source, the last; rows of equal id
-    follow each other by size and tie; no rows give no rows.
+    middle of the use. The order within a source is that of md5 of seed, id and tie, so reruns agree, and
+    rows without an id or of one repeated id are spread over the buckets like any others.
+    Rows without words are never taken; null sources are one source, the last; equal rows follow each other; no rows give no rows.
     """
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("id", F.lit("null"))).cast("binary"))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("id", F.lit("null")), "tie").cast("binary"))
     digits = min(8, max(2, math.ceil(math.log(max(1, rows.count() / BUCKET_ROWS), 16))))
     rows = rows.withColumns({"_hash": hashed, "_bucket": F.substring(hashed, 1, digits)})
     per_bucket = cut(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("size")))

@@ -57,7 +57,7 @@ _TIME = """round(case turn when 0 then 2 * # / (1.5::double + sqrt(greatest(2.25
  else case when # <= 0.3125 then 2 * # / (0.5::double + sqrt(0.25::double + #)) else 0.5 + 2 * (# - 0.3125::double) / (0.75::double + sqrt(0.5625::double + 5 * (# - 0.3125::double))) end end, 6)"""
 
 #: The rate at which uncapped sources are served: the first, in order of saturation, whose rate keeps the next ones uncapped.
-OP10 = f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as size, md5('0:' || coalesce(cast(doc_id as varchar), 'null')) as hash from documents),
+OP10 = f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as size, md5('0:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as hash from documents),
  s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
  w as (select *, (place % 3)::int as turn, [5.0, 2.0, 1.0][(place % 3)::int + 1]::double as weight, 2.0::double * source_size as cap from s),
  o as (select *, sum(cap) over a - cap as capped, sum(weight) over () - sum(weight) over a + weight as open, sum(source_size) over () * 1.5::double as demand from w window a as (order by cap / weight, source rows unbounded preceding)),

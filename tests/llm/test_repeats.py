@@ -185,3 +185,18 @@ def test_near_texts_with_many_copies(spark):
     want = {i for i, *_, kept in brute_join(texts) if kept}
     assert {r["doc_id"] for r in jaccard.keep_one_of_each(docs).collect()} == want
 
+
+
+def test_rows_without_ids_are_spread(spark):
+    """A third of all rows have no id and a third one id: no bucket gets more than its share, and sums are still the targets'."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"words of text {i} " * (i % 5 + 1), "s") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.sizes_of(docs)
+    hashed = F.md5(F.concat_ws(":", F.lit("0"), F.coalesce("id", F.lit("null")), "tie").cast("binary"))
+    most = sizes.groupBy(F.substring(hashed, 1, 2).alias("b")).count().agg(F.max("count")).first()[0]
+    assert most < 20
+    mixed = mixing.mix_digest(docs)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert mixed.agg(F.sum("taken")).first()[0] == int(total * 1.5)
+    again = sorted(map(str, mixing.mix_digest(docs.repartition(7)).collect()))
+    assert sorted(map(str, mixed.collect())) == again
