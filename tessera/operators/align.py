@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_windows
 from . import scan
+from .storage import materialize
 
 
 def cascade_join(index: DataFrame, probe: DataFrame, sizes: Sequence[int] = (40, 30, 20, 15, 10)) -> DataFrame:
@@ -134,7 +135,7 @@ def short_hits(words: DataFrame, short: DataFrame, *group: str) -> DataFrame:
     meet the group's distinct words by equal runs of characters, so no fragment is compared with the whole vocabulary.
     """
     keys = list(group)
-    vocabulary = words.select(*keys, "_w").distinct()
+    vocabulary = materialize(words.select(*keys, "_w").distinct())
     fragments = short.select(*keys, "fragment").distinct()
     alone = F.instr("fragment", " ") == 0
     met = _inside_words(vocabulary, fragments.where(alone), keys).unionAll(_at_ends(vocabulary, fragments.where(~alone), keys))
