@@ -127,16 +127,16 @@ def shortest_paths(edges: DataFrame, start: int, most_levels: int = 6) -> DataFr
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) over undirected edges (a, b): the least node of each component."""
-    both = materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    ends = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are worked out once
+    both = materialize(edges.where("a <> b").select(ends).distinct())
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     for _ in range(most_rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("best"))
-        hop = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = (
-            label.join(near, label["node"] == near["a"], "left").join(hop, "component", "left")
-            .select("node", "component", F.least("component", F.coalesce("best", "component"), F.coalesce("further", "component")).alias("new"))
-        )
-        new = materialize(new)
+        # all nodes of a label take the least label beside any of them, and then the one that this label takes itself
+        hooks = label.join(near, label["node"] == near["a"], "left").groupBy("component").agg(F.least("component", F.min("best")).alias("hook"))
+        hop = hooks.select(F.col("component").alias("hook"), F.col("hook").alias("further"))
+        hooks = hooks.join(hop, "hook", "left").select("component", F.least("hook", "further").alias("new"))
+        new = materialize(label.join(hooks, "component").select("node", "component", "new"))
         label = new.select("node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
             return label

@@ -260,3 +260,22 @@ def test_words_from_segments(spark):
     assert (got[1]["text"], got[1]["pos"], got[1]["root"], got[1]["lemma"], got[1]["features"]) == ("bcd", "N", "r", "l", {"gender": "M"})
     assert [tuple(x) for x in got[1]["segments"]] == [("b", "P", "PREF", None), ("c", "N", None, "r"), ("d", "PRON", "SUFF", None)]
     assert (got[2]["pos"], got[2]["features"]) == ("P", {"case": "GEN"}) and (got[3]["root"], got[3]["features"]) == (None, {})
+
+
+def test_components_of_a_long_path_settle_in_few_rounds(spark):
+    from tessera.operators import graph
+
+    ids = random.Random(3).sample(range(10_000), 600)
+    path = spark.createDataFrame(list(zip(ids, ids[1:])) + [(7, 7), (20_000, None), (20_001, 20_002)], "a long, b long")
+    rows = {r["node"]: r["component"] for r in graph.connected_components(path, most_rounds=9).collect()}
+    assert rows == {i: min(ids) for i in ids} | {20_001: 20_001, 20_002: 20_001}
+
+
+def test_stored_rows_forget_the_estimate_of_their_plan(spark):
+    from tessera.operators.storage import materialize
+
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    rows = spark.range(50).withColumnRenamed("id", "a")
+    for _ in range(4):
+        rows = materialize(rows.join(rows.withColumnRenamed("a", "b"), rows["a"] == F.col("b")).select("a"))
+    assert rows.count() == 50 and size(rows) < 1_000_000
