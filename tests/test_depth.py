@@ -279,3 +279,36 @@ def test_stored_rows_forget_the_estimate_of_their_plan(spark):
     for _ in range(4):
         rows = materialize(rows.join(rows.withColumnRenamed("a", "b"), rows["a"] == F.col("b")).select("a"))
     assert rows.count() == 50 and size(rows) < 1_000_000
+
+
+@pytest.mark.parametrize("part", [40, 500])
+def test_neighbours_among_many_equal_vectors(spark, part):
+    import numpy as np
+
+    from tessera.operators import near
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8))
+    x[50:250] = x[50] * rng.integers(1, 4, 200)[:, None]
+    x[250:] = x[0] + 1e-9 * rng.normal(size=(50, 8))
+    got = near.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 5, part_rows=part)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["other"]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 12)
+    for i in range(50, 250):
+        assert sorted(found[i]) == [(n + 1, 50 + n) for n in range(5)]
+    for i, list_ in found.items():
+        assert [scores[i, o] for _, o in sorted(list_)] == pytest.approx(sorted(scores[i], reverse=True)[:5], abs=2e-12)
+
+
+def test_blocks_give_back_only_what_beats_the_neighbours_at_home():
+    import pandas as pd
+
+    from tessera.operators import near
+
+    x = pd.DataFrame({"id": [1, 2], "v": [[1.0, 0.0], [0.0, 1.0]], "worst": [0.9, -2.0]})
+    y = pd.DataFrame({"other": [5, 3, 4], "w": [[1.0, 1.0], [2.0, 2.0], [1.0, 0.1]]})
+    got = near._block(2)(x.assign(v=x["v"].map(list)), y)
+    assert [tuple(r) for r in got[["id", "other"]].itertuples(index=False)] == [(1, 4), (2, 3), (2, 5)]
