@@ -6,8 +6,11 @@ partitions of its terms, or for one query to the counts of its terms in each doc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,34 +19,58 @@ from .near import neighbours  # noqa: F401  (part of the search interface)
 from .storage import materialize
 
 K1, B = 1.2, 0.75
+#: Columns of blocks of postings, and words whose stems a task remembers.
+BLOCK, STEMS = ["token", "ids", "tfs", "dls", "docs", "words"], 1 << 18
 
 
-def analyze(docs: DataFrame, key: str, text: str, lower: bool = False, stem: bool = False) -> DataFrame:
-    """(id, token) occurrences, one row each."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.explode(tokenize(F.col(text), lower)).alias("token"))
-    if stem:
-        from ..functions.stemmer import stem_column
+def posting_blocks(docs: DataFrame, key: str, text: str, lower: bool = False, stem: bool = False) -> DataFrame:
+    """(token, ids, tfs, dls, docs, words): postings by blocks, one row for each token of some thousand documents.
 
-        words = rows.select("token").distinct()  # each distinct word is stemmed once
-        rows = rows.join(words.withColumn("stem", stem_column(F.col("token"))), "token").select("id", F.col("stem").alias("token"))
-    return rows
-
-
-def postings(docs: DataFrame, key: str, text: str, **analyzer) -> DataFrame:
-    """(token, id, tf)."""
-    return analyze(docs, key, text, **analyzer).groupBy("token", "id").agg(F.count("*").alias("tf"))
+    ids: the documents that hold the token; tfs: how often; dls: their lengths. Rows without a token tell the documents and words of a
+    block. Words are counted where their documents are read, so that nothing is shuffled. stem: by the English stemmer, once a task for a word.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.stemmer import stem as stem_of
+
+        known = functools.lru_cache(STEMS)(stem_of)
+        for b in batches:
+            ids, lists, n = b.column("id"), b.column("tokens"), b.num_rows
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            told = lists.flatten().dictionary_encode()
+            tokens, code = told.dictionary, told.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if stem:
+                tokens = pa.array(map(known, tokens.to_pylist()), pa.string()).dictionary_encode()
+                tokens, code = tokens.dictionary, tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            pair, tf = np.unique(code * n + np.repeat(np.arange(n), lengths), return_counts=True)
+            code, doc = np.divmod(pair, max(n, 1))
+            named = ids.is_valid().to_numpy(zero_copy_only=False)[doc]  # documents without an id count, and are not found
+            code, doc, tf = code[named], doc[named], tf[named]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            ends = pa.array(np.append(first, len(code)), pa.int32())
+            listed = lambda values, ends=ends: pa.ListArray.from_arrays(ends, values)
+            columns = [listed(ids.take(pa.array(doc))), listed(pa.array(tf, pa.int32())), listed(pa.array(lengths[doc], pa.int32()))]
+            none = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([tokens.take(pa.array(code[first])), *columns, none, none], names=BLOCK)
+            sums = [pa.array([int(x)], pa.int64()) for x in (n, lengths.sum())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), *(pa.nulls(1, c.type) for c in columns), *sums], names=BLOCK)
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokenize(F.col(text), lower).alias("tokens"))
+    return rows.mapInArrow(run, f"token string, ids array<{kind}>, tfs array<int>, dls array<int>, docs bigint, words bigint")
 
 
 def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64, **analyzer) -> None:
-    """An index of a text field under path: postings (token, id, tf, dl) in folders by a hash of the token, and one row of statistics.
+    """An index of a text field under path: blocks of postings in folders by a hash of the token, and one row of statistics.
 
-    A frequent token's postings are dealt over several tasks and files.
+    Each task writes the blocks of the documents that it read, so a frequent token's postings are in as many files as there are tasks.
     """
-    lengths = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.size(tokenize(F.col(text), analyzer.get("lower", False))).alias("dl"))
-    rows = postings(docs, key, text, **analyzer).join(lengths, "id").withColumn("bucket", token_bucket(F.col("token"), buckets))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/statistics")
+    bucket = F.when(F.col("token").isNull(), -1).otherwise(token_bucket(F.col("token"), buckets))  # -1: the sums of blocks
+    rows = posting_blocks(docs, key, text, **analyzer).withColumn("bucket", bucket)
+    rows.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    sums = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/postings").where("bucket = -1")
+    n, words = F.coalesce(F.sum("docs"), F.lit(0)), F.sum("words")
+    sums.agg(n.alias("n"), (words / n).alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/statistics")
 
 
 def token_bucket(token: Column, buckets: int) -> Column:
@@ -56,7 +83,8 @@ def search_index(spark, path: str, terms: Sequence[str], conjunctive: bool = Tru
     statistics = spark.read.parquet(f"{path}/statistics").first()
     # the buckets are worked out as literals, so that folders are pruned before anything is read
     asked = spark.range(1).select(*[token_bucket(F.lit(w), statistics["buckets"]) for w in wanted]).first()
-    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*asked) & F.col("token").isin(*wanted))
+    blocks = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*asked) & F.col("token").isin(*wanted))
+    hits = blocks.select("token", F.inline(F.arrays_zip("ids", "tfs", "dls")).alias("id", "tf", "dl"))
     return bm25_of(hits, statistics["n"], statistics["avgdl"], wanted, conjunctive, k1, b)
 
 

@@ -28,6 +28,20 @@ def test_index_query_reads_its_terms_alone(spark, tmp_path):
     assert search.search_index(spark, path, ["the", "absent"]).collect() == []
 
 
+def test_index_keeps_blocks_and_not_rows_of_postings(spark, tmp_path):
+    texts = ["Things and the thing", "no such word", "", "THE the Thinged things", None, "the end"] * 30
+    docs = spark.createDataFrame([(i if i != 7 else None, x) for i, x in enumerate(texts)], "id long, text string").coalesce(2)
+    path = str(tmp_path / "index")
+    search.write_index(docs, "id", "text", path, buckets=8, lower=True, stem=True)
+    stored = spark.read.parquet(f"{path}/postings")
+    assert stored.where("token = 'the'").count() <= 2 and stored.where("token = 'the'").selectExpr("sum(size(ids))").first()[0] == 90
+    assert tuple(spark.read.parquet(f"{path}/statistics").first())[0] == 150
+    plain = docs.withColumn("text", F.regexp_replace(F.lower("text"), "thing(s|ed)", "thing"))
+    want = {r["id"]: r["score"] for r in search.bm25(plain.where("id is not null or text is null"), "id", "text", ["thing", "the"]).collect()}
+    got = {r["id"]: r["score"] for r in search.search_index(spark, path, ["thing", "the"]).collect()}
+    assert set(got) == set(want) and len(want) == 60
+
+
 def test_vector_index_is_exact_and_reads_few_lists(spark, tmp_path):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((20, 16))
