@@ -34,21 +34,26 @@ def prefix_key(name: Column, words: int) -> Column:
 def prefix_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, other, step): exact names, else four words with five to break ties, else three words if unambiguous.
 
-    left, right: (id, name). Each step joins what the steps before left over.
+    left, right: (id, name). Each step joins what the steps before left over. Names meet one row for each key, the
+    least and the greatest id that have it, so names that very many rows share make no pairs.
     """
-    named = right.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
-    exact = left.join(named, left["name"] == named["other_name"]).groupBy("id").agg(F.min("other").alias("other"))
-    rest = left.join(exact, "id", "left_anti")
+    left = materialize(left.select("id", "name"))
+    named = materialize(right.select(F.col("id").alias("other"), "name"))
+
+    def by_key(key: Column) -> DataFrame:
+        return named.select("other", key.alias("_k")).where("_k is not null").groupBy("_k").agg(F.min("other").alias("low"), F.max("other").alias("high"))
 
     def by_prefix(rows: DataFrame, n: int) -> DataFrame:
-        a = rows.withColumn("_k", prefix_key(F.col("name"), n)).where("_k is not null")
-        b = named.withColumn("_k", prefix_key(F.col("other_name"), n)).where("_k is not null")
-        return a.join(b, "_k")
+        return rows.withColumn("_k", prefix_key(F.col("name"), n)).join(by_key(prefix_key(F.col("name"), n)), "_k")
 
-    five = F.coalesce((prefix_key(F.col("name"), 5) == prefix_key(F.col("other_name"), 5)).cast("int"), F.lit(0))
-    four = by_prefix(rest, 4).groupBy("id").agg(F.min(F.struct((-five).alias("f"), "other")).alias("m")).select("id", F.col("m.other").alias("other"))
+    exact = left.withColumnRenamed("name", "_k").join(by_key(F.col("name")), "_k").groupBy("id").agg(F.min("low").alias("other"))
+    exact = materialize(exact)
+    rest = left.join(exact, "id", "left_anti")
+    hits = by_prefix(rest, 5).select("id", F.lit(0).alias("f"), F.col("low").alias("other")).unionAll(by_prefix(rest, 4).select("id", F.lit(1), "low"))
+    four = hits.groupBy("id").agg(F.min(F.struct("f", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
+    four = materialize(four)
     rest = rest.join(four, "id", "left_anti")
-    three = by_prefix(rest, 3).groupBy("id").agg(F.min("other").alias("other"), F.count_distinct("other").alias("n")).where("n = 1").drop("n")
+    three = by_prefix(rest, 3).groupBy("id").agg(F.min("low").alias("other"), F.max("high").alias("high")).where("other = high").drop("high")
     step = lambda df, s: df.select("id", "other", F.lit(s).alias("step"))
     return step(exact, "exact").unionAll(step(four, "four")).unionAll(step(three, "three"))
 

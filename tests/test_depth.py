@@ -312,3 +312,11 @@ def test_blocks_give_back_only_what_beats_the_neighbours_at_home():
     y = pd.DataFrame({"other": [5, 3, 4], "w": [[1.0, 1.0], [2.0, 2.0], [1.0, 0.1]]})
     got = near._block(2)(x.assign(v=x["v"].map(list)), y)
     assert [tuple(r) for r in got[["id", "other"]].itertuples(index=False)] == [(1, 4), (2, 3), (2, 5)]
+
+
+def test_prefixes_that_many_names_share(spark):
+    left = [(i, "one two three four five six") for i in range(400)] + [(1000, "a b c d x"), (1001, "a b c d y"), (1002, "p q r z"), (1003, "u v w z"), (1004, "same")]
+    right = [(i, "one two three four 5") for i in range(400, 0, -1)] + [(None, "a b c d"), (900, "a b c d"), (901, "a b c d x e"), (902, "p q r s"), (903, "u v w s"), (904, "u v w t"), (906, "same"), (905, "same")]
+    frames = [spark.createDataFrame(rows, "id long, name string") for rows in (left, right)]
+    got = {r["id"]: (r["other"], r["step"]) for r in align.prefix_match(*frames).collect()}
+    assert got == {i: (1, "four") for i in range(400)} | {1000: (901, "four"), 1001: (900, "four"), 1002: (902, "three"), 1004: (905, "exact")}
