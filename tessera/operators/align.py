@@ -58,15 +58,30 @@ def prefix_match(left: DataFrame, right: DataFrame) -> DataFrame:
     return step(exact, "exact").unionAll(step(four, "four")).unionAll(step(three, "three"))
 
 
+#: Numbers of a range that are listed together, and those that a task lists.
+RANGE_BLOCK, RANGE_TASK = 4096, 1 << 20
+
+
 def ordinal_zip(chapters: DataFrame, headings: DataFrame) -> DataFrame:
     """(number, page): the i-th chapter's numbers take the i-th heading's page; later chapters win.
 
-    chapters: (grp, chapter, low, high); headings: (grp, page). Ordinals count inside grp.
+    chapters: (grp, chapter, low, high); headings: (grp, page). Ordinals count inside grp. Ranges are cut at multiples
+    of RANGE_BLOCK and dealt out before their numbers are listed, so that a long range is many tasks' work and
+    the numbers themselves are never shuffled.
     """
     a = chapters.withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy("low", "chapter")))
     b = headings.withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy("page")))
-    spread = a.join(b, ["grp", "rn"]).select("grp", "rn", "page", F.explode(F.sequence("low", "high")).alias("number"))
-    return spread.groupBy("grp", "number").agg(F.max_by("page", "rn").alias("page"))
+    met = a.join(b, ["grp", "rn"]).where("low <= high").select("grp", "rn", "page", "low", "high")
+    block = lambda c: F.floor(F.col(c) / RANGE_BLOCK).cast("long")
+    met = materialize(met.withColumns({"_first": block("low"), "_last": block("high")}))
+    blocks = met.agg(F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1), F.lit(0))).first()[0]
+    cut = met.select("grp", "rn", "page", "low", "high", F.explode(F.sequence("_first", "_last")).alias("_block"))
+    begin = F.col("_block") * RANGE_BLOCK
+    cut = cut.select("grp", "rn", "page", "_block", F.greatest("low", begin).alias("low"), F.least("high", begin + RANGE_BLOCK - 1).alias("high"))
+    # all pieces of a block are in one partition, by a number of partitions that grows with the ranges
+    dealt = cut.repartition(max(1, -(-blocks * RANGE_BLOCK // RANGE_TASK)), "grp", "_block")
+    spread = dealt.select("grp", "_block", "rn", "page", F.explode(F.sequence("low", "high")).alias("number"))
+    return spread.groupBy("grp", "_block", "number").agg(F.max_by("page", "rn").alias("page")).select("grp", "number", "page")
 
 
 def fill_backward(rows: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:

@@ -320,3 +320,11 @@ def test_prefixes_that_many_names_share(spark):
     frames = [spark.createDataFrame(rows, "id long, name string") for rows in (left, right)]
     got = {r["id"]: (r["other"], r["step"]) for r in align.prefix_match(*frames).collect()}
     assert got == {i: (1, "four") for i in range(400)} | {1000: (901, "four"), 1001: (900, "four"), 1002: (902, "three"), 1004: (905, "exact")}
+
+
+def test_zipped_ranges_longer_than_a_block(spark):
+    chapters = [("g", "a", -5, 9000), ("g", "b", 4000, 4100), ("g", "c", 8000, 20_000), ("g", "d", 30_000, 29_000), ("h", "a", 7, 7), ("h", "b", 7, 8)]
+    pages = [("g", 10), ("g", 11), ("g", 12), ("g", 13), ("h", 5)]
+    rows = align.ordinal_zip(spark.createDataFrame(chapters, "grp string, chapter string, low long, high long"), spark.createDataFrame(pages, "grp string, page long"))
+    want = {("g", n): 11 if 4000 <= n <= 4100 else 12 if n >= 8000 else 10 for n in range(-5, 20_001)} | {("h", 7): 5}
+    assert sorted(map(tuple, rows.collect())) == sorted((g, n, p) for (g, n), p in want.items())
