@@ -328,3 +328,20 @@ def test_zipped_ranges_longer_than_a_block(spark):
     rows = align.ordinal_zip(spark.createDataFrame(chapters, "grp string, chapter string, low long, high long"), spark.createDataFrame(pages, "grp string, page long"))
     want = {("g", n): 11 if 4000 <= n <= 4100 else 12 if n >= 8000 else 10 for n in range(-5, 20_001)} | {("h", 7): 5}
     assert sorted(map(tuple, rows.collect())) == sorted((g, n, p) for (g, n), p in want.items())
+
+
+def test_segments_of_a_batch_are_never_all_python_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.operators import diff
+
+    rows = [" ".join(f"w{(i * k) % 97}" for k in range(120)) for i in range(1500)]
+    a, b = pa.array(rows + [None, "x y"]), pa.array(rows[1:] + rows[:1] + ["x", None])
+    tracemalloc.start()
+    made = diff._diff(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == 1502 and peak < 8_000_000
+    assert made[3].as_py() == diff.segments(rows[3].split(), rows[4].split()) and made[1501].as_py() == {"left": [{"text": "x y", "kind": "delete"}], "right": []}
