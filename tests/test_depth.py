@@ -345,3 +345,12 @@ def test_segments_of_a_batch_are_never_all_python_objects():
     tracemalloc.stop()
     assert len(made) == 1502 and peak < 8_000_000
     assert made[3].as_py() == diff.segments(rows[3].split(), rows[4].split()) and made[1501].as_py() == {"left": [{"text": "x y", "kind": "delete"}], "right": []}
+
+
+def test_overlaps_by_parts_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PART_ROWS", 16)
+    rng = random.Random(2)
+    sets = {(g, k): set(rng.sample(range(12), 4)) for g in range(3) for k in range(15)}
+    rows = spark.createDataFrame([(g, k, e) for (g, k), s in sets.items() for e in s], "g long, k long, e long")
+    want = sorted((g, a, b, len(sets[g, a] & sets[g, b])) for g in range(3) for a in range(15) for b in range(a + 1, 15) if len(sets[g, a] & sets[g, b]) >= 2)
+    assert sorted(map(tuple, overlap.at_least(rows, "g", "k", "e", 2).collect())) == want
