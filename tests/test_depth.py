@@ -354,3 +354,21 @@ def test_overlaps_by_parts_of_few_rows(spark, monkeypatch):
     rows = spark.createDataFrame([(g, k, e) for (g, k), s in sets.items() for e in s], "g long, k long, e long")
     want = sorted((g, a, b, len(sets[g, a] & sets[g, b])) for g in range(3) for a in range(15) for b in range(a + 1, 15) if len(sets[g, a] & sets[g, b]) >= 2)
     assert sorted(map(tuple, overlap.at_least(rows, "g", "k", "e", 2).collect())) == want
+
+
+@pytest.mark.parametrize("local", [0, 40, 10_000])
+def test_families_are_closed_in_a_row_or_by_rounds(spark, monkeypatch, local):
+    from tessera.operators import bitmaps
+
+    monkeypatch.setattr(bitmaps, "LOCAL", local)
+    rng = random.Random(4)
+    edges = [(f, *(rng.randrange(n) * 7 - 20 for _ in "ab")) for f, n, m in ((1, 5, 6), (2, 150, 170), (3, 70, 300), (4, 2, 1)) for _ in range(m)]
+    lone = [(1, 999), (5, 3)]
+    found = bitmaps.reach(spark.createDataFrame(edges, "family long, src long, dst long"), spark.createDataFrame(lone, "family long, node long"))
+    want = {(f, a, b) for f, a, b in edges}
+    while True:
+        more = {(f, a, d) for f, a, b in want for g, c, d in edges if f == g and b == c} - want
+        if not more:
+            break
+        want |= more
+    assert {tuple(r) for r in found.pairs().collect()} == want
