@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 Model = Callable[[str], str]
+#: Rows that one task asks about. Stored rows are no measure of calls: a file of very many equal prompts is tiny.
+CALLS = 512
 
 
 def answered(prompts: Sequence[str], model: Model, at_once: int, deadline: float) -> list[tuple[str | None, str | None]]:
@@ -54,6 +56,7 @@ def ask(rows: DataFrame, key: str, prompt: Column, model: Model, at_once: int =
 
     A task has at most `at_once` calls under way, and none is waited for longer than `deadline` seconds. A call
     that fails or is late is a row with a reason, not a failed job. Replies are stored before this returns, so a later plan does not call again.
+    Rows are counted and dealt out, CALLS to a task.
     """
     import pandas as pd
 
@@ -64,24 +67,27 @@ def ask(rows: DataFrame, key: str, prompt: Column, model: Model, at_once: int =
             told = answered(f["_prompt"].tolist(), model, at_once, deadline)
             yield pd.DataFrame({key: f[key], "reply": pd.Series([r for r, _ in told], dtype="object", index=f.index), "reason": pd.Series([w for _, w in told], dtype="object", index=f.index)})
 
-    some = rows.select(key, F.coalesce(prompt, F.lit("")).alias("_prompt"))
+    parts = max(1, -(-rows.count() // CALLS))
+    some = rows.select(key, F.coalesce(prompt, F.lit("")).alias("_prompt")).repartition(parts, key)
     return materialize(some.mapInPandas(run, f"{key} {kind}, reply string, reason string"))
 
 
 def ask_in_stages(
-    rows: DataFrame, key: str, stages: Sequence[tuple[Column, Model]], accepted: Callable[[DataFrame], DataFrame], at_once: int = 4, deadline: float = 180.0
+    rows: DataFrame, key: str, stages: Sequence[tuple[Column, Model]], accepted: Callable[[DataFrame], DataFrame], at_once: int = 4, deadline: float = 180.0,
+    dress: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """(key, stage, reply, reason) of each stage that asked: a stage's prompt goes to the rows of which no stage before has an accepted reply.
 
     stages: prompt and model of each. accepted: of (key, reply) the keys whose reply will do, as (key). The rows still open are found by an
-    anti-join with them, so what is sound is never asked again. Keys must be unique.
+    anti-join with them, so what is sound is never asked again. Keys must be unique. dress: adds to rows what prompts need beside
+    them, so that what is long is not kept from stage to stage.
     """
     open_, out = rows, None
     for i, (prompt, model) in enumerate(stages):
-        told = ask(open_, key, prompt, model, at_once, deadline).withColumn("stage", F.lit(i))
+        told = ask(dress(open_), key, prompt, model, at_once, deadline).withColumn("stage", F.lit(i))
         told = told.select(key, "stage", "reply", "reason")
         out = told if out is None else out.unionAll(told)
-        good = accepted(told.where("reply is not null").select(key, "reply")).select(key).distinct()
+        good = accepted(told.where("reply is not null").select(key, "reply")).select(key).distinct().hint("merge")
         open_ = materialize(open_.join(good, key, "left_anti"))
         if open_.isEmpty():
             break

@@ -121,17 +121,19 @@ def navigate(
     PROMPT_BYTES. A reply that names no chapter of the book, a failed call and a late one are asked again,
     in other words and for those questions alone; without a sound reply the book's first chapters are taken, as choose_chapters does.
     """
-    listed = answer_context_lines(chapters)
-    rows = materialize(questions.join(listed, "book", "left").select("question", "book", "text", F.coalesce("list", F.lit("")).alias("list")))
-    prompt = lambda ask: F.concat(F.replace(F.lit(ask), F.lit("#"), F.coalesce("text", F.lit(""))), F.col("list"))
-    books = rows.select("question", "book")
+    rows = materialize(questions.select("question", "book", "text"))
+    listed = materialize(answer_context_lines(chapters))
+    prompt = lambda ask: F.concat(F.replace(F.lit(ask), F.lit("#"), F.coalesce("text", F.lit(""))), F.coalesce("list", F.lit("")))
+    # one row for each question: the files of the stored ones are small where replies are alike, which says nothing of the memory that a broadcast takes
+    books = rows.select("question", "book").hint("merge")
+    named_lines = F.slice(line_numbers(F.col("reply")), 1, most)
 
     def named(told: DataFrame) -> DataFrame:
-        lines = told.select("question", F.explode(F.slice(line_numbers(F.col("reply")), 1, most)).alias("line")).join(books, "question")
+        lines = told.select("question", F.explode(named_lines).alias("line")).join(books, "question")
         return lines.join(chapters.select("book", "line"), ["book", "line"], "left_semi")
 
-    told = ask_in_stages(rows, "question", [(prompt(a), model) for a in ASK_CHAPTERS], named, at_once, deadline)
-    lines = lambda stage: told.where(F.col("stage") == stage).select("question", line_numbers(F.col("reply")).alias("lines" if stage == 0 else "again"))
+    told = ask_in_stages(rows, "question", [(prompt(a), model) for a in ASK_CHAPTERS], named, at_once, deadline, lambda some: some.join(listed, "book", "left"))
+    lines = lambda stage: told.where(F.col("stage") == stage).select("question", named_lines.alias("lines" if stage == 0 else "again")).hint("merge")
     replies = books.join(lines(0), "question", "left").join(lines(1), "question", "left")
     return choose_chapters(chapters, replies, most, usual), told
 
