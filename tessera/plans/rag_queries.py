@@ -158,7 +158,8 @@ def navigation_calls(spark, sf_dir):
     """How the calls of each stage went: the second stage asks the questions alone that the first left open."""
     questions, chapters = _questions(Tables(spark, sf_dir))
     chosen, told = rag.navigate(questions, chapters, _guess)
-    named = told.select("question", "stage", "reason", F.explode_outer(fx.line_numbers(F.col("reply"))).alias("line")).join(questions.select("question", "book"), "question")
+    first = F.slice(fx.line_numbers(F.col("reply")), 1, 3)  # the lines that navigate goes by
+    named = told.select("question", "stage", "reason", F.explode_outer(first).alias("line")).join(questions.select("question", "book").hint("merge"), "question")
     named = named.join(chapters.select("book", "line", F.lit(True).alias("_is")), ["book", "line"], "left")
     per = named.groupBy("question", "stage").agg(F.max(F.col("reason").isNotNull()).alias("failed"), F.max(F.coalesce("_is", F.lit(False))).alias("sound"))
     result = F.when(F.col("failed"), "failed").when(F.col("sound"), "sound").otherwise("none")

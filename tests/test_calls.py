@@ -89,3 +89,31 @@ def test_navigation_falls_back(spark, down):
     assert got == (first if down else {1: [30, 10], 2: [40, 20], 3: [7]})
     stages = sorted((r["question"], r["stage"]) for r in told.collect())
     assert stages == [(q, s) for q in (1, 2, 3, 4) for s in (0, 1) if down or q != 1 or s == 0]
+
+
+def test_calls_are_dealt_by_their_number(spark, monkeypatch):
+    """Equal prompts make one tiny file, of which one task would ask everything."""
+    monkeypatch.setattr(calls, "CALLS", 8)
+    rows = spark.range(64).coalesce(1)
+    told = calls.ask(rows, "id", F.lit("the same"), lambda _: str(__import__("pyspark").TaskContext.get().partitionId()), deadline=20.0)
+    got = [(r["id"], r["reply"]) for r in told.collect()]
+    assert sorted(i for i, _ in got) == list(range(64)) and len({p for _, p in got}) > 4
+
+
+def test_navigation_broadcasts_no_row_of_each_question(spark, monkeypatch):
+    """Stored replies that are alike are small as files alone: what has a row for each question is never sent to the driver."""
+    questions = spark.range(200).select(F.col("id").alias("question"), F.lit("a").alias("book"), F.col("id").cast("string").alias("text"))
+    chapters = spark.createDataFrame([("a", i, i, f"t{i}") for i in range(50)], "book string, line long, place int, title string")
+    chosen, told = rag.navigate(questions, chapters, lambda prompt: str(list(range(40))), deadline=20.0)
+    assert {tuple(r) for r in chosen.where("question < 2").collect()} == {(q, i, i) for q in range(2) for i in range(3)}
+    assert told.count() == 200
+    plan = chosen._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "question" in x]
+    assert not joins
+
+
+def test_counted_calls_broadcast_no_row_of_each_question(spark):
+    from tessera.plans import registry
+
+    plan = registry.QUERIES["navigation_calls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "question" in x]
