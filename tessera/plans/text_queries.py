@@ -94,15 +94,15 @@ _RUNS = """select conv_id, turn, string_agg(kind || ' ' || words, '|' order by r
 @query(
     f"""with recursive p as (select conv_id, turn, {_SPLIT.format('text')} as b, lag({_SPLIT.format('text')}) over (partition by conv_id order by turn) as a from conversations),
  q as (select *, len(a) as n, len(b) as m from p where a is not null),
- dp as (select *, list_reduce(a, lambda acc, w: list_append(acc, list_reduce(b, lambda r, x: list_append(r, case when x = w then acc[len(acc)][len(r)] + 1 else greatest(acc[len(acc)][len(r) + 1], r[len(r)]) end), [0])), [list_transform(range(m + 1), lambda z: 0)]) as g from q where n * m <= 120000),
+ dp as (select *, list_reduce(a, lambda acc, w: list_append(acc, list_reduce(b, lambda r, x: list_append(r, case when x = w then acc[len(acc)][len(r)] + 1 else greatest(acc[len(acc)][len(r) + 1], r[len(r)]) end), [0])), [list_transform(range(m + 1), lambda z: 0)]) as g from q),
  line as (select conv_id, turn, a, b, unnest(g) as r, generate_subscripts(g, 1) - 1 as i from dp), cell as (select conv_id, turn, i, unnest(r) as v, generate_subscripts(r, 1) - 1 as j, a[i] as x, b from line),
  way as (select c.conv_id, c.turn, c.i, c.j, case when c.i > 0 and c.j > 0 and c.x = c.b[c.j] then 'unchanged' when c.j > 0 and (c.i = 0 or l.v >= u.v) then 'add' else 'delete' end as kind, case when c.i > 0 then c.x end as left_word, case when c.j > 0 then c.b[c.j] end as right_word
  from cell c left join cell l on l.conv_id = c.conv_id and l.turn = c.turn and l.i = c.i and l.j = c.j - 1 left join cell u on u.conv_id = c.conv_id and u.turn = c.turn and u.i = c.i - 1 and u.j = c.j where c.i + c.j > 0),
- walk as (select conv_id, turn, n as i, m as j from q where n * m <= 120000 union all
+ walk as (select conv_id, turn, n as i, m as j from q union all
  select walk.conv_id, walk.turn, case when kind = 'add' then walk.i else walk.i - 1 end, case when kind = 'delete' then walk.j else walk.j - 1 end from walk join way using (conv_id, turn, i, j)),
  step as (select way.* from walk join way using (conv_id, turn, i, j)),
- lf as (select conv_id, turn, i as pos, left_word as word, kind from step where kind <> 'add' union all select conv_id, turn, unnest(range(1, n + 1)), unnest(a), 'delete' from q where n * m > 120000),
- rg as (select conv_id, turn, j as pos, right_word as word, kind from step where kind <> 'delete' union all select conv_id, turn, unnest(range(1, m + 1)), unnest(b), 'add' from q where n * m > 120000)
+ lf as (select conv_id, turn, i as pos, left_word as word, kind from step where kind <> 'add'),
+ rg as (select conv_id, turn, j as pos, right_word as word, kind from step where kind <> 'delete')
  select q.conv_id, q.turn, coalesce(l.side, '') as before, coalesce(r.side, '') as after from q left join ({_RUNS.format('lf')}) l using (conv_id, turn) left join ({_RUNS.format('rg')}) r using (conv_id, turn)"""
 )
 def lcs_segments(spark, sf_dir):

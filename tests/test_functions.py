@@ -84,6 +84,51 @@ def test_lcs_and_segments():
         assert sum(len(s["text"].split()) for s in d["left"] if s["kind"] == "unchanged") == slow(a, b)
 
 
+def test_segments_of_long_texts():
+    def slow(a, b):
+        g = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                g[i + 1][j + 1] = g[i][j] + 1 if x == y else max(g[i][j + 1], g[i + 1][j])
+        i, j, left, right = len(a), len(b), [], []
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                left.append((a[i], "unchanged"))
+                right.append((b[j], "unchanged"))
+            elif j and (not i or g[i][j - 1] >= g[i - 1][j]):
+                j -= 1
+                right.append((b[j], "add"))
+            else:
+                i -= 1
+                left.append((a[i], "delete"))
+        return {"left": diff._merged(left[::-1]), "right": diff._merged(right[::-1])}
+
+    rng = random.Random(1)
+    sizes = [(rng.randrange(30), rng.randrange(30)) for _ in range(300)] + [(400, 420), (900, 300), (1, 130_000), (130_000, 1)]
+    for n, m in sizes:
+        a, b = ([rng.choice("abcdefgh" if n < 20 else [*"abcdef", *map(str, range(200))]) for _ in range(k)] for k in (n, m))
+        assert diff.segments(a, b) == slow(a, b)
+    same = ["w"] * 400
+    assert diff.segments(same, same)["left"] == [{"text": " ".join(same), "kind": "unchanged"}]
+
+
+def test_long_turns_against_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import registry
+
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice([*"abcdef", *map(str, range(60))]) for _ in range(n))
+    turns = [(1, 0, text(360)), (1, 1, text(350)), (1, 2, text(3)), (2, 0, text(40)), (2, 1, ""), (2, 2, text(5))]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["lcs_segments"]).fetchall()
+    assert any("unchanged" in w[2] for w in want if w[:2] == (1, 1))
+    assert sorted(map(tuple, registry.QUERIES["lcs_segments"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_similarity(spark):
     ratio = lambda a, b: value(spark, diff.similarity(F.col("a"), F.col("b")), a=a, b=b)
     assert ratio("hello world", "hello world") == 1.0
