@@ -347,6 +347,17 @@ def test_segments_of_a_batch_are_never_all_python_objects():
     assert made[3].as_py() == diff.segments(rows[3].split(), rows[4].split()) and made[1501].as_py() == {"left": [{"text": "x y", "kind": "delete"}], "right": []}
 
 
+def test_copies_of_sets_in_tiles():
+    from tessera.operators import overlap
+
+    def copies(classes):
+        parts = -(-classes // overlap.TILE)
+        return parts + overlap.tile_sides(classes, parts)
+
+    assert copies(1_600_000) <= 40 and overlap.tile_sides(130_000, 1) == 8 and overlap.tile_sides(10, 1) == 1
+    assert overlap.tile_sides(1000, 10, 100) == 10
+
+
 def test_overlaps_by_parts_of_few_rows(spark, monkeypatch):
     monkeypatch.setattr(overlap, "PART_ROWS", 16)
     rng = random.Random(2)
