@@ -383,3 +383,15 @@ def test_families_are_closed_in_a_row_or_by_rounds(spark, monkeypatch, local):
             break
         want |= more
     assert {tuple(r) for r in found.pairs().collect()} == want
+
+
+def test_edges_are_read_from_stored_chains(spark, monkeypatch):
+    from tessera.operators import graph
+    from tessera.plans import graph_queries
+
+    stored = []
+    monkeypatch.setattr(graph_queries, "materialize", lambda df, keep=graph_queries.materialize: stored.append(df) or keep(df))
+    _, chains, edges = graph_queries._stored(spark, "/root/testdata/sf0.001")
+    assert len(stored) == 1 and "Exchange" not in edges._jdf.queryExecution().sparkPlan().toString()
+    assert chains.columns == ["variant", "family", "node", "gen", "pos"]
+    assert edges.count() > 0 and edges.exceptAll(graph.chain_edges(chains)).isEmpty() and graph.chain_edges(chains).exceptAll(edges).isEmpty()
